@@ -24,10 +24,15 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one the session names in spark.checkpoint.dir; a local one is set only where
     none is set (tests).
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tessera-"))
+    done = df.checkpoint(eager=True)
+    # A checkpoint keeps the constraints and partitionings of its plan, whose numbers double with every
+    # joined round of a loop: the rows alone are taken over. Spark deletes the files with the last reference.
+    rows = done._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, column: str, n: int) -> DataFrame:

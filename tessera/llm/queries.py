@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import bpe
 from tessera.llm.common import table
 from tessera.llm.similarity import ngram_components
 
@@ -39,8 +40,22 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesc
 FROM sets s LEFT JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.s
 """
 
+def multilingual_vocabulary() -> tuple[str, str]:
+    """Path of the vocabulary and its piece pattern; a parameter of the operators, never copied here."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = multilingual_vocabulary()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip_digests(docs, path=path, pattern=pattern).select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_bpe_round_trip": op2_bpe_round_trip,
 }
 
 ORACLES: dict[str, str] = {
