@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe
+from tessera.llm import bpe, toxicity
 from tessera.llm.common import table
 from tessera.llm.similarity import ngram_components
 
@@ -53,9 +54,26 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(docs, path=path, pattern=pattern).select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
 
 
+def held_out(column: str = "doc_id") -> Column:
+    """Rows whose labels are never learned from: CRC-32 of the id as text, modulo 3, is 1."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % 3 == 1, F.lit(False))
+
+
+#: Scores from here on count as toxic.
+TOXIC = 0.7
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    found = toxicity.score(docs, model, out_col="score")
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_toxicity": op3_toxicity,
 }
 
 ORACLES: dict[str, str] = {
