@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, toxicity
+from tessera.llm import bpe, fingerprint, toxicity
 from tessera.llm.common import table
 from tessera.llm.similarity import ngram_components
 
@@ -70,10 +70,26 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+    found = found.withColumnsRenamed({"fingerprint": "_own", "edited_fingerprint": "_edited"})
+    own, edited = F.col("_own"), F.col("_edited")
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.as_hex(own).alias("fingerprint"),
+        fingerprint.as_hex(edited).alias("edited_fingerprint"),
+        fingerprint.likeness(own, edited).alias("near_edited"),
+        fingerprint.likeness(own, F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_toxicity": op3_toxicity,
+    "op4_fingerprint": op4_fingerprint,
 }
 
 ORACLES: dict[str, str] = {
