@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprint, mixing, topk, toxicity
+from tessera.llm import bpe, fingerprint, mixing, sharding, topk, toxicity
 from tessera.llm.common import table
 from tessera.llm.similarity import ngram_components
 
@@ -109,6 +109,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -116,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprint": op4_fingerprint,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_mixing": op6_mixing,
+    "op7_sharding": op7_sharding,
 }
 
 ORACLES: dict[str, str] = {
