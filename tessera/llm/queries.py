@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprint, mixing, sharding, topk, toxicity
+from tessera.llm import bpe, chat, fingerprint, mixing, sharding, topk, toxicity, urls
 from tessera.llm.common import table
 from tessera.llm.similarity import ngram_components
 
@@ -113,6 +113,36 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.sql(
+        "SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+    )
+    rows = rows.unionByName(own).withColumn("parts", chat.text_part(F.coalesce("text", F.lit(""))))
+    return chat.digests(chat.formatted(rows))
+
+
+OP10_SQL = r"""
+WITH every AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, 16 + len(role) + len(text)
+    + len(role) - len(replace(replace(replace(role, '\', ''), '<', ''), '[', ''))
+    + len(text) - len(replace(replace(replace(text, '\', ''), '<', ''), '[', '')) AS chars FROM every
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -121,9 +151,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_top_k": op5_exact_top_k,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
+    "op9_url_filter": op9_url_filter,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": OP1_SQL,
     "op5_exact_top_k": OP5_SQL,
+    "op10_chat_format": OP10_SQL.replace("\\\\", "\\"),
 }
