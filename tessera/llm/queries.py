@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, fingerprint, mixing, sharding, topk, toxicity, urls
+from tessera.llm import bpe, chat, fingerprint, licenses, mixing, sharding, topk, toxicity, urls
 from tessera.llm.common import table
 from tessera.llm.similarity import ngram_components
 
@@ -143,6 +143,10 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -151,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_top_k": op5_exact_top_k,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
+    "op8_license_scan": op8_license_scan,
     "op9_url_filter": op9_url_filter,
     "op10_chat_format": op10_chat_format,
 }
