@@ -71,7 +71,7 @@ OTHERWISE = [
 ]
 
 #: Beginnings of the words that a feature must hold (fixed values).
-ANCHORS = ("licen", "copyright", "permission", "permitted", "reserved", "redistribut", "spdx", "gnu", "apache", "mozilla", "creative", "domain", "waived", "reproduced", "cc0")
+ANCHORS = ("licen", "copyright", "permission", "permitted", "reserved", "redistribut", "spdx", "gnu", "apache", "mozilla", "creative", "domain", "attribution", "waived", "reproduced", "cc0")
 _ANCHOR = "(?i)" + "|".join(ANCHORS) + r"|\bcc[ -]by\b|\bMIT\b|\bBSD\b"
 _LETTERS = r"[^a-z0-9.+]+"
 
@@ -101,8 +101,8 @@ def trained() -> tuple[list[str], dict[str, list[float]], list[float]]:
         return " ".join(before + words + after)
 
     rows = [(altered(line), c) for c, f in enumerate(families[:-1]) for line in TEMPLATES[f] for _ in range(SAMPLES)]
-    # the templates as they stand weigh as much as a few altered ones
-    rows += [(line, c) for c, f in enumerate(families[:-1]) for line in TEMPLATES[f] for _ in range(5)]
+    # the templates as they stand weigh as much as their altered copies
+    rows += [(line, c) for c, f in enumerate(families[:-1]) for line in TEMPLATES[f] for _ in range(SAMPLES)]
     rows += [(altered(rng.choice(OTHERWISE)), len(families) - 1) for _ in range(len(rows))]
     rng.shuffle(rows)
     held = len(rows) // 5
