@@ -32,8 +32,8 @@ WIDTH, PER_WORD = 20, 3
 #: Words of lanes to a hash: shifted by 0 to WIDTH - 1, lanes 0, 20 and 40 of what is left.
 SHIFTS = WIDTH
 _MASK = sum(1 << (WIDTH * i) for i in range(PER_WORD))
-#: Ranges of ids that texts are dealt to where each needs its neighbour.
-RANGES = 256
+#: Ranges of ids that texts are dealt to where each needs its neighbour: one to so many rows, between these numbers.
+RANGE_ROWS, RANGES = 10_000, (256, 4096)
 
 _BREAKS = r"[\n\r\u000B\u000C\u0085  ]+|(?<=[.!?])\s+"
 
@@ -118,10 +118,11 @@ def with_next(docs: DataFrame, *, id_col: str, value_col: str, derived: dict[str
     ids between quantiles and each range is sorted on its own; the last row of a range takes the first row of
     the next range that has rows. Rows of equal id, and those of null id, are one range.
     """
-    bounds = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("double").alias("v")).approxQuantile("v", [i / RANGES for i in range(1, RANGES)], 0.2 / RANGES)
+    ranges = min(max(docs.count() // RANGE_ROWS, RANGES[0]), RANGES[1])
+    bounds = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("double").alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.2 / ranges)
     at, id_ = free_name(docs, "_range"), F.col(id_col)
     keyed = docs.withColumn(at, F.coalesce(_place(id_.cast("double"), sorted(set(bounds))), F.lit(-1)))
-    # the first row of each range, RANGES + 1 at most: their ids first, so that no text is sorted for it
+    # the first row of each range, RANGES[1] + 1 at most: their ids first, so that no text is sorted for it
     least = F.broadcast(cut(keyed.groupBy(at).agg(F.min(id_).alias("_id"))))
     starts = keyed.join(least.withColumnRenamed(at, "_at"), (F.col(at) == F.col("_at")) & id_.eqNullSafe(F.col("_id")), "left_semi")
     starts = cut(starts.groupBy(at).agg(F.min(F.struct(F.col(value_col).isNotNull().alias("k"), F.col(value_col).alias("v"))).alias("m")))
