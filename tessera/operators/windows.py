@@ -107,7 +107,7 @@ def burnout(df: DataFrame, keys: list[str], value: str, order: list[str]) -> Dat
     out = rows.groupBy(*keys).agg(
         F.sum(((F.col(value) < F.col("_1")) & (F.col("_1") < F.col("_2"))).cast("long")).alias("drops"),
         F.round(F.max(F.when(F.col("_r") == 1, F.col(value) - F.col("_2"))), 4).alias("last_change"),
-        F.round(F.stddev_pop(value), 2).alias("volatility"),
+        F.round(F.stddev_pop(value), 6).alias("volatility"),
         F.round(F.avg(value), 6).alias("mean"),
     )
     return out.withColumn("drops", F.coalesce("drops", F.lit(0)).cast("long")).withColumn("volatile", F.col("volatility") > 0.3 * F.col("mean"))

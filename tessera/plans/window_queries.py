@@ -105,7 +105,7 @@ ORACLES = {
         """, r AS (SELECT *, lag(score, 1) OVER w AS p1, lag(score, 2) OVER w AS p2, row_number() OVER (PARTITION BY student ORDER BY date DESC, exam DESC) AS r
                    FROM scores WINDOW w AS (PARTITION BY student ORDER BY date, exam)),
         m AS (SELECT student, CAST(count(*) FILTER (score < p1 AND p1 < p2) AS BIGINT) AS drops, round(max(score - p2) FILTER (r = 1), 4) AS last_change,
-                     round(stddev_pop(score), 2) AS volatility, round(avg(score), 6) AS mean FROM r GROUP BY student)
+                     round(stddev_pop(score), 6) AS volatility, round(avg(score), 6) AS mean FROM r GROUP BY student)
         SELECT *, volatility > 0.3 * mean AS volatile FROM m"""
     ),
     "monthly_streaks": _scores_sql(
