@@ -73,6 +73,7 @@ class Codec:
         self.cutter = pre_tokenizers.Split(Regex(pattern), "isolated")
         #: bytes of each id, by reversing the byte table over the library's vocabulary
         self.tokens: dict[int, bytes] = {rank: bytes(self.bytes_of[c] for c in token) for token, rank in self.library.get_vocab().items()}
+        self.sizes = np.array([len(self.tokens.get(i, b"")) for i in range(max(self.tokens, default=-1) + 1)], np.int64)
         self.contested = self._contested()
         self.known: dict[str, tuple[str, int, bytes]] = {}
 
@@ -171,21 +172,19 @@ class Codec:
             said, n, raw = zip(*held) if held else ((), (), ())
             yield sum(n), hashlib.sha256(",".join(said).encode()).hexdigest(), hashlib.sha256(b"".join(raw)).hexdigest()
 
-    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
         for held in self.held(texts):
-            ids = ",".join([h[0] for h in held])
-            yield list(map(int, ids.split(","))) if ids else []
+            yield np.fromstring(",".join([h[0] for h in held]), np.int32, sep=",") if held else np.zeros(0, np.int32)
 
     def encode(self, text: str) -> list[int]:
-        return next(self.encode_all([text]))
+        return next(self.encode_all([text])).tolist()
 
-    def offsets(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
+    def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last-plus-one code point that each id's bytes touch; ids that share a split character overlap."""
-        raw = text.encode()
-        lead = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-        ends = np.cumsum([len(self.tokens[i]) for i in ids], dtype=np.int64)
-        starts = ends - [len(self.tokens[i]) for i in ids]
-        return [(int(lead[a]) - 1, int(lead[b - 1])) for a, b in zip(starts, ends)]
+        lead = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)
+        size = self.sizes[ids]
+        ends = np.cumsum(size)
+        return (lead[ends - size] - 1).astype(np.int32), lead[ends - 1].astype(np.int32)
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
@@ -206,13 +205,17 @@ def encode(df: DataFrame, *, path: str, pattern: str, text_col: str = "text", ou
     @F.arrow_udf("struct<ids:array<int>,starts:array<int>,ends:array<int>>")
     def run(column: pa.Array) -> pa.Array:
         c = codec(path, pattern)
-        out = []
         texts = column.to_pylist()
-        for text, ids in zip(texts, c.encode_all(texts)):
-            at = c.offsets(text, ids) if offsets and ids else []
-            out.append({"ids": ids, "starts": [a for a, _ in at], "ends": [b for _, b in at]})
-        kind = pa.list_(pa.int32())
-        return pa.array(out, pa.struct([("ids", kind), ("starts", kind), ("ends", kind)]))
+        ids = list(c.encode_all(texts))
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        none = np.zeros(len(ids) + 1, np.int32)
+        lists = [pa.ListArray.from_arrays(ends, np.concatenate([none[:0], *ids]))]
+        if offsets:
+            at = [c.offsets(t, i) for t, i in zip(texts, ids)]
+            lists += [pa.ListArray.from_arrays(ends, np.concatenate([none[:0], *[a[k] for a in at]])) for k in (0, 1)]
+        else:
+            lists += [pa.ListArray.from_arrays(none, none[:0])] * 2
+        return pa.StructArray.from_arrays(lists, ["ids", "starts", "ends"])
 
     return df.withColumn(out_col, run(text_or_empty(text_col)))
 
@@ -223,7 +226,7 @@ def decode(df: DataFrame, *, path: str, pattern: str, ids_col: str = "ids", out_
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
         c = codec(path, pattern)
-        return pa.array([None if ids is None else c.decode(ids) for ids in column.to_pylist()], pa.string())
+        return pa.array([c.decode(ids.as_py()) if ids.is_valid else None for ids in column], pa.string())
 
     return df.withColumn(out_col, run(F.col(ids_col)))
 

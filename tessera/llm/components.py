@@ -19,20 +19,21 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
     edges = cut(edges.union(edges.select("b", "a")).distinct())
-    labels = None
-    salt = 0
+    steps: list[DataFrame] = []
     while not edges.isEmpty():
-        salt += 1
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(salt)).alias("h"), c.alias("v"))
+        salt = len(steps) + 1
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(salt)).alias("h"), c.alias("v"))  # noqa: B023, E731
         to = edges.groupBy(F.col("a").alias("node")).agg(F.min(rank(F.col("b"))).alias("m"))
         to = cut(to.select("node", F.least(F.col("m"), rank(F.col("node")))["v"].alias("label")))
-        if labels is None:
-            labels = to
-        else:
-            onward = to.select(F.col("node").alias("label"), F.col("label").alias("_next"))
-            labels = labels.join(onward, "label", "left").select("node", F.coalesce("_next", "label").alias("label"))
-            labels = cut(labels)
+        steps.append(to)
         ends = edges.join(to.select(F.col("node").alias("a"), F.col("label").alias("_a")), "a")
         ends = ends.join(to.select(F.col("node").alias("b"), F.col("label").alias("_b")), "b")
         edges = cut(ends.filter("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    # the rounds' steps one after the other, from the last, so that the larger frames are joined once
+    onward = steps[-1]
+    for to in reversed(steps[:-1]):
+        after = onward.select(F.col("node").alias("label"), F.col("label").alias("_next"))
+        onward = cut(to.join(after, "label", "left").select("node", F.coalesce("_next", "label").alias("label")))
+    return onward

@@ -6,14 +6,15 @@ from above; only pairs which that bound admits are intersected, exactly, as sort
 
 What keeps this linear, without losing a link between different sets:
 - Equal sets are one class (a 64-bit id of size and members), so copies never meet.
-- Near copies mostly share pairs of min-hashes. Each set is joined to the least set of each of its
-  min-hash groups (a star, not a clique), these pairs are tested, and tested links are contracted to
-  components. This only saves work: whatever it misses the tiles find.
-- Tiles. In any fixed order of shingles two sets that are similar enough share a shingle among the first
-  n - ceil(t n) + 1 of each; a tile is such a shingle and a size band. The order puts shingles that are
-  frequent in the corpus last, so lines and passages that many documents share don't make tiles. (Any
-  order is right; which shingles count as frequent only changes the work.) Within a tile only pairs of
-  different components are tested, and a large tile is dealt out in blocks of its rows.
+- A tile is a key that sets share, and a size band. Within a block of a tile pairs are tried in turn, and only
+  those of different components so far: what comes out is a forest of likely links, not all pairs. These are
+  intersected exactly; blocks with a pair that is no link are worked through again without it.
+- Near copies mostly share pairs of min-hashes; the first tiles are of these, and their links are contracted to
+  components. This only saves work: whatever it misses the next tiles find.
+- In any fixed order of shingles two sets that are similar enough share a shingle among the first n - ceil(t n) + 1
+  of each; those are the keys of the second tiles, and the join is exact because of them. The order puts shingles
+  that are frequent in the corpus last, so lines and passages that many documents share don't make tiles. (Any
+  order is right; which shingles count as frequent only changes the work.) Large tiles are dealt out in blocks.
 
 Results: one row per input row. Rows without words (null or empty text too) are in no link. Rows that are
 equal, or have the same id, each get a row. Component ids are the least non-null id of the component; null
@@ -34,7 +35,7 @@ from tessera.llm.common import BROADCAST_ROWS, cut, keep_ids
 from tessera.llm.components import components
 
 #: Min-hash pairs of a set.
-KEYS = 8
+KEYS = 6
 #: Shingles that are ordered last: those found most often, up to so many (1 MB to each worker).
 FREQUENT = 1 << 17
 #: A shingle found so often at least may be frequent.
@@ -140,7 +141,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, text_col: s
 
 
 def _prefixes(docs: DataFrame, text_col: str, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """(shingle, sid): the first n - ceil(t n) + 1 shingles of each set, frequent ones last."""
+    """(tile, sid): the first n - ceil(t n) + 1 shingles of each set, frequent ones last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,75 +163,149 @@ def _prefixes(docs: DataFrame, text_col: str, k: int, num: int, den: int, freque
                 owner.append(w.set_id(s))
                 size.append(len(head))
             if out:
-                yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(owner, np.int64), size))], ["shingle", "sid"])
+                yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(owner, np.int64), size))], ["tile", "sid"])
 
-    return docs.select(text_col).mapInArrow(run, "shingle long, sid long")
+    return docs.select(text_col).mapInArrow(run, "tile long, sid long")
 
 
-def _tile_pairs(tiles: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of sets that meet in a block of a tile and that size and bitmaps admit.
+_TILE = ["tile", "band", "x", "y"]
 
-    tiles: (shingle, band, x, y, sid, label, n, bits), rows of a block together.
-    """
 
-    def block(sid: np.ndarray, label: np.ndarray, n: np.ndarray, bits: list[bytes]) -> tuple[list, list]:
-        order = np.argsort(n, kind="stable")
-        sid, label, n = sid[order], label[order], n[order]
-        width = min(len(b) for b in bits)
-        rows = np.stack([w.fold(bits[i], width) for i in order.tolist()])
-        a, b = [], []
-        for i in range(len(n) - 1):
-            last = int(np.searchsorted(n, den * n[i] // num, "right"))
-            at = np.arange(i + 1, last)
-            at = at[label[at] != label[i]]
-            if len(at):
-                apart = np.bitwise_count(rows[at] ^ rows[i]).sum(1, dtype=np.int64)
-                both = n[at] + n[i]
-                at = at[(both - apart) // 2 >= -(-num * both // (num + den))]
-                a += np.minimum(sid[at], sid[i]).tolist()
-                b += np.maximum(sid[at], sid[i]).tolist()
-        return a, b
+def _block(rows: dict, told: list[tuple[int, int, int]], num: int, den: int, most: int) -> tuple[list, list]:
+    """Pairs of sets that connect all of a block which size and bitmaps admit and whose components differ.
+
+    Pairs are taken as links while the block is worked through, so that a set meets a component once: ``most``
+    pairs, the likeliest, are returned for it. With most = 0 nothing is taken for granted, and every pair of
+    different components returned. told: pairs (a, b, n) that were links (n = -1) or not (-2).
+    """
+    n, sid = rows["n"], rows["sid"]
+    order = np.lexsort((sid, n))
+    sid, n = sid[order], n[order]
+    _, root = np.unique(rows["label"][order], return_inverse=True)
+    at_of = {v: i for i, v in enumerate(sid.tolist())} if told else {}
+    refused: dict[int, set[int]] = {}
+    for a, b, linked in told:
+        if a in at_of and b in at_of:
+            i, j = sorted((at_of[a], at_of[b]))
+            if linked == -1:
+                root[root == root[j]] = root[i]
+            else:
+                refused.setdefault(i, set()).add(j)
+    width = min(len(rows["bits"][i]) for i in order.tolist())
+    bits = np.stack([w.fold(rows["bits"][i], width) for i in order.tolist()])
+    a, b = [], []
+    for i in range(len(n) - 1):
+        last = int(np.searchsorted(n, den * n[i] // num, "right"))
+        at = i + 1 + np.flatnonzero(root[i + 1 : last] != root[i])
+        if not len(at):
+            continue
+        apart = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
+        both = n[at] + n[i]
+        fits = (both - apart) // 2 >= -(-num * both // (num + den))
+        if i in refused:
+            fits &= ~np.isin(at, list(refused[i]))
+        at, apart = at[fits], apart[fits]
+        if not len(at):
+            continue
+        at = at[np.argsort(apart, kind="stable")]
+        roots, first = np.unique(root[at], return_index=True)
+        if not most:
+            chosen = at
+        elif most == 1:
+            chosen = at[first]
+        else:
+            chosen = np.concatenate([at[root[at] == r][:most] for r in roots.tolist()])
+        a += np.minimum(sid[chosen], sid[i]).tolist()
+        b += np.maximum(sid[chosen], sid[i]).tolist()
+        if most:
+            root[np.isin(root, roots)] = root[i]
+    return a, b
+
+
+def _tile_pairs(tiles: DataFrame, num: int, den: int, most: int) -> DataFrame:
+    """(tile, band, x, y, a, b): each block's pairs. tiles: (tile, band, x, y, sid, label, n, bits), or with what was told."""
+    names = [*_TILE, "a", "b"]
+
+    def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        key = np.stack([t.column(c).to_numpy() for c in _TILE])
+        sid, label, n = (t.column(c).to_numpy() for c in ("sid", "label", "n"))
+        bits = t.column("bits").to_pylist()
+        edges = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [len(n)]]).tolist()
+        out: list[tuple] = []
+        for i, j in zip(edges[:-1], edges[1:]):
+            own = i + np.flatnonzero(n[i:j] >= 0)
+            if len(own) > 1:
+                told = [(int(sid[k]), int(label[k]), int(n[k])) for k in (i + np.flatnonzero(n[i:j] < 0)).tolist()]
+                rows = {"sid": sid[own], "label": label[own], "n": n[own], "bits": [bits[k] for k in own.tolist()]}
+                out += [(*key[:, i].tolist(), a, b) for a, b in zip(*_block(rows, told, num, den, most))]
+        if out:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            key = np.stack([t.column(c).to_numpy() for c in ("shingle", "band", "x", "y")])
-            sid, label, n = (t.column(c).to_numpy() for c in ("sid", "label", "n"))
-            bits = t.column("bits").to_pylist()
-            edges = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [len(n)]]) if len(n) else [0]
-            a, b = [], []
-            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if j - i > 1:
-                    p, q = block(sid[i:j], label[i:j], n[i:j], bits[i:j])
-                    a += p
-                    b += q
-            if a:
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        at = ("shingle", "band", "x", "y")
         for batch in batches:
             if not batch.num_rows:
                 continue
             # everything up to the last change of key is whole; the rest waits for the next batch
-            key = np.stack([batch.column(c).to_numpy() for c in at])
+            key = np.stack([batch.column(c).to_numpy() for c in _TILE])
             change = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-            before = held and [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in at] != key[:, 0].tolist()
-            if before:
-                yield from done()
-                held.clear()
+            if held and [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in _TILE] != key[:, 0].tolist():
+                yield from done(held)
+                held = []
             if len(change):
-                held.append(batch.slice(0, int(change[-1])))
-                yield from done()
-                held[:] = [batch.slice(int(change[-1]))]
+                yield from done([*held, batch.slice(0, int(change[-1]))])
+                held = [batch.slice(int(change[-1]))]
             else:
                 held.append(batch)
         if held:
-            yield from done()
+            yield from done(held)
+
+    keyed = tiles.repartition(*_TILE).sortWithinPartitions(*_TILE)
+    return keyed.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
 
-    keyed = tiles.repartition("shingle", "band", "x", "y").sortWithinPartitions("shingle", "band", "x", "y")
-    return keyed.mapInArrow(run, "a long, b long").distinct()
+def _dealt(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(tile, band, x, y, sid, label, n): rows (tile, sid, label, n) dealt to size bands of their tile, and blocks of these.
+
+    Similar sets are in one band or in neighbouring ones: each is dealt to its own and to the one below. Bands
+    whose rows are all of one component have nothing to say and go.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + F.lit(1e-9)).cast("long")
+    rows = rows.withColumn("band", F.explode(F.array(band, band - 1)))
+    several = rows.groupBy("tile", "band").agg(F.min("label").alias("_a"), F.max("label").alias("_z"), F.count("*").alias("rows")).filter("_a < _z")
+    rows = rows.join(several.select("tile", "band", F.ceil(F.col("rows") / F.lit(BLOCK)).cast("long").alias("_parts")), ["tile", "band"])
+    mine, other = F.pmod(F.xxhash64("sid"), F.col("_parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
+    rows = rows.withColumn("_mine", mine).withColumn("_other", other)
+    return rows.select("tile", "band", F.least("_mine", "_other").alias("x"), F.greatest("_mine", "_other").alias("y"), "sid", "label", "n")
+
+
+def _tile_links(tiles: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, passes: tuple[int, ...]) -> DataFrame:
+    """Links that connect all sets which are linked within a block of a tile, if the last of the passes is 0.
+
+    A pass returns so many pairs of a set and a component (0: all). Blocks with a pair that turns out to be no link
+    go on to the next pass, with what is known of their pairs. Bitmaps join the rows last, block by block.
+    """
+    bits = classes.select("sid", "bits")
+    tiles = cut(tiles)
+    links, told, known, active = None, None, None, tiles
+    for most in passes:
+        rows = active.join(bits, "sid").select(*_TILE, "sid", "label", "n", "bits")
+        pairs = cut(_tile_pairs(rows if known is None else rows.union(known), num, den, most))
+        found = _verified(docs, pairs.select("a", "b").distinct(), classes, "text", k, num, den)
+        links = found if links is None else links.union(found)
+        if most == passes[-1]:
+            break
+        now = pairs.join(found.withColumn("linked", F.lit(-1).cast("long")), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(-2).cast("long")))
+        now = cut(now.select(*_TILE, "a", "b", "linked"))
+        again = cut(now.filter("linked = -2").select(*_TILE).distinct())
+        if again.isEmpty():
+            break
+        told = now if told is None else told.union(now)
+        told_rows = told.select(*_TILE, F.col("a").alias("sid"), F.col("b").alias("label"), F.col("linked").alias("n"), F.lit(None).cast("binary").alias("bits"))
+        known = told_rows.join(again, _TILE, "left_semi")
+        active = cut(active.join(again, _TILE, "left_semi"))
+    return links
 
 
 def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -248,30 +323,19 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     often = often.orderBy(F.desc("times"), "sid").limit(FREQUENT).select("sid").toPandas()["sid"].to_numpy(np.int64)
     frequent = np.sort(often.view(np.uint64))
 
-    # near copies, by stars
-    keyed = classes.select("sid", F.explode("keys").alias("key"))
-    stars = keyed.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("_z")).filter("a < _z").select("key", "a")
-    stars = keyed.join(stars, "key").filter("sid <> a").select("a", F.col("sid").alias("b")).distinct()
-    links = _verified(docs, stars, classes, "text", k, num, den)
-    labels = cut(components(links))
+    # near copies: tiles of min-hash pairs
+    keyed = classes.select(F.explode("keys").alias("tile"), "sid", F.col("sid").alias("label"), "n")
+    several = keyed.groupBy("tile").agg(F.count("*").alias("rows")).filter("rows > 1").select("tile")
+    links = _tile_links(_dealt(keyed.join(several, "tile"), num, den), docs, classes, k, num, den, (1, 16))
+    labels = components(links)
+    labels = classes.select("sid", "n").join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"), "n")
 
-    # tiles of what is still apart
+    # tiles of shingles, of what is still apart
     prefixes = _prefixes(docs, "text", k, num, den, frequent)
-    shared = prefixes.groupBy("shingle").agg(F.min("sid").alias("_a"), F.max("sid").alias("_z")).filter("_a < _z").select("shingle")
-    met = prefixes.join(shared, "shingle").distinct()
-    met = met.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    met = cut(met)
-    several = met.groupBy("shingle").agg(F.min("label").alias("_a"), F.max("label").alias("_z"), F.count("*").alias("rows")).filter("_a < _z").select("shingle", "rows")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + F.lit(1e-9))
-    tiles = met.join(several, "shingle").join(classes.select("sid", "n", "bits"), "sid")
-    # similar sets are in one band or in neighbouring ones: each is dealt to its own and to the one below
-    tiles = tiles.withColumn("band", F.explode(F.array(band.cast("long"), (band - 1).cast("long"))))
-    parts = F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64("sid"), F.greatest(parts, F.lit(1))).cast("long")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)).cast("long") - 1))
-    tiles = tiles.withColumn("_mine", mine).withColumn("_other", other)
-    tiles = tiles.select("shingle", "band", F.least("_mine", "_other").alias("x"), F.greatest("_mine", "_other").alias("y"), "sid", "label", "n", "bits")
-    more = _verified(docs, cut(_tile_pairs(tiles, num, den)), classes, "text", k, num, den)
+    shared = prefixes.groupBy("tile").agg(F.min("sid").alias("_a"), F.max("sid").alias("_z")).filter("_a < _z").select("tile")
+    met = cut(prefixes.join(shared, "tile").distinct().join(labels, "sid").select("tile", "sid", "label", "n"))
+    several = met.groupBy("tile").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).filter("_a < _z").select("tile")
+    more = _tile_links(_dealt(met.join(several, "tile"), num, den), docs, classes, k, num, den, (1, 16, 0))
 
     joined = components(links.union(more))
     named = classes.select("sid", "doc_id").join(joined.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))

@@ -128,12 +128,12 @@ def min_keys(s: np.ndarray, keys: int) -> list[int]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity bitmap of a set: 2^ceil(log2 n) bits (64 at least); bit i is the parity of the members that hash to i.
+    """Parity bitmap of a set: 2^ceil(log2 2n) bits (64 at least); bit i is the parity of the members that hash to i.
 
     Two bitmaps of one width differ in no more bits than the sets' symmetric difference has members;
     folding a bitmap's halves by xor gives that of half the width.
     """
-    bits = max(64, 1 << int(len(s) - 1).bit_length()) if len(s) else 64
+    bits = max(64, 2 << int(len(s) - 1).bit_length()) if len(s) else 64
     at = (mix(s + _LANES[27]) & _U(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
