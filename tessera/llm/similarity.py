@@ -176,11 +176,13 @@ def _block(rows: dict, told: list[tuple[int, int, int]], num: int, den: int, mos
 
     Pairs are taken as links while the block is worked through, so that a set meets a component once: ``most``
     pairs, the likeliest, are returned for it. With most = 0 nothing is taken for granted, and every pair of
-    different components returned. told: pairs (a, b, n) that were links (n = -1) or not (-2).
+    different components returned. told: pairs (a, b, n) that were links (n = -1) or not (-2). A pair of two rows of
+    the band above is left to that band, and in the last pass, where rows have all their tiles, one to the least
+    tile that both are in.
     """
     n, sid = rows["n"], rows["sid"]
     order = np.lexsort((sid, n))
-    sid, n = sid[order], n[order]
+    sid, n, own = sid[order], n[order], rows["own"][order] > 0
     _, root = np.unique(rows["label"][order], return_inverse=True)
     at_of = {v: i for i, v in enumerate(sid.tolist())} if told else {}
     refused: dict[int, set[int]] = {}
@@ -196,7 +198,8 @@ def _block(rows: dict, told: list[tuple[int, int, int]], num: int, den: int, mos
     a, b = [], []
     for i in range(len(n) - 1):
         last = int(np.searchsorted(n, den * n[i] // num, "right"))
-        at = i + 1 + np.flatnonzero(root[i + 1 : last] != root[i])
+        apart = root[i + 1 : last] != root[i]
+        at = i + 1 + np.flatnonzero(apart if own[i] else apart & own[i + 1 : last])
         if not len(at):
             continue
         apart = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
@@ -205,6 +208,10 @@ def _block(rows: dict, told: list[tuple[int, int, int]], num: int, den: int, mos
         if i in refused:
             fits &= ~np.isin(at, list(refused[i]))
         at, apart = at[fits], apart[fits]
+        if not most:
+            mine = rows["tiles"][order[i]]
+            least = [np.intersect1d(mine, rows["tiles"][order[j]], assume_unique=True)[0] == rows["tile"] for j in at.tolist()]
+            at, apart = at[least], apart[least]
         if not len(at):
             continue
         at = at[np.argsort(apart, kind="stable")]
@@ -223,21 +230,23 @@ def _block(rows: dict, told: list[tuple[int, int, int]], num: int, den: int, mos
 
 
 def _tile_pairs(tiles: DataFrame, num: int, den: int, most: int) -> DataFrame:
-    """(tile, band, x, y, a, b): each block's pairs. tiles: (tile, band, x, y, sid, label, n, bits), or with what was told."""
+    """(tile, band, x, y, a, b): each block's pairs. tiles: (tile, band, x, y, sid, label, n, own, bits, tiles), and what was told."""
     names = [*_TILE, "a", "b"]
 
     def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         key = np.stack([t.column(c).to_numpy() for c in _TILE])
-        sid, label, n = (t.column(c).to_numpy() for c in ("sid", "label", "n"))
-        bits = t.column("bits").to_pylist()
+        sid, label, n, own_band = (t.column(c).to_numpy() for c in ("sid", "label", "n", "own"))
+        bits, tiles_of = t.column("bits").to_pylist(), t.column("tiles")
         edges = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [len(n)]]).tolist()
         out: list[tuple] = []
         for i, j in zip(edges[:-1], edges[1:]):
             own = i + np.flatnonzero(n[i:j] >= 0)
             if len(own) > 1:
                 told = [(int(sid[k]), int(label[k]), int(n[k])) for k in (i + np.flatnonzero(n[i:j] < 0)).tolist()]
-                rows = {"sid": sid[own], "label": label[own], "n": n[own], "bits": [bits[k] for k in own.tolist()]}
+                rows = {"sid": sid[own], "label": label[own], "n": n[own], "own": own_band[own], "bits": [bits[k] for k in own.tolist()], "tile": key[0, i]}
+                if not most:
+                    rows["tiles"] = [np.sort(np.array(tiles_of[k].as_py(), np.int64)) for k in own.tolist()]
                 out += [(*key[:, i].tolist(), a, b) for a, b in zip(*_block(rows, told, num, den, most))]
         if out:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names)
@@ -266,31 +275,39 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int, most: int) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(tile, band, x, y, sid, label, n): rows (tile, sid, label, n) dealt to size bands of their tile, and blocks of these.
+    """(tile, band, x, y, sid, label, n, own): rows (tile, sid, label, n) dealt to size bands of their tile, and blocks of these.
 
     Similar sets are in one band or in neighbouring ones: each is dealt to its own and to the one below. Bands
     whose rows are all of one component have nothing to say and go.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + F.lit(1e-9)).cast("long")
-    rows = rows.withColumn("band", F.explode(F.array(band, band - 1)))
+    rows = rows.withColumn("_b", F.explode(F.array(F.struct(band.alias("band"), F.lit(1).cast("long").alias("own")), F.struct((band - 1).alias("band"), F.lit(0).cast("long").alias("own")))))
+    rows = rows.select("tile", "_b.band", "_b.own", "sid", "label", "n")
     several = rows.groupBy("tile", "band").agg(F.min("label").alias("_a"), F.max("label").alias("_z"), F.count("*").alias("rows")).filter("_a < _z")
     rows = rows.join(several.select("tile", "band", F.ceil(F.col("rows") / F.lit(BLOCK)).cast("long").alias("_parts")), ["tile", "band"])
     mine, other = F.pmod(F.xxhash64("sid"), F.col("_parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
     rows = rows.withColumn("_mine", mine).withColumn("_other", other)
-    return rows.select("tile", "band", F.least("_mine", "_other").alias("x"), F.greatest("_mine", "_other").alias("y"), "sid", "label", "n")
+    return rows.select("tile", "band", F.least("_mine", "_other").alias("x"), F.greatest("_mine", "_other").alias("y"), "sid", "label", "n", "own")
 
 
-def _tile_links(tiles: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, passes: tuple[int, ...]) -> DataFrame:
+def _tile_links(tiles: DataFrame, members: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, passes: tuple[int, ...]) -> DataFrame:
     """Links that connect all sets which are linked within a block of a tile, if the last of the passes is 0.
 
     A pass returns so many pairs of a set and a component (0: all). Blocks with a pair that turns out to be no link
-    go on to the next pass, with what is known of their pairs. Bitmaps join the rows last, block by block.
+    go on to the next pass, with what is known of their pairs. Bitmaps join the rows last, block by block. members:
+    (tile, sid) of all tiles, from which a last pass of 0 takes each set's list (no longer than its prefix).
     """
     bits = classes.select("sid", "bits")
     tiles = cut(tiles)
+    none = F.lit(None).cast("array<bigint>").alias("tiles")
     links, told, known, active = None, None, None, tiles
     for most in passes:
-        rows = active.join(bits, "sid").select(*_TILE, "sid", "label", "n", "bits")
+        rows = active.join(bits, "sid")
+        if most:
+            rows = rows.select(*_TILE, "sid", "label", "n", "own", "bits", none)
+        else:
+            lists = members.join(active.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.collect_list("tile").alias("tiles"))
+            rows = rows.join(lists, "sid").select(*_TILE, "sid", "label", "n", "own", "bits", "tiles")
         pairs = cut(_tile_pairs(rows if known is None else rows.union(known), num, den, most))
         found = _verified(docs, pairs.select("a", "b").distinct(), classes, "text", k, num, den)
         links = found if links is None else links.union(found)
@@ -302,7 +319,7 @@ def _tile_links(tiles: DataFrame, docs: DataFrame, classes: DataFrame, k: int, n
         if again.isEmpty():
             break
         told = now if told is None else told.union(now)
-        told_rows = told.select(*_TILE, F.col("a").alias("sid"), F.col("b").alias("label"), F.col("linked").alias("n"), F.lit(None).cast("binary").alias("bits"))
+        told_rows = told.select(*_TILE, F.col("a").alias("sid"), F.col("b").alias("label"), F.col("linked").alias("n"), F.lit(0).cast("long").alias("own"), F.lit(None).cast("binary").alias("bits"), none)
         known = told_rows.join(again, _TILE, "left_semi")
         active = cut(active.join(again, _TILE, "left_semi"))
     return links
@@ -326,7 +343,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # near copies: tiles of min-hash pairs
     keyed = classes.select(F.explode("keys").alias("tile"), "sid", F.col("sid").alias("label"), "n")
     several = keyed.groupBy("tile").agg(F.count("*").alias("rows")).filter("rows > 1").select("tile")
-    links = _tile_links(_dealt(keyed.join(several, "tile"), num, den), docs, classes, k, num, den, (1, 16))
+    links = _tile_links(_dealt(keyed.join(several, "tile"), num, den), keyed, docs, classes, k, num, den, (1, 16))
     labels = components(links)
     labels = classes.select("sid", "n").join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"), "n")
 
@@ -335,7 +352,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = prefixes.groupBy("tile").agg(F.min("sid").alias("_a"), F.max("sid").alias("_z")).filter("_a < _z").select("tile")
     met = cut(prefixes.join(shared, "tile").distinct().join(labels, "sid").select("tile", "sid", "label", "n"))
     several = met.groupBy("tile").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).filter("_a < _z").select("tile")
-    more = _tile_links(_dealt(met.join(several, "tile"), num, den), docs, classes, k, num, den, (1, 16, 0))
+    more = _tile_links(_dealt(met.join(several, "tile"), num, den), met, docs, classes, k, num, den, (1, 16, 0))
 
     joined = components(links.union(more))
     named = classes.select("sid", "doc_id").join(joined.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
