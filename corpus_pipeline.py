@@ -36,9 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids, decodes): the ids of each text, and whether they decode to it."""
     path, pattern = queries.multilingual_vocabulary()
-    found = bpe.encode(docs.select("doc_id", "source", "text"), path=path, pattern=pattern, offsets=False)
-    found = bpe.decode(found.select("doc_id", "source", "text", F.col("tokens.ids").alias("ids")), path=path, pattern=pattern)
-    return found.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("decodes"))
+    found = bpe.encode_checked(docs.select("doc_id", "source", "text"), path=path, pattern=pattern)
+    return found.select("doc_id", "source", F.size("bpe.ids").cast("long").alias("n_tokens"), "bpe.ids", "bpe.decodes")
 
 
 STAGES = [

@@ -231,6 +231,26 @@ def decode(df: DataFrame, *, path: str, pattern: str, ids_col: str = "ids", out_
     return df.withColumn(out_col, run(F.col(ids_col)))
 
 
+def encode_checked(df: DataFrame, *, path: str, pattern: str, text_col: str = "text", out_col: str = "bpe") -> DataFrame:
+    """``df`` with a struct column (ids array<int>, decodes boolean): the encoding, and whether it decodes to the text.
+
+    One worker does both, so that a task needs one codec and not two.
+    """
+
+    @F.arrow_udf("struct<ids:array<int>,decodes:boolean>")
+    def run(column: pa.Array) -> pa.Array:
+        c = codec(path, pattern)
+        texts = column.to_pylist()
+        ids, fine = [], []
+        for text, found in zip(texts, c.encode_all(texts)):
+            ids.append(found)
+            fine.append(c.decode(found.tolist()) == text)
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *ids])), pa.array(fine, pa.bool_())], ["ids", "decodes"])
+
+    return df.withColumn(out_col, run(text_or_empty(text_col)))
+
+
 def round_trip_digests(df: DataFrame, *, path: str, pattern: str, text_col: str = "text", out_col: str = "bpe") -> DataFrame:
     """``df`` with a struct column (n_tokens, ids_sha256, decoded_sha256): encoding, then decoding of the ids."""
 
