@@ -10,8 +10,10 @@ than Z standard deviations from what the context's share of toxic rows leads to
 
 Score. Two length-normalised differences of log-likelihood, that of the whole text and that of its most
 toxic stretch of SPAN bytes, go through a logistic function. It is fitted on up to CALIBRATION training
-rows, those of least hashed id. Counts are taken over all training rows; the model that travels to
-executors holds the ORDER-grams that say something, MODEL at most (those that say most).
+rows, those of least hashed id. Counts, totals and the shared model are taken over all ORDER-grams of all training
+rows, as relations dealt by their contexts; the driver sees the two-byte level of the shared model (2^16 rows at
+most) and the ORDER-grams that say something, which travel to executors. These are as many as the corpus has: none
+is left out, and what they take (8 bytes each, and 16 to 32 in a worker's table) grows with their number.
 
 Results. Every row stays, with its columns, and gets a score between 0 and 1, higher for likelier toxic;
 null and empty texts score as texts that say nothing. Without training rows of both classes the score is the
@@ -26,11 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import words as w
-from tessera.llm.common import BROADCAST_ROWS, text_or_empty
+from tessera.llm.common import BROADCAST_ROWS, cut, text_or_empty
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -39,10 +41,6 @@ PRIOR = 50.0
 Z = 4.0
 SPAN = 8
 CALIBRATION = 20_000
-#: ORDER-grams of the model at most, 12 bytes each.
-MODEL = 1 << 20
-#: ORDER-grams gathered from the corpus for it at most (most frequent first).
-GATHERED = 1 << 22
 
 _READ = np.arange(256, dtype=np.uint8)
 _READ[:128] = 32
@@ -72,18 +70,19 @@ class Model:
     weights: np.ndarray  # of 1, the whole text's difference and the stretch's
 
     def table(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """An open-addressed hash table: keys, values, bits; a key's place is its product's top bits or just after."""
+        """An open-addressed hash table: keys, values, bits; a key's place is its product's top bits or after, no gap between."""
         if not hasattr(self, "_table"):
-            bits = max(16, int(2 * len(self.grams)).bit_length() + 2)
+            bits = max(16, int(2 * len(self.grams)).bit_length())
             keys, values = np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, np.float32)
-            places = ((self.grams * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)).astype(np.int64).tolist()
-            self._tries = 1
-            for place, key, value in zip(places, self.grams.tolist(), self.says.tolist()):
-                tries = 1
-                while keys[place]:
-                    place, tries = (place + 1) % len(keys), tries + 1
-                keys[place], values[place] = key, value
-                self._tries = max(self._tries, tries)
+            place = (self.grams * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+            left = np.arange(len(place))
+            while len(left):
+                at, first = np.unique(place[left], return_index=True)
+                free = keys[at] == 0
+                put = left[first[free]]
+                keys[at[free]], values[at[free]] = self.grams[put], self.says[put]
+                left = np.delete(left, first[free])
+                place[left] = (place[left] + np.uint32(1)) & np.uint32(len(keys) - 1)
             self._table = keys, values, bits
         return self._table
 
@@ -94,10 +93,15 @@ class Model:
         for _, data, offsets in w.runs(column):
             grams, begin = _grams(data, offsets)
             place = (grams * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
-            says = np.where(keys[place] == grams, values[place], np.float32(0))
-            for i in range(1, self._tries):
-                next_ = (place + np.uint32(i)) & np.uint32(len(keys) - 1)
-                says = np.where(keys[next_] == grams, values[next_], says)
+            found = keys[place]
+            says = np.where(found == grams, values[place], np.float32(0))
+            left = np.flatnonzero((found != grams) & (found != 0))
+            while len(left):
+                place[left] = (place[left] + np.uint32(1)) & np.uint32(len(keys) - 1)
+                found = keys[place[left]]
+                hit = found == grams[left]
+                says[left[hit]] = values[place[left[hit]]]
+                left = left[~hit & (found != 0)]
             total = np.concatenate([[0.0], np.cumsum(says, dtype=np.float64)])
             end = begin + np.diff(offsets)
             whole = (total[end] - total[begin]) / np.maximum(1, end - begin)
@@ -125,21 +129,38 @@ def _shared(grams: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
     return (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * kinds[context] * below) / total[context]
 
 
-def contrast(grams: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """What each gram says: log probability in toxic rows less that in ordinary ones, 0 where that is not significant."""
-    both = ordinary + toxic
-    shared = _shared(grams, both, ORDER)
-    _, context = np.unique(grams >> np.uint32(8), return_inverse=True)
-    out = np.zeros(len(grams))
-    totals = []
-    for counts, sign in ((toxic, 1), (ordinary, -1)):
-        total, kinds = np.bincount(context, counts)[context], np.bincount(context, counts > 0)[context]
-        out += sign * np.log((np.maximum(counts - DISCOUNT, 0) + (DISCOUNT * kinds + PRIOR) * shared) / (total + PRIOR))
-        totals.append(total)
-    usual = toxic.sum() / both.sum()
-    share = (totals[0] + PRIOR * usual) / (totals[0] + totals[1] + PRIOR)
+def contrast(counted: DataFrame, usual: float) -> DataFrame:
+    """(gram, says) of the grams of ``counted`` (gram, ordinary, toxic) that say something; usual: the toxic share of all counts.
+
+    What one says is its log probability in toxic rows less that in ordinary ones. A context has 256 grams at most, so
+    none of the joins and windows deals many rows to one key.
+    """
+    part = lambda size: F.col("gram").bitwiseAND(F.lit((1 << (8 * size)) - 1).cast("long"))
+    context = F.shiftright("gram", 8).alias("context")
+    # the shared model's lower orders count distinct left contexts
+    third = cut(counted.groupBy(part(3).alias("gram")).agg(F.count("*").alias("n")))
+    second = third.groupBy(part(2).alias("gram")).agg(F.count("*").alias("n")).toPandas().sort_values("gram")
+    second["below"] = _shared(second["gram"].to_numpy().astype(np.uint32), second["n"].to_numpy(float), 2)
+    second = F.broadcast(counted.sparkSession.createDataFrame(second[["gram", "below"]], "lower long, below double"))
+    totals = F.broadcast(third.groupBy(context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")))
+    third = third.select("gram", "n", context, part(2).alias("lower")).join(second, "lower").join(totals, "context")
+    third = third.select(F.col("gram").alias("lower"), ((F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("below")) / F.col("total")).alias("below"))
+
+    over = Window.partitionBy("context")
+    ordinary, toxic = F.col("ordinary"), F.col("toxic")
+    rows = counted.select("gram", "ordinary", "toxic", context, part(3).alias("lower")).select(
+        "*",
+        F.count("*").over(over).alias("kinds"),
+        *[F.sum(c).over(over).alias(f"{c}_total") for c in ("ordinary", "toxic")],
+        *[F.count(F.when(F.col(c) > 0, 1)).over(over).alias(f"{c}_kinds") for c in ("ordinary", "toxic")],
+    )
+    both, total = ordinary + toxic, F.col("ordinary_total") + F.col("toxic_total")
+    rows = rows.join(third, "lower").withColumn("shared", (F.greatest(both - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("below")) / total)
+    share = (F.col("toxic_total") + PRIOR * usual) / (total + PRIOR)
     expected = both * share
-    return np.where(np.abs(toxic - expected) > Z * np.sqrt(expected * (1 - share) + 0.25), out, 0.0)
+    log = {c: F.log((F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + (DISCOUNT * F.col(f"{c}_kinds") + PRIOR) * F.col("shared")) / (F.col(f"{c}_total") + PRIOR)) for c in ("ordinary", "toxic")}
+    rows = rows.filter(F.abs(toxic - expected) > Z * F.sqrt(expected * (1 - share) + 0.25))
+    return rows.select("gram", (log["toxic"] - log["ordinary"]).cast("float").alias("says")).filter("says <> 0")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -188,17 +209,14 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield flush()
 
     counted = rows.select("_text", "_toxic").mapInArrow(count, "gram long, ordinary long, toxic long")
-    counted = counted.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    found = counted.orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "gram").limit(GATHERED).toPandas().sort_values("gram")
-    ordinary, toxic = found["ordinary"].to_numpy(float), found["toxic"].to_numpy(float)
-    if not (ordinary.sum() and toxic.sum()):
+    counted = cut(counted.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
+    ordinary, toxic = counted.agg(F.coalesce(F.sum("ordinary"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not (ordinary and toxic):
         share = own.agg(F.avg("_toxic")).first()[0] or 0.0
         odds = np.log(share / (1 - share)) if 0 < share < 1 else (700.0 if share else -700.0)
         return Model(np.zeros(0, np.uint32), np.zeros(0, np.float32), np.array([odds, 0.0, 0.0]))
-    grams = found["gram"].to_numpy().astype(np.uint32)
-    says = contrast(grams, ordinary, toxic)
-    kept = np.sort(np.argsort(-np.abs(says), kind="stable")[: min(MODEL, np.count_nonzero(says))])
-    model = Model(grams[kept], says[kept].astype(np.float32), np.zeros(3))
+    found = contrast(counted, toxic / (ordinary + toxic)).toPandas().sort_values("gram")
+    model = Model(found["gram"].to_numpy().astype(np.uint32), found["says"].to_numpy(np.float32), np.zeros(3))
 
     chosen = own.orderBy(F.xxhash64("_id"), "_id").limit(CALIBRATION)
     given = spark_broadcast(docs, model)

@@ -144,6 +144,55 @@ def test_toxicity_learns_and_generalises(spark):
     assert all(r.score < 0.5 for r in out if not r.text)
 
 
+def test_toxicity_model_is_of_all_grams(spark, monkeypatch):
+    """No bound on the grams counted or kept changes what a gram says: brute force over all of them."""
+    for bound in ("GATHERED", "MODEL"):
+        monkeypatch.setattr(toxicity, bound, 20, raising=False)
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 40) + (" zwacking" * 3 if i % 4 == 0 else "") + (" é中" if i % 3 else ""), "a") for i in range(80)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int")
+    model = toxicity.train(frame(spark, rows), labels)
+
+    counts = collections.defaultdict(lambda: [0, 0])
+    for i, t, _ in rows:
+        read = b"    " + bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in t.encode())
+        for j in range(4, len(read)):
+            counts[read[j - 3 : j + 1]][i % 4 == 0] += 1
+    levels = {4: {g: a + b for g, (a, b) in counts.items()}}
+    for n in (3, 2, 1):
+        levels[n] = collections.Counter(g[1:] for g in levels[n + 1])
+    totals = {(n, g[:-1]): [0, 0] for n in levels for g in levels[n]}
+    for n in levels:
+        for g, c in levels[n].items():
+            totals[n, g[:-1]][0] += c
+            totals[n, g[:-1]][1] += 1
+
+    def shared(g):
+        if len(g) == 1:
+            return 0.999 * levels[1][g] / sum(levels[1].values()) + 0.001 / 256
+        total, kinds = totals[len(g), g[:-1]]
+        return (max(levels[len(g)][g] - 0.75, 0) + 0.75 * kinds * shared(g[1:])) / total
+
+    usual = sum(b for _, b in counts.values()) / sum(a + b for a, b in counts.values())
+    want = {}
+    for g, c in counts.items():
+        near = [x for h, x in counts.items() if h[:-1] == g[:-1]]
+        p, total = [], [sum(x[k] for x in near) for k in (0, 1)]
+        for k in (0, 1):
+            p.append((max(c[k] - 0.75, 0) + (0.75 * sum(x[k] > 0 for x in near) + 50) * shared(g)) / (total[k] + 50))
+        share = (total[1] + 50 * usual) / (sum(total) + 50)
+        if abs(c[1] - sum(c) * share) > 4 * (sum(c) * share * (1 - share) + 0.25) ** 0.5:
+            want[int.from_bytes(g)] = np.log(p[1] / p[0])
+    assert len(counts) > 20 and sorted(want) == model.grams.tolist()
+    assert np.allclose(model.says, [want[g] for g in sorted(want)], atol=1e-5)
+
+
+def test_toxicity_table_of_many_grams():
+    grams = np.unique(np.random.default_rng(1).integers(1 << 29, 1 << 32, 3_000_000, dtype=np.uint64).astype(np.uint32))
+    keys, values, bits = toxicity.Model(grams, np.arange(len(grams), dtype=np.float32), np.zeros(3)).table()
+    assert np.array_equal(np.sort(keys[keys > 0]), grams) and np.array_equal(values[keys > 0], np.searchsorted(grams, keys[keys > 0]).astype(np.float32))
+
+
 def test_toxicity_without_both_classes(spark):
     docs = frame(spark, [(1, "a b", "x"), (2, None, "x")])
     none = spark.createDataFrame([], "doc_id long, toxic int")
