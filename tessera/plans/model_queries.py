@@ -55,8 +55,8 @@ def _hybrid(s, d):
 
 
 def _tfidf(s, d):
-    docs = table(s, d, "documents").filter("length(text) < 1500")
-    return se.tfidf_similar(docs, "doc_id", "text", docs.filter("doc_id % 100 = 7").select("doc_id"))
+    docs = table(s, d, "documents")
+    return se.tfidf_similar(docs, "doc_id", "text", docs.filter("doc_id % 100 = 0").select("doc_id"))
 
 
 def _classified(s, d):

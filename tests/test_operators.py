@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import random
 
 import pytest
 from oracle import DATA
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as t
 from tessera.operators import forecast, graph, quality, relational, search, segmentation, student
+from tessera.plans import registry
 from tessera.sources import sinks, tables
 from tessera.streaming import incremental
 
@@ -103,6 +105,24 @@ def test_reachability_ends_on_cycles(spark):
     assert {(r.src, r.dst, r.hops) for r in graph.reachable(edges, 9).collect()} == {(1, 2, 1), (2, 1, 1), (2, 3, 1), (1, 1, 2), (2, 2, 2), (1, 3, 2)}
 
 
+def test_tfidf_query_scores_documents_of_any_length(spark, tmp_path):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    texts = {i: " ".join(rng.choices(words, k=rng.choice((5, 40, 900)))) for i in [*range(1, 30), 100, 200, 207]}
+    texts[100] = texts[7] + " " + texts[200]
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert max(map(len, texts.values())) > 1500
+    sets = {i: set(x.split()) for i, x in texts.items()}
+    idf = {w: math.log(1 + len(sets) / (sum(w in x for x in sets.values()) + 1)) for w in words}
+    size = {i: math.sqrt(sum(idf[w] ** 2 for w in x)) for i, x in sets.items()}
+    want = set()
+    for q in (100, 200):
+        best = [(-round(sum(idf[w] ** 2 for w in sets[q] & x) / (size[q] * size[i]), 6), i) for i, x in sets.items() if i != q and sets[q] & x]
+        want |= {(q, i, rank + 1) for rank, (_, i) in enumerate(sorted(best)[:10])}
+    got = registry.QUERIES["tfidf_similar"](spark, str(tmp_path)).collect()
+    assert {(r["query"], r.doc_id, r["rank"]) for r in got} == want
+
+
 def test_leaders_follow_the_order(spark):
     df = spark.createDataFrame([(0, 1, [1.0, 0.0]), (0, 2, [0.9, 0.1]), (0, 3, [0.0, 1.0]), (0, 4, [0.1, 1.0])], "g int, id long, v array<double>")
     assert {r.id: r.leader for r in search.leaders(df, "g", "id", "v", 0.8).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
