@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chat, fingerprint, licenses, mixing, sharding, topk, toxicity, urls
 from tessera.llm.common import table
-from tessera.llm.similarity import ngram_components
+from tessera.llm.similarity import link_counts, ngram_components
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -19,6 +19,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 OP1_SQL = f"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
@@ -149,6 +153,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op1_ngram_links": op1_ngram_links,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_toxicity": op3_toxicity,
     "op4_fingerprint": op4_fingerprint,

@@ -325,20 +325,34 @@ def _tile_links(tiles: DataFrame, members: DataFrame, docs: DataFrame, classes:
     return links
 
 
-def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_id) for each row: documents linked when den*|A & B| >= num*|A | B|.
-
-    set_id tells the distinct sets apart (null for texts without words). See the module for the method and
-    for null, empty, long and repeated rows.
-    """
+def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Rows (doc_id, n_shingles, sid), distinct sets (sid, doc_id, n, bits, keys) and the frequent shingles."""
     share = num / den
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = cut(_profiles(docs, "doc_id", "text", k, 1.6 * (1 - share) + 0.05))
     rows = found.filter("n >= 0").select("doc_id", F.col("n").alias("n_shingles"), "sid")
     classes = cut(found.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
     often = found.filter("n < 0").groupBy("sid").agg(F.sum(-F.col("n")).alias("times")).filter(F.col("times") >= OFTEN)
     often = often.orderBy(F.desc("times"), "sid").limit(FREQUENT).select("sid").toPandas()["sid"].to_numpy(np.int64)
     frequent = np.sort(often.view(np.uint64))
+    return rows, classes, frequent
+
+
+def _met(docs: DataFrame, labels: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(tile, sid, label, n) of the shingle tiles of several sets, and the tiles that are of several labels."""
+    prefixes = _prefixes(docs, "text", k, num, den, frequent)
+    shared = prefixes.groupBy("tile").agg(F.min("sid").alias("_a"), F.max("sid").alias("_z")).filter("_a < _z").select("tile")
+    met = cut(prefixes.join(shared, "tile").distinct().join(labels, "sid").select("tile", "sid", "label", "n"))
+    return met, met.groupBy("tile").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).filter("_a < _z").select("tile")
+
+
+def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id, set_id) for each row: documents linked when den*|A & B| >= num*|A | B|.
+
+    set_id tells the distinct sets apart (null for texts without words). See the module for the method and
+    for null, empty, long and repeated rows.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, classes, frequent = _classes(docs, k, num, den)
 
     # near copies: tiles of min-hash pairs
     keyed = classes.select(F.explode("keys").alias("tile"), "sid", F.col("sid").alias("label"), "n")
@@ -348,10 +362,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labels = classes.select("sid", "n").join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"), "n")
 
     # tiles of shingles, of what is still apart
-    prefixes = _prefixes(docs, "text", k, num, den, frequent)
-    shared = prefixes.groupBy("tile").agg(F.min("sid").alias("_a"), F.max("sid").alias("_z")).filter("_a < _z").select("tile")
-    met = cut(prefixes.join(shared, "tile").distinct().join(labels, "sid").select("tile", "sid", "label", "n"))
-    several = met.groupBy("tile").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).filter("_a < _z").select("tile")
+    met, several = _met(docs, labels, k, num, den, frequent)
     more = _tile_links(_dealt(met.join(several, "tile"), num, den), met, docs, classes, k, num, den, (1, 16, 0))
 
     joined = components(links.union(more))
@@ -362,6 +373,31 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.union(rows.filter("sid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "sid"))
 
 
+def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """All links of different sets (a < b, by set_id), and the membership (doc_id, n_shingles, set_id) of each row.
+
+    Every pair of sets that meets in a shingle tile is tried, each in one tile; none is left out for being in one
+    component already, so links grow with the square of a group of near copies. Rows of one set are linked to each
+    other and have all of its links; copies stay one set and add none. set_id is null for texts without words.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, classes, frequent = _classes(docs, k, num, den)
+    apart = classes.select("sid", F.col("sid").alias("label"), "n")
+    met, several = _met(docs, apart, k, num, den, frequent)
+    links = _tile_links(_dealt(met.join(several, "tile"), num, den), met, docs, classes, k, num, den, (0,))
+    return links.select("a", "b"), rows.withColumnRenamed("sid", "set_id")
+
+
+def link_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, n_links) for each row: the number of other rows that it is linked to, copies included."""
+    links, rows = ngram_links(docs, id_col=id_col, text_col=text_col, k=k, num=num, den=den)
+    copies = cut(rows.filter("set_id is not null").groupBy("set_id").agg(F.count("*").alias("_copies")))
+    ways = links.union(links.select("b", "a")).join(copies.select(F.col("set_id").alias("b"), "_copies"), "b")
+    near = ways.groupBy(F.col("a").alias("set_id")).agg(F.sum("_copies").alias("_near"))
+    counts = copies.join(near, "set_id", "left").select("set_id", (F.col("_copies") - 1 + F.coalesce("_near", F.lit(0))).alias("n_links"))
+    return rows.join(counts, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def near_duplicates_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each component, that of the least id; all columns are kept.
 

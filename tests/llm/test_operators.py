@@ -74,6 +74,24 @@ def test_ngram_components(spark, odd_rows, k, num, den):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=repr) == brute_components(odd_rows, k, num, den)
 
 
+@pytest.mark.parametrize("k,num,den", [(2, 60, 100), (4, 85, 100)])
+def test_ngram_links(spark, odd_rows, k, num, den):
+    """Every link between different texts, and each row's number of links."""
+    sets = []
+    for _, t, _ in odd_rows:
+        ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(tuple(ws[j : j + k]) for j in range(max(1, len(ws) - k + 1))) if ws else frozenset())
+    linked = lambda a, b: bool(a and b) and den * len(a & b) >= num * len(a | b)
+    pairs = sum(linked(a, b) for a, b in itertools.combinations(set(sets), 2))
+    links, members = similarity.ngram_links(frame(spark, odd_rows), k=k, num=num, den=den)
+    found = [(r.a, r.b) for r in links.collect()]
+    known = {r.set_id for r in members.collect()} - {None}
+    assert pairs and len(found) == len(set(found)) == pairs and all(a < b and {a, b} <= known for a, b in found)
+    counts = similarity.link_counts(frame(spark, odd_rows), k=k, num=num, den=den).collect()
+    want = [(r[0], len(s), sum(linked(s, o) for o in sets) - bool(s)) for r, s in zip(odd_rows, sets)]
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in counts), key=repr) == sorted(want, key=repr)
+
+
 def test_ngram_components_of_nothing(spark):
     assert similarity.ngram_components(frame(spark, [])).count() == 0
 
