@@ -11,7 +11,8 @@ most FEATURES grams by family, which bounds what is broadcast.
 Confirmation. The share of the word pairs of a family's template that the paragraph has, at best over its templates;
 CONFIRMED or more confirms the prediction.
 
-Paragraphs are lines. Each different paragraph is scored once. Null and empty texts have no findings; rows that repeat
+Paragraphs are lines, and, for notices that are wrapped, the joined lines between blank ones. Joined lines say nothing
+more where one of them is confirmed for their family. Each different paragraph is scored once. Null and empty texts have no findings; rows that repeat
 (id and text) have the findings of each; other columns stay out of it.
 """
 
@@ -142,13 +143,20 @@ def _model_frame(spark: SparkSession) -> DataFrame:
 def findings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, h, line, paragraph, family, probability, likeness, confirmed) of the paragraphs told to be licence lines.
 
-    h is a hash of the whole text, line its position from 0.
+    h is a hash of the whole text, line the position from 0 of the paragraph's first line.
     """
     spark = docs.sparkSession
     families, _, bias = trained()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike(_ANCHOR))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
-    lines = cut(rows.filter(F.col("paragraph").rlike(_ANCHOR)).distinct())
+    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("lines"))
+    single = rows.select("doc_id", "h", F.posexplode("lines").alias("line", "paragraph"), F.array().cast("array<string>").alias("parts"))
+    # lines get their position in front, so a line of \x01 alone is a blank one
+    marked = F.transform("lines", lambda x, i: F.when(F.trim(F.regexp_replace(x, r"\s", " ")) == "", F.lit("\x01")).otherwise(F.concat(i.cast("string"), F.lit("\x02"), x)))
+    blocks = rows.select("doc_id", "h", F.explode(F.split(F.array_join(marked, "\n"), r"(?md)^\x01$")).alias("block")).filter(F.col("block").rlike(_ANCHOR))
+    parts = F.filter(F.split("block", "\n"), lambda x: x != "")
+    blocks = blocks.select("doc_id", "h", F.regexp_extract("block", r"([0-9]+)\x02", 1).cast("int").alias("line"), F.transform(parts, lambda x: F.regexp_replace(x, r"^[0-9]+\x02", "")).alias("parts"))
+    blocks = blocks.filter(F.size("parts") > 1).select("doc_id", "h", "line", F.array_join("parts", " ").alias("paragraph"), "parts")
+    lines = cut(single.filter(F.col("paragraph").rlike(_ANCHOR)).union(blocks).distinct())
 
     each = lines.select("paragraph").distinct().withColumn("w", words(F.col("paragraph")))
     grams = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>")))))
@@ -167,7 +175,10 @@ def findings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     told = told.withColumn("own", own).join(F.broadcast(templates), "family")
     told = told.groupBy("paragraph", "family", "probability").agg(F.max(F.size(F.array_intersect("pairs", "own")) / F.greatest(F.size("pairs"), F.lit(1))).alias("likeness"))
     told = told.withColumn("confirmed", F.col("likeness") >= CONFIRMED)
-    return lines.join(told, "paragraph").select("doc_id", "h", "line", "paragraph", "family", "probability", "likeness", "confirmed")
+    found = cut(lines.join(told, "paragraph").select("doc_id", "h", "line", "paragraph", "family", "probability", "likeness", "confirmed", "parts"))
+    known = found.filter((F.size("parts") == 0) & F.col("confirmed")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("family").alias("_family"), F.col("paragraph").alias("_line")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("family") == F.col("_family")) & F.array_contains("parts", F.col("_line"))
+    return found.join(known, same, "left_anti").drop("parts")
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

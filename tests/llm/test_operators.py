@@ -332,6 +332,27 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    mit = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software."""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+    rows = [(1, mit, "a"), (2, gpl, "a"), (3, mit.replace("\n", "\r\n") + "\r\n \t\r\n" + gpl, "a"), (4, "He renewed his driver\nlicense last week and\npaid the fee.", "a"), (None, gpl, "a")]
+    got = {(r.doc_id, r.families) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == {(1, "mit"), (2, "gpl"), (3, "gpl,mit"), (4, ""), (None, "gpl")}
+    found = licenses.findings(frame(spark, rows)).filter("confirmed").collect()
+    assert {(r.doc_id, r.family, r.line) for r in found} == {(1, "mit", 4), (2, "gpl", 0), (3, "mit", 4), (3, "gpl", 10), (None, "gpl", 0)}
+
+
 def test_license_templates_are_told():
     families, weights, bias = licenses.trained()
     for family, lines in licenses.TEMPLATES.items():
