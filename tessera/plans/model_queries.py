@@ -121,7 +121,7 @@ QUERIES = {
     "document_terms": lambda s, d: se.related_terms(table(s, d, "benchmark"), "item_id", "text", 5),
     "graph_statistics": lambda s, d: g.statistics(_graph(s, d)),
     "graph_degrees": lambda s, d: g.degrees(_graph(s, d)),
-    "graph_pagerank": lambda s, d: g.pagerank(_tree(s, d), rounds=3),
+    "graph_pagerank": lambda s, d: g.pagerank(_tree(s, d)),
     "graph_reachable": lambda s, d: g.reachable(_tree(s, d), 4),
     "graph_bottlenecks": lambda s, d: g.bottlenecks(_tree(s, d), least=1.0),
     "graph_cycles": lambda s, d: g.in_cycle(_tree(s, d), 8),

@@ -100,6 +100,17 @@ def test_pagerank_of_a_cycle_and_a_sink(spark):
     assert abs(sum(r["rank"] for r in sink) - 1) < 1e-5
 
 
+def test_pagerank_converges(spark):
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 3), (5, 1), (5, 1), (5, 6)]
+    rank = {v: 1 / 6 for v in range(1, 7)}
+    out = {v: [b for a, b in edges if a == v] for v in rank}
+    for _ in range(500):
+        lost = sum(rank[v] for v in rank if not out[v])
+        rank = {v: 0.15 / 6 + 0.85 * (lost / 6 + sum(rank[a] / len(out[a]) for a, b in edges if b == v)) for v in rank}
+    got = {r.node: r["rank"] for r in graph.pagerank(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got.keys() == rank.keys() and all(abs(got[v] - rank[v]) < 1e-5 for v in rank)
+
+
 def test_reachability_ends_on_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "src long, dst long")
     assert {(r.src, r.dst, r.hops) for r in graph.reachable(edges, 9).collect()} == {(1, 2, 1), (2, 1, 1), (2, 3, 1), (1, 1, 2), (2, 2, 2), (1, 3, 2)}
