@@ -52,7 +52,7 @@ QUERIES = {
     "quality_rollup": _rollup,
     "garbled_texts": lambda s, d: _docs(s, d).select("doc_id", t.garbled(F.col("text")).alias("garbled"), F.round(t.garbage_score(F.col("text")), 4).alias("garbage")),
     "text_keys": lambda s, d: _docs(s, d).groupBy(t.text_key(F.col("text")).alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")),
-    "normal_form_keys": lambda s, d: _docs(s, d).groupBy(F.left(t.normalized(F.col("text")), F.lit(30)).alias("key")).agg(F.count("*").alias("n")),
+    "normal_form_keys": lambda s, d: _docs(s, d).groupBy(t.normalized(F.col("text")).alias("key")).agg(F.count("*").alias("n")),
     "fuzzy_keyword": lambda s, d: table(s, d, "benchmark").select("item_id", t.fuzzy_contains(F.col("text"), "there").alias("found"), t.keyword_count(F.lower(F.col("text")), "th").alias("times")),
     "char_ngram_df": lambda s, d: table(s, d, "benchmark").select("item_id", F.explode(F.array_distinct(t.char_ngrams(F.lower(F.col("text")), 3))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df")),
     "lexicon_labels": _lexicon,

@@ -134,6 +134,13 @@ def test_tfidf_query_scores_documents_of_any_length(spark, tmp_path):
     assert {(r["query"], r.doc_id, r["rank"]) for r in got} == want
 
 
+def test_normal_form_keys_are_of_whole_texts(spark, tmp_path):
+    same = "the same beginning of more than thirty letters "
+    rows = [(1, same + "one"), (2, same + "two"), (3, same + "two")]
+    spark.createDataFrame([(*r, "en", "a") for r in rows], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r.n for r in registry.QUERIES["normal_form_keys"](spark, str(tmp_path)).collect()) == [1, 2]
+
+
 def test_leaders_follow_the_order(spark):
     df = spark.createDataFrame([(0, 1, [1.0, 0.0]), (0, 2, [0.9, 0.1]), (0, 3, [0.0, 1.0]), (0, 4, [0.1, 1.0])], "g int, id long, v array<double>")
     assert {r.id: r.leader for r in search.leaders(df, "g", "id", "v", 0.8).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
