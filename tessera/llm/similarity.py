@@ -1,20 +1,22 @@
 """N-gram Jaccard join: documents whose sets of k-word shingles overlap by a least share, and their components.
 
-Method. Sets of one size band meet in tiles; each set carries a parity bitmap of its hashed shingles, as
-wide as the set is large, so that counting the bits in which two bitmaps differ bounds their overlap
-from above; only pairs which that bound admits are intersected, exactly, as sorted arrays.
+Method. Sets of one size band meet in tiles; each set carries a parity bitmap of its hashed shingles, so that
+counting the bits in which two bitmaps differ bounds their overlap from above; only pairs which that bound admits
+are intersected, exactly, as sorted arrays.
 
 What keeps this linear, without losing a link between different sets:
 - Equal sets are one class (a 64-bit id of size and members), so copies never meet.
-- A tile is a key that sets share, and a size band. Within a block of a tile pairs are tried in turn, and only
-  those of different components so far: what comes out is a forest of likely links, not all pairs. These are
-  intersected exactly; blocks with a pair that is no link are worked through again without it.
-- Near copies mostly share pairs of min-hashes; the first tiles are of these, and their links are contracted to
-  components. This only saves work: whatever it misses the next tiles find.
-- In any fixed order of shingles two sets that are similar enough share a shingle among the first n - ceil(t n) + 1
-  of each; those are the keys of the second tiles, and the join is exact because of them. The order puts shingles
-  that are frequent in the corpus last, so lines and passages that many documents share don't make tiles. (Any
-  order is right; which shingles count as frequent only changes the work.) Large tiles are dealt out in blocks.
+- A tile is a key that sets share, and a size band. In any fixed order of shingles two sets that are similar enough
+  share a shingle among the first n - ceil(t n) + 1 of each, which is even among the first
+  n - ceil(2 t n / (1 + t)) + 1 of the smaller; those are the keys, and the join is exact because of them. The order
+  puts shingles that are frequent in the corpus last, so lines and passages that many documents share don't make
+  tiles. (Any order is right; which shingles count as frequent only changes the work.)
+- Bitmaps have 1,024 bits, or 4,096 for large sets: what a tile's row weighs doesn't grow with its set.
+- Small blocks of a tile give all pairs that size, place and bitmaps admit. Large ones are worked through in turn,
+  only pairs of different components so far being tried: what comes out is a forest of likely links. These are
+  intersected, components contracted by the true links, and the tiles which still hold a pair of different components
+  go on; the last pass gives all admitted pairs of different components, which are few by then.
+- Near copies mostly share pairs of min-hashes; the first tiles are of these. This only saves work.
 
 Results: one row per input row. Rows without words (null or empty text too) are in no link. Rows that are
 equal, or have the same id, each get a row. Component ids are the least non-null id of the component; null
@@ -27,21 +29,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as w
-from tessera.llm.common import BROADCAST_ROWS, cut, keep_ids
+from tessera.llm.common import BROADCAST_ROWS, cut, free_name, keep_ids
 from tessera.llm.components import components
 
 #: Min-hash pairs of a set.
-KEYS = 6
+KEYS = 4
 #: Shingles that are ordered last: those found most often, up to so many (1 MB to each worker).
 FREQUENT = 1 << 17
 #: A shingle found so often at least may be frequent.
 OFTEN = 32
 #: Rows of a tile that meet in one block; larger tiles are dealt out in pairs of blocks.
 BLOCK = 1024
+#: Blocks of up to so many rows give all their admitted pairs at once.
+SMALL = 8
+#: Sets that a task remembers, so as not to repeat copies; beyond it forgets and starts anew.
+SEEN = 1 << 20
+#: Bytes of sets that are held for one Arrow batch.
+HELD_BYTES = 1 << 24
+#: Bits of the bitmaps of sets up to so many members, and of larger ones.
+NARROW, WIDE = 1024, 4096
 
 
 def least_common(a: int, b: int, num: int, den: int) -> int:
@@ -49,7 +59,12 @@ def least_common(a: int, b: int, num: int, den: int) -> int:
     return -(-num * (a + b) // (num + den))
 
 
-def _profiles(docs: DataFrame, id_col: str, text_col: str, k: int, low: float) -> DataFrame:
+def width(n: int) -> int:
+    """Bits of the bitmap of a set of n members."""
+    return NARROW if n <= NARROW else WIDE
+
+
+def _profiles(docs: DataFrame, k: int, low: float) -> DataFrame:
     """A row per document: (doc_id, n, sid, keys, bits); and rows (sid=shingle, n=-times) of shingles met often."""
     bound = np.uint64(min(1.0, low) * float(1 << 63) * 1.999)
 
@@ -70,24 +85,23 @@ def _profiles(docs: DataFrame, id_col: str, text_col: str, k: int, low: float) -
                 if len(s):
                     sid.append(w.set_id(s))
                     keys.append(w.min_keys(s, KEYS))
-                    bits.append(w.bitmap(s))
-                    held.append(s[: np.searchsorted(s, bound)])
+                    bits.append(w.bitmap(s, width(len(s))))
+                    held.append(s[: np.searchsorted(s, bound)].copy())
                     count += len(held[-1])
                 else:
                     sid.append(None)
                     keys.append(None)
                     bits.append(None)
+                if count > 1_000_000:
+                    yield flush(held)
+                    held, count = [], 0
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names)
-            if count > 2_000_000:
-                yield flush(held)
-                held, count = [], 0
         yield flush(held)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, sid long, keys array<long>, bits binary")
+    return docs.mapInArrow(run, "doc_id long, n long, sid long, keys array<long>, bits binary")
 
 
-def _sets(docs: DataFrame, sets: DataFrame, text_col: str, k: int) -> DataFrame:
+def _sets(docs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     """(sid, members) of the sets in ``sets`` (sid, doc_id of one document that has it)."""
     reps = sets.select("doc_id", "sid").distinct()
     n = reps.count()
@@ -95,30 +109,25 @@ def _sets(docs: DataFrame, sets: DataFrame, text_col: str, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(w.shingle_sets(batch.column(0), k))
-            yield pa.record_batch([pa.array([w.set_id(s) if len(s) else None for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["sid", "members"])
-
-    wide = docs.select("doc_id", text_col)
-    rows = keep_ids(wide, ids, "doc_id", n).union(wide.filter("doc_id is null")).select(text_col)
+            sid, members, held = [], [], 0
+            for s in w.shingle_sets(batch.column(0), k):
+                if len(s):
+                    sid.append(w.set_id(s))
+                    members.append(s.tobytes())
+                    held += s.nbytes
+                if held > HELD_BYTES:
+                    yield pa.record_batch([pa.array(sid, pa.int64()), pa.array(members, pa.binary())], ["sid", "members"])
+                    sid, members, held = [], [], 0
+            yield pa.record_batch([pa.array(sid, pa.int64()), pa.array(members, pa.binary())], ["sid", "members"])
+
+    rows = keep_ids(docs, ids, "doc_id", n).union(docs.filter("doc_id is null")).select("text")
     rows = rows.mapInArrow(run, "sid long, members binary")
     # documents of one id may have different texts, and documents of one text different ids
     return rows.join(reps.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("members").alias("members"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """The links among pairs (a, b) of sets: the bitmaps' bound first, then exact intersection."""
-
-    def admitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
-            keep = (den * np.minimum(na, nb) >= num * np.maximum(na, nb)).tolist()
-            for i, (x, y) in enumerate(zip(batch.column(3), batch.column(5))):
-                if keep[i]:
-                    x, y = x.as_py(), y.as_py()
-                    size = min(len(x), len(y))
-                    apart = int(np.bitwise_count(w.fold(x, size) ^ w.fold(y, size)).sum())
-                    keep[i] = (na[i] + nb[i] - apart) // 2 >= least_common(int(na[i]), int(nb[i]), num, den)
-            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The links among the distinct pairs (a, b) of sets, by exact intersection."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,128 +137,217 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, text_col: s
                 keep.append(w.overlap(x, y) >= least_common(len(x), len(y), num, den))
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c: classes.select(F.col("sid").alias(c), F.col("n").alias("n" + c), F.col("bits").alias("bits" + c))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "bitsa", "nb", "bitsb")
-    near = cut(near.mapInArrow(admitted, "a long, b long"))
-    if near.isEmpty():
-        return near
-    used = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes.select("sid", "doc_id"), "sid")
-    members = cut(_sets(docs, used, text_col, k))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes.select("sid", "doc_id"), "sid")
+    members = cut(_sets(docs, cut(used), k))
     side = lambda c: members.select(F.col("sid").alias(c), F.col("members").alias("m" + c))
-    found = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb")
+    found = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb")
     return cut(found.mapInArrow(exact, "a long, b long"))
 
 
-def _prefixes(docs: DataFrame, text_col: str, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """(tile, sid): the first n - ceil(t n) + 1 shingles of each set, frequent ones last."""
+def _prefixes(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
+    """(tile, part, sid, n, early): the first n - ceil(t n) + 1 shingles of each set, frequent ones last.
+
+    A pair of similar sets shares one that is ``early`` in the smaller set: among its first n - ceil(2 t n / (1 + t)) + 1.
+    Frequent shingles are dealt to parts. A set that a task has seen already isn't repeated.
+    """
+    names = ["tile", "part", "sid", "n", "early"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            out, owner, size = [], [], []
-            for s in w.shingle_sets(batch.column(0), k):
-                if not len(s):
+            out, part, owner, size, count, early, held = [], [], [], [], [], [], 0
+
+            def rows() -> pa.RecordBatch:
+                own = np.repeat(np.array(owner, np.int64), size)
+                hot = np.concatenate(part) if part else np.zeros(0, np.int64)
+                tile = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+                return pa.record_batch([pa.array(tile), pa.array(np.where(hot, (own >> 7) & 63, -1)), pa.array(own), pa.array(np.repeat(np.array(count, np.int64), size)), pa.array(np.concatenate(early) if early else np.zeros(0, bool))], names)  # noqa: B023
+
+            for s in w.shingle_sets(batch.column(1), k):
+                sid = w.set_id(s) if len(s) else None
+                if sid is None or sid in seen:
                     continue
-                most = len(s) + (-num * len(s) // den) + 1
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(sid)
+                n = len(s)
+                most = n + (-num * n // den) + 1
+                known = np.zeros(n, bool)
                 if len(frequent):
                     at = np.searchsorted(frequent, s)
                     at[at == len(frequent)] = 0
                     known = frequent[at] == s
-                    head = s[~known][:most]
-                    if len(head) < most:
-                        head = np.concatenate([head, s[known][: most - len(head)]])
-                else:
-                    head = s[:most]
+                head = s[~known][:most]
+                rare = len(head)
+                if rare < most:
+                    head = np.concatenate([head, s[known][: most - rare]])
                 out.append(head)
-                owner.append(w.set_id(s))
-                size.append(len(head))
+                part.append(np.arange(most) >= rare)
+                owner.append(sid)
+                size.append(most)
+                count.append(n)
+                early.append(np.arange(most) < n - least_common(n, n, num, den) + 1)
+                held += most
+                if held > 1_000_000:
+                    yield rows()
+                    out, part, owner, size, count, early, held = [], [], [], [], [], [], 0
             if out:
-                yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(owner, np.int64), size))], ["tile", "sid"])
+                yield rows()
 
-    return docs.select(text_col).mapInArrow(run, "tile long, sid long")
+    return docs.mapInArrow(run, "tile long, part long, sid long, n long, early boolean")
 
 
-_TILE = ["tile", "band", "x", "y"]
-
+def _met(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
+    """(tile, sid, n, early) of shingle tiles: rows which size and place in the set leave a partner in their tile."""
+    names = ["tile", "sid", "n", "early"]
 
-def _block(rows: dict, told: list[tuple[int, int, int]], num: int, den: int, most: int) -> tuple[list, list]:
-    """Pairs of sets that connect all of a block which size and bitmaps admit and whose components differ.
+    def done(held: list[pa.RecordBatch], whole: bool) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        tile, sid, n, early, part = (t.column(c).to_numpy() for c in ("tile", "sid", "n", "early", "part"))
+        fresh = np.ones(len(tile), bool)
+        fresh[1:] = (tile[1:] != tile[:-1]) | (sid[1:] != sid[:-1])
+        tile, sid, n, early, part = tile[fresh], sid[fresh], n[fresh], early[fresh], part[fresh]
+        if whole and len(tile):
+            # an early row has a partner if the next row is near in size, any row if the last early row before it is
+            change = np.concatenate([[True], tile[1:] != tile[:-1]])
+            first = np.maximum.accumulate(np.where(change, np.arange(len(tile)), 0))
+            near_next = np.concatenate([~change[1:] & (num * n[1:] <= den * n[:-1]), [False]])
+            last = np.maximum.accumulate(np.where(early, np.arange(len(tile)), -1))
+            last = np.concatenate([[-1], last[:-1]])
+            near_last = (last >= first) & (num * n <= den * n[np.maximum(last, 0)])
+            keep = (early & near_next) | near_last | (part >= 0)
+            tile, sid, n, early = tile[keep], sid[keep], n[keep], early[keep]
+        return pa.record_batch([pa.array(tile), pa.array(sid), pa.array(n), pa.array(early)], names)
 
-    Pairs are taken as links while the block is worked through, so that a set meets a component once: ``most``
-    pairs, the likeliest, are returned for it. With most = 0 nothing is taken for granted, and every pair of
-    different components returned. told: pairs (a, b, n) that were links (n = -1) or not (-2). A pair of two rows of
-    the band above is left to that band, and in the last pass, where rows have all their tiles, one to the least
-    tile that both are in.
-    """
-    n, sid = rows["n"], rows["sid"]
-    order = np.lexsort((sid, n))
-    sid, n, own = sid[order], n[order], rows["own"][order] > 0
-    _, root = np.unique(rows["label"][order], return_inverse=True)
-    at_of = {v: i for i, v in enumerate(sid.tolist())} if told else {}
-    refused: dict[int, set[int]] = {}
-    for a, b, linked in told:
-        if a in at_of and b in at_of:
-            i, j = sorted((at_of[a], at_of[b]))
-            if linked == -1:
-                root[root == root[j]] = root[i]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now, whole = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tile = batch.column(0).to_numpy()
+            change = np.flatnonzero(tile[1:] != tile[:-1]) + 1
+            if now != int(tile[0]):
+                if held:
+                    yield done(held, whole)
+                held, whole = [], True
+            elif len(change) and not whole:
+                yield done([*held, batch.slice(0, int(change[0]))], False)
+                batch, change = batch.slice(int(change[0])), change[1:] - change[0]
+                held, whole = [], True
+            now = int(tile[-1])
+            if len(change):
+                yield done([*held, batch.slice(0, int(change[-1]))], True)
+                held = [batch.slice(int(change[-1]))]
             else:
-                refused.setdefault(i, set()).add(j)
-    width = min(len(rows["bits"][i]) for i in order.tolist())
-    bits = np.stack([w.fold(rows["bits"][i], width) for i in order.tolist()])
+                held.append(batch)
+                if sum(b.num_rows for b in held) > 500_000:  # of so large a tile all rows stay
+                    yield done(held, False)
+                    held, whole = [], False
+        if held:
+            yield done(held, whole)
+
+    keyed = _prefixes(docs, k, num, den, frequent).repartition("tile", "part").sortWithinPartitions("tile", "n", "sid")
+    return keyed.mapInArrow(run, "tile long, sid long, n long, early boolean")
+
+
+_TILE = ["tile", "band", "x", "y"]
+
+
+def _bitmaps(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' bitmaps folded to the narrow width, the wide ones, and each row's place among these (-1: none)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    wide = np.diff(offsets) > NARROW // 8
+
+    def rows(of: np.ndarray, bits: int) -> np.ndarray:
+        chosen = column.filter(pa.array(of))
+        return np.frombuffer(b"" if not len(chosen) else chosen.buffers()[2], np.uint64, len(chosen) * bits // 64).reshape(-1, bits // 64)
+
+    large = rows(wide, WIDE)
+    narrow = np.empty((len(column), NARROW // 64), np.uint64)
+    narrow[~wide] = rows(~wide, NARROW)
+    narrow[wide] = np.bitwise_xor.reduce(large.reshape(-1, WIDE // NARROW, NARROW // 64), 1)
+    return narrow, large, np.where(wide, np.cumsum(wide) - 1, -1)
+
+
+def _fits(i: np.ndarray, j: np.ndarray, n: np.ndarray, bits: tuple[np.ndarray, np.ndarray, np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs (i, j) size and bitmaps admit, and in how many bits each of these differs."""
+    narrow, large, at = bits
+    both = n[i] + n[j]
+    least = -(-num * both // (num + den))
+    apart = np.bitwise_count(narrow[i] ^ narrow[j]).sum(1, dtype=np.int64)
+    ok = np.flatnonzero((num * np.maximum(n[i], n[j]) <= den * np.minimum(n[i], n[j])) & ((both - apart) // 2 >= least))
+    more = ok[(at[i[ok]] >= 0) & (at[j[ok]] >= 0)]
+    if len(more):
+        apart[more] = np.bitwise_count(large[at[i[more]]] ^ large[at[j[more]]]).sum(1, dtype=np.int64)
+        ok = ok[(both[ok] - apart[ok]) // 2 >= least[ok]]
+    return ok, apart[ok]
+
+
+def _forest(rows: dict, bits: tuple, num: int, den: int, most: int) -> tuple[list, list]:
+    """Pairs of sets of one large block, in order of size: see the module; ``most`` for each set and component, 0: all."""
+    n, sid, own, early = rows["n"], rows["sid"], rows["own"], rows["early"]
+    _, root = np.unique(rows["label"], return_inverse=True)
     a, b = [], []
     for i in range(len(n) - 1):
+        if not early[i]:
+            continue
         last = int(np.searchsorted(n, den * n[i] // num, "right"))
         apart = root[i + 1 : last] != root[i]
         at = i + 1 + np.flatnonzero(apart if own[i] else apart & own[i + 1 : last])
         if not len(at):
             continue
-        apart = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
-        both = n[at] + n[i]
-        fits = (both - apart) // 2 >= -(-num * both // (num + den))
-        if i in refused:
-            fits &= ~np.isin(at, list(refused[i]))
-        at, apart = at[fits], apart[fits]
-        if not most:
-            mine = rows["tiles"][order[i]]
-            least = [np.intersect1d(mine, rows["tiles"][order[j]], assume_unique=True)[0] == rows["tile"] for j in at.tolist()]
-            at, apart = at[least], apart[least]
-        if not len(at):
+        ok, apart = _fits(np.full(len(at), i), at, n, bits, num, den)
+        if not len(ok):
             continue
-        at = at[np.argsort(apart, kind="stable")]
-        roots, first = np.unique(root[at], return_index=True)
-        if not most:
-            chosen = at
-        elif most == 1:
-            chosen = at[first]
-        else:
-            chosen = np.concatenate([at[root[at] == r][:most] for r in roots.tolist()])
-        a += np.minimum(sid[chosen], sid[i]).tolist()
-        b += np.maximum(sid[chosen], sid[i]).tolist()
+        at = at[ok][np.argsort(apart, kind="stable")]
         if most:
+            roots, first = np.unique(root[at], return_index=True)
+            chosen = at[first] if most == 1 else np.concatenate([at[root[at] == r][:most] for r in roots.tolist()])
             root[np.isin(root, roots)] = root[i]
+        else:
+            chosen = at
+        a += [sid[i]] * len(chosen)
+        b += sid[chosen].tolist()
     return a, b
 
 
 def _tile_pairs(tiles: DataFrame, num: int, den: int, most: int) -> DataFrame:
-    """(tile, band, x, y, a, b): each block's pairs. tiles: (tile, band, x, y, sid, label, n, own, bits, tiles), and what was told."""
-    names = [*_TILE, "a", "b"]
+    """(tile, a, b): each block's pairs; the tile is null if the block's pairs are all there.
+
+    tiles: (tile, band, x, y, sid, label, n, early, own, bits). A pair of two rows of the band above is left to that band.
+    """
+    names = ["tile", "a", "b"]
 
     def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         key = np.stack([t.column(c).to_numpy() for c in _TILE])
-        sid, label, n, own_band = (t.column(c).to_numpy() for c in ("sid", "label", "n", "own"))
-        bits, tiles_of = t.column("bits").to_pylist(), t.column("tiles")
-        edges = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [len(n)]]).tolist()
-        out: list[tuple] = []
-        for i, j in zip(edges[:-1], edges[1:]):
-            own = i + np.flatnonzero(n[i:j] >= 0)
-            if len(own) > 1:
-                told = [(int(sid[k]), int(label[k]), int(n[k])) for k in (i + np.flatnonzero(n[i:j] < 0)).tolist()]
-                rows = {"sid": sid[own], "label": label[own], "n": n[own], "own": own_band[own], "bits": [bits[k] for k in own.tolist()], "tile": key[0, i]}
-                if not most:
-                    rows["tiles"] = [np.sort(np.array(tiles_of[k].as_py(), np.int64)) for k in own.tolist()]
-                out += [(*key[:, i].tolist(), a, b) for a, b in zip(*_block(rows, told, num, den, most))]
-        if out:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names)
+        sid, label, n, early, own = (t.column(c).to_numpy() for c in ("sid", "label", "n", "early", "own"))
+        starts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1])
+        sizes = np.diff(np.concatenate([starts, [len(n)]]))
+        bits = _bitmaps(t.column("bits"))
+        left, right = [], []
+        for size in range(2, SMALL + 1):
+            p, q = np.triu_indices(size, 1)
+            of = starts[sizes == size][:, None]
+            left.append((of + p).ravel())
+            right.append((of + q).ravel())
+        i, j = np.concatenate(left), np.concatenate(right)
+        some = np.flatnonzero((label[i] != label[j]) & early[i] & (own[i] | own[j]))
+        i, j = i[some], j[some]
+        ok, _ = _fits(i, j, n, bits, num, den)
+        pairs = np.unique(np.stack([np.minimum(sid[i[ok]], sid[j[ok]]), np.maximum(sid[i[ok]], sid[j[ok]])]), axis=1)
+        if pairs.shape[1]:
+            yield pa.record_batch([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1])], names)
+        for at, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+            part = slice(at, at + size)
+            narrow, large, place = bits
+            a, b = _forest({"n": n[part], "sid": sid[part], "own": own[part], "early": early[part], "label": label[part]}, (narrow[part], large, place[part]), num, den, most)
+            if a:
+                a, b = np.array(a), np.array(b)
+                yield pa.record_batch([pa.array(np.full(len(a), key[0, at])), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -270,65 +368,68 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int, most: int) -> DataFrame:
         if held:
             yield from done(held)
 
-    keyed = tiles.repartition(*_TILE).sortWithinPartitions(*_TILE)
-    return keyed.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    keyed = tiles.repartition(*_TILE).sortWithinPartitions(*_TILE, "n", "sid")
+    return keyed.mapInArrow(run, "tile long, a long, b long")
 
 
 def _dealt(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(tile, band, x, y, sid, label, n, own): rows (tile, sid, label, n) dealt to size bands of their tile, and blocks of these.
+    """Rows (tile, sid, label, n, early) dealt to size bands of their tile, and blocks (x, y) of these; own: its own band.
 
     Similar sets are in one band or in neighbouring ones: each is dealt to its own and to the one below. Bands
     whose rows are all of one component have nothing to say and go.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + F.lit(1e-9)).cast("long")
-    rows = rows.withColumn("_b", F.explode(F.array(F.struct(band.alias("band"), F.lit(1).cast("long").alias("own")), F.struct((band - 1).alias("band"), F.lit(0).cast("long").alias("own")))))
-    rows = rows.select("tile", "_b.band", "_b.own", "sid", "label", "n")
-    several = rows.groupBy("tile", "band").agg(F.min("label").alias("_a"), F.max("label").alias("_z"), F.count("*").alias("rows")).filter("_a < _z")
-    rows = rows.join(several.select("tile", "band", F.ceil(F.col("rows") / F.lit(BLOCK)).cast("long").alias("_parts")), ["tile", "band"])
+    rows = rows.withColumn("_b", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))))
+    rows = rows.select("tile", "_b.band", "_b.own", "sid", "label", "n", "early")
+    several = rows.groupBy("tile", "band").agg(F.min("label").alias("_a"), F.max("label").alias("_z"), F.count("*").alias("rows"), F.max("own").alias("_own"), F.max("early").alias("_early"))
+    several = several.filter("_a < _z and _own and _early").select("tile", "band", F.ceil(F.col("rows") / F.lit(BLOCK)).cast("long").alias("_parts"))
+    rows = rows.join(several, ["tile", "band"])
     mine, other = F.pmod(F.xxhash64("sid"), F.col("_parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
     rows = rows.withColumn("_mine", mine).withColumn("_other", other)
-    return rows.select("tile", "band", F.least("_mine", "_other").alias("x"), F.greatest("_mine", "_other").alias("y"), "sid", "label", "n", "own")
+    return rows.select("tile", "band", F.least("_mine", "_other").alias("x"), F.greatest("_mine", "_other").alias("y"), "sid", "label", "n", "early", "own")
 
 
-def _tile_links(tiles: DataFrame, members: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, passes: tuple[int, ...]) -> DataFrame:
-    """Links that connect all sets which are linked within a block of a tile, if the last of the passes is 0.
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (sid, label) with the components that the links (a, b) between sets join contracted."""
+    end = lambda c: labels.select(F.col("sid").alias(c), F.col("label").alias("l" + c))
+    found = components(links.join(end("a"), "a").join(end("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    found = found.select(F.col("node").alias("label"), F.col("label").alias("_to"))
+    return cut(labels.join(found, "label", "left").select("sid", F.coalesce("_to", "label").alias("label")))
 
-    A pass returns so many pairs of a set and a component (0: all). Blocks with a pair that turns out to be no link
-    go on to the next pass, with what is known of their pairs. Bitmaps join the rows last, block by block. members:
-    (tile, sid) of all tiles, from which a last pass of 0 takes each set's list (no longer than its prefix).
+
+def _linked(met: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, passes: tuple[int, ...]) -> tuple[DataFrame | None, DataFrame]:
+    """Links found in the tiles of ``met`` (tile, sid, n, early), and the labels (sid, label) that follow.
+
+    A pass returns so many pairs of a set and a component (0: all). Tiles with a pair whose components are still apart
+    go on to the next pass.
     """
     bits = classes.select("sid", "bits")
-    tiles = cut(tiles)
-    none = F.lit(None).cast("array<bigint>").alias("tiles")
-    links, told, known, active = None, None, None, tiles
+    links, active = None, met
     for most in passes:
-        rows = active.join(bits, "sid")
-        if most:
-            rows = rows.select(*_TILE, "sid", "label", "n", "own", "bits", none)
-        else:
-            lists = members.join(active.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.collect_list("tile").alias("tiles"))
-            rows = rows.join(lists, "sid").select(*_TILE, "sid", "label", "n", "own", "bits", "tiles")
-        pairs = cut(_tile_pairs(rows if known is None else rows.union(known), num, den, most))
-        found = _verified(docs, pairs.select("a", "b").distinct(), classes, "text", k, num, den)
+        rows = _dealt(active.join(labels, "sid"), num, den)
+        pairs = cut(_tile_pairs(rows.join(bits, "sid").select(*_TILE, "sid", "label", "n", "early", "own", "bits"), num, den, most))
+        if pairs.isEmpty():
+            break
+        found = _verified(docs, cut(pairs.select("a", "b").distinct()), classes, k, num, den)
         links = found if links is None else links.union(found)
+        if passes == (0,):
+            break
+        labels = _relabelled(labels, found)
         if most == passes[-1]:
             break
-        now = pairs.join(found.withColumn("linked", F.lit(-1).cast("long")), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(-2).cast("long")))
-        now = cut(now.select(*_TILE, "a", "b", "linked"))
-        again = cut(now.filter("linked = -2").select(*_TILE).distinct())
-        if again.isEmpty():
+        end = lambda c: labels.select(F.col("sid").alias(c), F.col("label").alias("l" + c))  # noqa: B023, E731
+        still = pairs.filter("tile is not null").join(end("a"), "a").join(end("b"), "b").filter("la <> lb")
+        still = cut(still.select("tile").distinct())
+        if still.isEmpty():
             break
-        told = now if told is None else told.union(now)
-        told_rows = told.select(*_TILE, F.col("a").alias("sid"), F.col("b").alias("label"), F.col("linked").alias("n"), F.lit(0).cast("long").alias("own"), F.lit(None).cast("binary").alias("bits"), none)
-        known = told_rows.join(again, _TILE, "left_semi")
-        active = cut(active.join(again, _TILE, "left_semi"))
-    return links
+        active = cut(active.join(still, "tile", "left_semi"))
+    return links, labels
 
 
 def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """Rows (doc_id, n_shingles, sid), distinct sets (sid, doc_id, n, bits, keys) and the frequent shingles."""
     share = num / den
-    found = cut(_profiles(docs, "doc_id", "text", k, 1.6 * (1 - share) + 0.05))
+    found = cut(_profiles(docs, k, 1.6 * (1 - share) + 0.05))
     rows = found.filter("n >= 0").select("doc_id", F.col("n").alias("n_shingles"), "sid")
     classes = cut(found.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
     often = found.filter("n < 0").groupBy("sid").agg(F.sum(-F.col("n")).alias("times")).filter(F.col("times") >= OFTEN)
@@ -337,55 +438,53 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     return rows, classes, frequent
 
 
-def _met(docs: DataFrame, labels: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(tile, sid, label, n) of the shingle tiles of several sets, and the tiles that are of several labels."""
-    prefixes = _prefixes(docs, "text", k, num, den, frequent)
-    shared = prefixes.groupBy("tile").agg(F.min("sid").alias("_a"), F.max("sid").alias("_z")).filter("_a < _z").select("tile")
-    met = cut(prefixes.join(shared, "tile").distinct().join(labels, "sid").select("tile", "sid", "label", "n"))
-    return met, met.groupBy("tile").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).filter("_a < _z").select("tile")
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_id) for each row: documents linked when den*|A & B| >= num*|A | B|.
-
-    set_id tells the distinct sets apart (null for texts without words). See the module for the method and
-    for null, empty, long and repeated rows.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, set_id, label) for each row of docs (doc_id, text); the label tells components apart."""
     rows, classes, frequent = _classes(docs, k, num, den)
+    labels = classes.select("sid", F.col("sid").alias("label"))
 
     # near copies: tiles of min-hash pairs
-    keyed = classes.select(F.explode("keys").alias("tile"), "sid", F.col("sid").alias("label"), "n")
+    keyed = classes.select(F.explode("keys").alias("tile"), "sid", "n", F.lit(True).alias("early"))
     several = keyed.groupBy("tile").agg(F.count("*").alias("rows")).filter("rows > 1").select("tile")
-    links = _tile_links(_dealt(keyed.join(several, "tile"), num, den), keyed, docs, classes, k, num, den, (1, 16))
-    labels = components(links)
-    labels = classes.select("sid", "n").join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"), "n")
+    _, labels = _linked(cut(keyed.join(several, "tile", "left_semi")), labels, docs, classes, k, num, den, (1, 16))
 
     # tiles of shingles, of what is still apart
-    met, several = _met(docs, labels, k, num, den, frequent)
-    more = _tile_links(_dealt(met.join(several, "tile"), num, den), met, docs, classes, k, num, den, (1, 16, 0))
+    _, labels = _linked(cut(_met(docs, k, num, den, frequent)), labels, docs, classes, k, num, den, (1, 16, 0))
 
-    joined = components(links.union(more))
-    named = classes.select("sid", "doc_id").join(joined.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    named = classes.select("sid", "doc_id").join(labels, "sid")
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "label").select("sid", "component_id")
-    out = rows.filter("sid is not null").join(named, "sid").select("doc_id", "n_shingles", "component_id", F.col("sid").alias("set_id"))
-    return out.union(rows.filter("sid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "sid"))
+    named = named.join(least, "label").select("sid", "component_id", "label")
+    out = rows.filter("sid is not null").join(named, "sid").select("doc_id", "n_shingles", "component_id", F.col("sid").alias("set_id"), "label")
+    alone = rows.filter("sid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "sid", F.lit(None).cast("long"))
+    return out.union(alone)
+
+
+def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id, set_id) for each row: documents linked when den*|A & B| >= num*|A | B|.
+
+    set_id tells the distinct sets apart (null for texts without words). See the module for the method and
+    for null, empty, long and repeated rows.
+    """
+    return _components(_texts(docs, id_col, text_col), k, num, den).drop("label")
 
 
 def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """All links of different sets (a < b, by set_id), and the membership (doc_id, n_shingles, set_id) of each row.
 
-    Every pair of sets that meets in a shingle tile is tried, each in one tile; none is left out for being in one
-    component already, so links grow with the square of a group of near copies. Rows of one set are linked to each
+    Every pair of sets that meets in a shingle tile is tried; none is left out for being in one component already, so
+    links grow with the square of a group of near copies, as their number does. Rows of one set are linked to each
     other and have all of its links; copies stay one set and add none. set_id is null for texts without words.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = _texts(docs, id_col, text_col)
     rows, classes, frequent = _classes(docs, k, num, den)
-    apart = classes.select("sid", F.col("sid").alias("label"), "n")
-    met, several = _met(docs, apart, k, num, den, frequent)
-    links = _tile_links(_dealt(met.join(several, "tile"), num, den), met, docs, classes, k, num, den, (0,))
-    return links.select("a", "b"), rows.withColumnRenamed("sid", "set_id")
+    labels = classes.select("sid", F.col("sid").alias("label"))
+    links, _ = _linked(cut(_met(docs, k, num, den, frequent)), labels, docs, classes, k, num, den, (0,))
+    links = labels.select(F.col("sid").alias("a"), F.col("label").alias("b")).limit(0) if links is None else links
+    return links, rows.withColumnRenamed("sid", "set_id")
 
 
 def link_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -398,14 +497,48 @@ def link_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(counts, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def _set_ids(text: Column, k: int) -> Column:
+    """The set_id of each text."""
+
+    @F.arrow_udf("long")
+    def found(column: pa.Array) -> pa.Array:
+        return pa.array([w.set_id(s) if len(s) else None for s in w.shingle_sets(column, k)], pa.int64())
+
+    return found(text.cast("string"))
+
+
 def near_duplicates_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each component, that of the least id; all columns are kept.
 
-    Rows with the same id and text are one document. Rows of null id stay only where no member of their
-    component has an id.
+    Rows with the same id and text are one document. Where rows of different texts share an id, the texts decide which
+    of them stays. Rows of null id stay only where no member of their component has an id, one of each component.
     """
-    found = ngram_components(docs, id_col=id_col, text_col=text_col, k=k, num=num, den=den)
-    kept = cut(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct())
-    n = kept.count()
-    kept = F.broadcast(kept) if n <= BROADCAST_ROWS else kept
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col, text_col])
+    found = cut(_components(_texts(docs, id_col, text_col), k, num, den))
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    twice = cut(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    mark, sid = free_name(docs, "_kept"), free_name(docs, "_set")
+    key = F.col(id_col).cast("long")
+
+    # ids that occur once decide by themselves
+    once = found.filter(own & F.col("doc_id").isNotNull()).join(twice, "doc_id", "left_anti").select(F.col("doc_id").alias(mark))
+    once = cut(once)
+    n = once.count()
+    kept = docs.join(F.broadcast(once) if n <= BROADCAST_ROWS else once, key == F.col(mark), "left_semi")
+
+    # the others by their text as well
+    odd = docs.filter(key.isNull())
+    if not twice.isEmpty():
+        odd = odd.union(docs.join(twice.select(F.col("doc_id").alias(mark)), key == F.col(mark), "left_semi"))
+    if odd.isEmpty():
+        return kept
+    # of a component one set stays for an id, the least; texts without words are no component
+    sets = found.filter(own).join(twice, "doc_id", "left_semi").union(found.filter("doc_id is null and component_id is null"))
+    with_words = sets.filter("set_id is not null").groupBy("doc_id", "label").agg(F.min("set_id").alias(sid)).select(F.col("doc_id").alias(mark), sid)
+    without = sets.filter("set_id is null").select(F.col("doc_id").alias(mark), F.col("set_id").alias(sid)).distinct()
+    chosen = cut(with_words.union(without))
+    name = free_name(docs, "_of")
+    odd = odd.withColumn(name, _set_ids(F.col(text_col), k)).alias("l")
+    same = key.eqNullSafe(F.col(f"r.{mark}")) & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{sid}"))
+    odd = odd.join(chosen.alias("r"), same, "left_semi")
+    worded = odd.filter(F.col(name).isNotNull()).dropDuplicates([id_col, name]).drop(name)
+    return kept.union(worded).union(odd.filter(F.col(name).isNull()).drop(name).dropDuplicates([id_col, text_col]))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are hashed in runs of about so many bytes, which bounds the temporary arrays.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 17
 
 _U = np.uint64
 _rng = np.random.default_rng(0x7E55E7A)
@@ -98,13 +98,16 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
         words, first = word_hashes(data, offsets)
         n = len(words)
         with np.errstate(over="ignore"):
-            whole = np.zeros(max(0, n - k + 1), _U)
+            full = max(0, n - k + 1)
+            whole = np.zeros(full, _U)
             for i in range(k):
-                whole += words[i : n - k + 1 + i] * _LANES[i]
+                whole += words[i : i + full] * _LANES[i]
             whole = mix(whole)
             for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
                 if b - a >= k:
-                    yield np.unique(whole[a : b - k + 1])
+                    s = np.sort(whole[a : b - k + 1])
+                    fresh = s[1:] != s[:-1]
+                    yield s if fresh.all() else s[np.concatenate([[True], fresh])]
                 elif b > a:
                     yield mix(np.sum(words[a:b] * _LANES[: b - a], keepdims=True) + _U(b - a))
                 else:
@@ -114,38 +117,27 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 def set_id(s: np.ndarray) -> int:
     """A signed 64-bit id of a sorted set; equal sets have equal ids."""
     with np.errstate(over="ignore"):
-        a = mix(np.sum(mix(s ^ _LANES[20]), keepdims=True) + _U(len(s)) * _LANES[21])
-        b = np.bitwise_xor.reduce(mix(s * _LANES[22] + _LANES[23]), keepdims=True)
-        return int(mix(a * _LANES[24] + b).view(np.int64)[0])
+        return int(mix(np.sum(mix(s ^ _LANES[20]), keepdims=True) + _U(len(s)) * _LANES[21]).view(np.int64)[0])
 
 
 def min_keys(s: np.ndarray, keys: int) -> list[int]:
     """Pairs of min-hashes, as signed 64-bit keys."""
     with np.errstate(over="ignore"):
-        low = np.array([(s * _LANES[30 + i] + (s >> _U(29))).min() for i in range(2 * keys)], _U)
+        low = np.array([(s * _LANES[30 + i]).min() for i in range(2 * keys)], _U)
         out = mix(low[0::2] * _LANES[25] + low[1::2] * _LANES[26] + np.arange(keys, dtype=_U))
     return out.view(np.int64).tolist()
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Parity bitmap of a set: 2^ceil(log2 2n) bits (64 at least); bit i is the parity of the members that hash to i.
+def bitmap(s: np.ndarray, bits: int) -> bytes:
+    """Parity bitmap of a set, of a power of two of bits: bit i is the parity of the members that hash to i.
 
     Two bitmaps of one width differ in no more bits than the sets' symmetric difference has members;
     folding a bitmap's halves by xor gives that of half the width.
     """
-    bits = max(64, 2 << int(len(s) - 1).bit_length()) if len(s) else 64
     at = (mix(s + _LANES[27]) & _U(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def fold(bits: bytes, size: int) -> np.ndarray:
-    """A bitmap folded to ``size`` bytes, as 64-bit words."""
-    out = np.frombuffer(bits, _U)
-    while out.nbytes > size:
-        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
-    return out
-
-
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if len(a) > len(b):
