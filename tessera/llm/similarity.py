@@ -101,11 +101,8 @@ def _profiles(docs: DataFrame, k: int, low: float) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, sid long, keys array<long>, bits binary")
 
 
-def _sets(docs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
-    """(sid, members) of the sets in ``sets`` (sid, doc_id of one document that has it)."""
-    reps = sets.select("doc_id", "sid").distinct()
-    n = reps.count()
-    ids = reps.select("doc_id").distinct()
+def _members(docs: DataFrame, ids: DataFrame, n: int, k: int) -> DataFrame:
+    """(sid, members) of the documents of the n distinct ``ids``, and of those without an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,13 +118,11 @@ def _sets(docs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
             yield pa.record_batch([pa.array(sid, pa.int64()), pa.array(members, pa.binary())], ["sid", "members"])
 
     rows = keep_ids(docs, ids, "doc_id", n).union(docs.filter("doc_id is null")).select("text")
-    rows = rows.mapInArrow(run, "sid long, members binary")
-    # documents of one id may have different texts, and documents of one text different ids
-    return rows.join(reps.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("members").alias("members"))
+    return rows.mapInArrow(run, "sid long, members binary")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The links among the distinct pairs (a, b) of sets, by exact intersection."""
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The links (a, b) among the pairs (a, b, da, db) of sets and of documents that have them, by exact intersection."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,10 +132,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num
                 keep.append(w.overlap(x, y) >= least_common(len(x), len(y), num, den))
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    used = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes.select("sid", "doc_id"), "sid")
-    members = cut(_sets(docs, cut(used), k))
+    ids = cut(pairs.select(F.explode(F.array("da", "db")).alias("doc_id")).filter("doc_id is not null").distinct())
+    members = cut(_members(docs, ids, ids.count(), k))
+    # documents of one id may have different texts, and documents of one text no id: a pair may come several times
     side = lambda c: members.select(F.col("sid").alias(c), F.col("members").alias("m" + c))
-    found = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb")
+    found = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb")
     return cut(found.mapInArrow(exact, "a long, b long"))
 
 
@@ -287,8 +283,8 @@ def _fits(i: np.ndarray, j: np.ndarray, n: np.ndarray, bits: tuple[np.ndarray, n
 
 
 def _forest(rows: dict, bits: tuple, num: int, den: int, most: int) -> tuple[list, list]:
-    """Pairs of sets of one large block, in order of size: see the module; ``most`` for each set and component, 0: all."""
-    n, sid, own, early = rows["n"], rows["sid"], rows["own"], rows["early"]
+    """Pairs of places in one large block, in order of size: see the module; ``most`` for each set and component, 0: all."""
+    n, own, early = rows["n"], rows["own"], rows["early"]
     _, root = np.unique(rows["label"], return_inverse=True)
     a, b = [], []
     for i in range(len(n) - 1):
@@ -309,17 +305,23 @@ def _forest(rows: dict, bits: tuple, num: int, den: int, most: int) -> tuple[lis
             root[np.isin(root, roots)] = root[i]
         else:
             chosen = at
-        a += [sid[i]] * len(chosen)
-        b += sid[chosen].tolist()
+        a += [i] * len(chosen)
+        b += chosen.tolist()
     return a, b
 
 
 def _tile_pairs(tiles: DataFrame, num: int, den: int, most: int) -> DataFrame:
-    """(tile, a, b): each block's pairs; the tile is null if the block's pairs are all there.
+    """(tile, a, b, da, db): each block's pairs (a < b); the tile is null if the block's pairs are all there.
 
-    tiles: (tile, band, x, y, sid, label, n, early, own, bits). A pair of two rows of the band above is left to that band.
+    tiles: (tile, band, x, y, sid, label, n, early, own, doc_id, bits). A pair of two rows of the band above is left to
+    that band.
     """
-    names = ["tile", "a", "b"]
+    names = ["tile", "a", "b", "da", "db"]
+
+    def rows(tile: pa.Array, i: np.ndarray, j: np.ndarray, sid: np.ndarray, doc: pa.ChunkedArray) -> pa.RecordBatch:
+        i, j = np.where(sid[i] < sid[j], i, j), np.where(sid[i] < sid[j], j, i)
+        ends = [pa.concat_arrays(doc.take(pa.array(at)).chunks) if len(at) else pa.array([], pa.int64()) for at in (i, j)]
+        return pa.record_batch([tile, pa.array(sid[i]), pa.array(sid[j]), *ends], names)
 
     def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
@@ -338,16 +340,16 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int, most: int) -> DataFrame:
         some = np.flatnonzero((label[i] != label[j]) & early[i] & (own[i] | own[j]))
         i, j = i[some], j[some]
         ok, _ = _fits(i, j, n, bits, num, den)
-        pairs = np.unique(np.stack([np.minimum(sid[i[ok]], sid[j[ok]]), np.maximum(sid[i[ok]], sid[j[ok]])]), axis=1)
-        if pairs.shape[1]:
-            yield pa.record_batch([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1])], names)
+        if len(ok):
+            i, j = i[ok], j[ok]
+            _, once = np.unique(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])]), axis=1, return_index=True)
+            yield rows(pa.nulls(len(once), pa.int64()), i[once], j[once], sid, t.column("doc_id"))
         for at, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
             part = slice(at, at + size)
             narrow, large, place = bits
-            a, b = _forest({"n": n[part], "sid": sid[part], "own": own[part], "early": early[part], "label": label[part]}, (narrow[part], large, place[part]), num, den, most)
-            if a:
-                a, b = np.array(a), np.array(b)
-                yield pa.record_batch([pa.array(np.full(len(a), key[0, at])), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names)
+            i, j = _forest({"n": n[part], "own": own[part], "early": early[part], "label": label[part]}, (narrow[part], large, place[part]), num, den, most)
+            if i:
+                yield rows(pa.array(np.full(len(i), key[0, at])), at + np.array(i), at + np.array(j), sid, t.column("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -369,7 +371,7 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int, most: int) -> DataFrame:
             yield from done(held)
 
     keyed = tiles.repartition(*_TILE).sortWithinPartitions(*_TILE, "n", "sid")
-    return keyed.mapInArrow(run, "tile long, a long, b long")
+    return keyed.mapInArrow(run, "tile long, a long, b long, da long, db long")
 
 
 def _dealt(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -389,41 +391,42 @@ def _dealt(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select("tile", "band", F.least("_mine", "_other").alias("x"), F.greatest("_mine", "_other").alias("y"), "sid", "label", "n", "early", "own")
 
 
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (sid, label) with the components that the links (a, b) between sets join contracted."""
-    end = lambda c: labels.select(F.col("sid").alias(c), F.col("label").alias("l" + c))
-    found = components(links.join(end("a"), "a").join(end("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    found = found.select(F.col("node").alias("label"), F.col("label").alias("_to"))
-    return cut(labels.join(found, "label", "left").select("sid", F.coalesce("_to", "label").alias("label")))
+def _small(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of n rows of two numbers: broadcast if it is small enough."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def _linked(met: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, passes: tuple[int, ...]) -> tuple[DataFrame | None, DataFrame]:
-    """Links found in the tiles of ``met`` (tile, sid, n, early), and the labels (sid, label) that follow.
+def _linked(met: DataFrame, moved: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, passes: tuple[int, ...]) -> tuple[DataFrame | None, DataFrame]:
+    """Links found in the tiles of ``met`` (tile, sid, n, early), and ``moved`` with what follows from them.
 
-    A pass returns so many pairs of a set and a component (0: all). Tiles with a pair whose components are still apart
-    go on to the next pass.
+    moved: (sid, label) of the sets in a component of several. A pass returns so many pairs of a set and a component
+    (0: all). Tiles with a pair whose components are still apart go on to the next pass.
     """
-    bits = classes.select("sid", "bits")
-    links, active = None, met
+    known = classes.select("sid", "doc_id", "bits")
+    links, active, n = None, met, moved.count()
     for most in passes:
-        rows = _dealt(active.join(labels, "sid"), num, den)
-        pairs = cut(_tile_pairs(rows.join(bits, "sid").select(*_TILE, "sid", "label", "n", "early", "own", "bits"), num, den, most))
+        rows = active.join(_small(moved, n), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        rows = _dealt(rows, num, den).join(known, "sid").select(*_TILE, "sid", "label", "n", "early", "own", "doc_id", "bits")
+        pairs = cut(_tile_pairs(rows, num, den, most))
         if pairs.isEmpty():
             break
-        found = _verified(docs, cut(pairs.select("a", "b").distinct()), classes, k, num, den)
+        each = cut(pairs.groupBy("a", "b").agg(F.min("da").alias("da"), F.min("db").alias("db")))
+        found = _verified(docs, each, k, num, den)
         links = found if links is None else links.union(found)
         if passes == (0,):
             break
-        labels = _relabelled(labels, found)
+        moved = components(moved.select(F.col("sid").alias("a"), F.col("label").alias("b")).union(found)).select(F.col("node").alias("sid"), "label")
+        n = moved.count()
         if most == passes[-1]:
             break
-        end = lambda c: labels.select(F.col("sid").alias(c), F.col("label").alias("l" + c))  # noqa: B023, E731
-        still = pairs.filter("tile is not null").join(end("a"), "a").join(end("b"), "b").filter("la <> lb")
+        end = lambda c: _small(moved.select(F.col("sid").alias(c), F.col("label").alias("l" + c)), n)  # noqa: B023, E731
+        still = pairs.filter("tile is not null").join(end("a"), "a", "left").join(end("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
         still = cut(still.select("tile").distinct())
-        if still.isEmpty():
+        tiles = still.count()
+        if not tiles:
             break
-        active = cut(active.join(still, "tile", "left_semi"))
-    return links, labels
+        active = cut(active.join(_small(still, tiles), "tile", "left_semi"))
+    return links, moved
 
 
 def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
@@ -442,22 +445,26 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def _none(df: DataFrame, names: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([], names)
+
+
 def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_id, label) for each row of docs (doc_id, text); the label tells components apart."""
     rows, classes, frequent = _classes(docs, k, num, den)
-    labels = classes.select("sid", F.col("sid").alias("label"))
 
     # near copies: tiles of min-hash pairs
     keyed = classes.select(F.explode("keys").alias("tile"), "sid", "n", F.lit(True).alias("early"))
-    several = keyed.groupBy("tile").agg(F.count("*").alias("rows")).filter("rows > 1").select("tile")
-    _, labels = _linked(cut(keyed.join(several, "tile", "left_semi")), labels, docs, classes, k, num, den, (1, 16))
+    _, moved = _linked(keyed, _none(docs, "sid long, label long"), docs, classes, k, num, den, (1,))
 
     # tiles of shingles, of what is still apart
-    _, labels = _linked(cut(_met(docs, k, num, den, frequent)), labels, docs, classes, k, num, den, (1, 16, 0))
+    _, moved = _linked(cut(_met(docs, k, num, den, frequent)), moved, docs, classes, k, num, den, (1, 16, 0))
 
-    named = classes.select("sid", "doc_id").join(labels, "sid")
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "label").select("sid", "component_id", "label")
+    n = moved.count()
+    least = classes.select("sid", "doc_id").join(_small(moved, n), "sid").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    moved = cut(moved.join(least, "label").select("sid", "label", "component_id"))
+    named = classes.select("sid", "doc_id").join(_small(moved, n), "sid", "left")
+    named = named.select("sid", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("label", "sid").alias("label"))
     out = rows.filter("sid is not null").join(named, "sid").select("doc_id", "n_shingles", "component_id", F.col("sid").alias("set_id"), "label")
     alone = rows.filter("sid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "sid", F.lit(None).cast("long"))
     return out.union(alone)
@@ -481,9 +488,8 @@ def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = _texts(docs, id_col, text_col)
     rows, classes, frequent = _classes(docs, k, num, den)
-    labels = classes.select("sid", F.col("sid").alias("label"))
-    links, _ = _linked(cut(_met(docs, k, num, den, frequent)), labels, docs, classes, k, num, den, (0,))
-    links = labels.select(F.col("sid").alias("a"), F.col("label").alias("b")).limit(0) if links is None else links
+    links, _ = _linked(cut(_met(docs, k, num, den, frequent)), _none(docs, "sid long, label long"), docs, classes, k, num, den, (0,))
+    links = _none(docs, "a long, b long") if links is None else links.distinct()
     return links, rows.withColumnRenamed("sid", "set_id")
 
 

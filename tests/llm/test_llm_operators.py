@@ -96,6 +96,40 @@ def test_ngram_components_of_nothing(spark):
     assert similarity.ngram_components(frame(spark, [])).count() == 0
 
 
+def test_texts_of_few_words(spark):
+    """A batch that holds fewer words than a shingle."""
+    rows = [(1, "a b c", "a"), (2, "d e", "a"), (3, "A b  c", "b")]
+    assert sorted(r.doc_id for r in similarity.near_duplicates_removed(frame(spark, rows), k=5).collect()) == [1, 2]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in similarity.ngram_components(frame(spark, rows), k=5).collect()) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+@pytest.mark.parametrize("k,num,den", [(4, 85, 100), (2, 70, 100)])
+def test_a_large_group_of_near_copies(spark, monkeypatch, k, num, den):
+    """Blocks and passes of every kind: a tile of many sets, some linked and some not."""
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    rng = random.Random(8)
+    rows, base = [], prose(rng, 60).split()
+    for i in range(150):
+        own = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            own[rng.randrange(len(own))] = rng.choice(VOCABULARY)
+        rows.append((i, " ".join(own), "a"))
+    found = similarity.ngram_components(frame(spark, rows), k=k, num=num, den=den).collect()
+    want = brute_components(rows, k, num, den)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=repr) == want
+    assert 1 < len({c for _, _, c in want}) < 150
+
+
+def test_near_duplicates_removed_of_shared_ids(spark):
+    """Rows of one id and different texts, rows without id, and columns of clashing names."""
+    text, other = " ".join(VOCABULARY[:40]), " ".join(VOCABULARY[30:70])
+    rows = [(1, text, "a"), (2, text + " x", "b"), (2, other, "c"), (None, other, "d"), (None, "no id", "e"), (None, "NO id", "f"), (7, "", "g"), (7, "", "h"), (7, None, "i")]
+    docs = frame(spark, rows).withColumns({c: F.lit(1) for c in ("_kept", "_set", "_of", "label", "sid", "n")})
+    kept = similarity.near_duplicates_removed(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, (r.text or "").lower()) for r in kept.collect()), key=repr) == sorted([(1, text), (2, other), (None, "no id"), (7, ""), (7, "")], key=repr)
+
+
 def test_near_duplicates_removed(spark):
     text = " ".join(VOCABULARY[:40])
     rows = [(5, text, "a"), (3, text, "a"), (3, text, "a"), (9, text + " extra", "b"), (4, "another text", "a"), (None, None, None)]
@@ -104,9 +138,10 @@ def test_near_duplicates_removed(spark):
     assert kept.columns == frame(spark, rows).columns
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("local", [0, 20, 1000])
+def test_components_of_a_path(spark, local):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (7, 7), (None, 3)]
-    labels = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    labels = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), local=local).collect()}
     assert len({labels[i] for i in range(61)}) == 1 and len({labels[i] for i in (100, 101, 102)}) == 1 and labels[0] != labels[100]
 
 
