@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, free_name
 
 ORDER = 3
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./:-_?="
@@ -92,7 +92,8 @@ def train(urls: DataFrame) -> DataFrame:
 
 def scored(urls: DataFrame, model: DataFrame) -> DataFrame:
     """``urls`` (different, in column url) with the length-normalised difference as ``score``."""
-    found = _ends(urls)
+    # one partition would be left of the few bytes that urls are
+    found = _ends(urls.repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     for k in range(1, ORDER + 1):
         level = model.filter(F.length("g") == k).select(F.col("g").alias(f"g{k}"), F.col("says").alias(f"s{k}"))
         found = found.join(F.broadcast(level), F.substring("g", ORDER - k + 1, k) == F.col(f"g{k}"), "left").drop(f"g{k}")
@@ -101,23 +102,32 @@ def scored(urls: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def judged(pages: DataFrame, *, url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """``pages`` with columns host, path, rule, score (null where a rule decides) and verdict."""
+    """``pages`` with columns host, path, rule, score (null where a rule decides) and verdict, which replace columns of these names."""
     url = F.col(url_col).cast("string")
     fit = lambda df: df.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
-    says = reduce(lambda out, r: F.when(F.col("rule") == r[0], F.lit(r[1])).otherwise(out), rules, F.lit(None).cast("string"))
-    urls = fit(pages.filter(url.isNotNull()).select(url.alias("url")).distinct()).select("url", (says == "block").alias("rejected"))
-    urls = cut(urls)
-    known = urls.filter("rejected is not null")
+    says = reduce(lambda out, r: F.when(F.col("_r") == r[0], F.lit(r[1])).otherwise(out), rules, F.lit(None).cast("string"))
+    urls = fit(pages.filter(url.isNotNull()).select(url.alias("url")).distinct()).withColumn("_r", F.col("rule"))
+    urls = cut(urls.select("url", "host", "path", "rule", says.alias("says"), (says == "block").alias("rejected")))
+    known = urls.filter("rejected is not null").select("url", "rejected")
     kinds = {r[0]: r[1] for r in known.groupBy("rejected").count().collect()}
-    rows = pages.withColumns({"host": host_of(url), "path": path_of(url)}).withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
     if len(kinds) < 2:
-        return rows.withColumn("score", F.lit(None).cast("double")).withColumn("verdict", F.coalesce(says, F.lit("allow")))
-    model = train(known)
-    found = cut(scored(urls, model))
-    by = {r["rejected"]: r for r in found.filter("rejected is not null").groupBy("rejected").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).collect()}
-    low, high = by[False], by[True]
+        found = urls.select("url", "host", "path", "rule", F.lit(None).cast("double").alias("score"), F.coalesce("says", F.lit("allow")).alias("verdict"))
+    else:
+        model = train(known)
+        each = cut(scored(urls.select("url", "rejected"), model))
+        by = {r["rejected"]: r for r in each.filter("rejected is not null").groupBy("rejected").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).collect()}
+        score = F.when(F.col("says").isNull(), F.col("score"))
+        verdict = F.coalesce("says", F.when(F.col("score") >= threshold(by[False], by[True]), "block").otherwise("allow"))
+        found = urls.join(each.drop("rejected"), "url").select("url", "host", "path", "rule", score.alias("score"), verdict.alias("verdict"))
+    names = {c: free_name(pages, f"_url_{c}") for c in ("url", "host", "path", "rule", "score", "verdict")}
+    found = found.select(*[F.col(c).alias(n) for c, n in names.items()])
+    rows = pages.join(found, url == F.col(names["url"]), "left")
+    given = {c: F.col(names[c]) for c in ("host", "path", "rule", "score", "verdict")}
+    given |= {c: F.coalesce(given[c], F.lit(d)) for c, d in (("host", ""), ("path", ""), ("verdict", "allow"))}
+    return rows.withColumns(given).drop(*names.values())
+
+
+def threshold(low: dict, high: dict) -> float:
+    """Between the mean scores m of accepted and rejected urls, as far from either in its standard deviations s."""
     spread = low["s"] + high["s"]
-    threshold = (low["m"] * high["s"] + high["m"] * low["s"]) / spread if spread > 0 else (low["m"] + high["m"]) / 2
-    found = found.filter("rejected is null").select(F.col("url").alias("_url"), "score")
-    rows = rows.join(found, url == F.col("_url"), "left").drop("_url")
-    return rows.withColumn("verdict", F.coalesce(says, F.when(F.col("score") >= threshold, "block").otherwise("allow")))
+    return (low["m"] * high["s"] + high["m"] * low["s"]) / spread if spread > 0 else (low["m"] + high["m"]) / 2
