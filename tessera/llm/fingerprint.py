@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, free_name, text_or_empty
+from tessera.llm.common import BROADCAST_ROWS, cut, free_name, text_or_empty
 
 SEEDS = 2
 #: Bits apart, and number, of the lanes of a word.
@@ -32,8 +32,10 @@ WIDTH, PER_WORD = 20, 3
 #: Words of lanes to a hash: shifted by 0 to WIDTH - 1, lanes 0, 20 and 40 of what is left.
 SHIFTS = WIDTH
 _MASK = sum(1 << (WIDTH * i) for i in range(PER_WORD))
-#: Ranges of ids that texts are dealt to where each needs its neighbour: one to so many rows, between these numbers.
-RANGE_ROWS, RANGES = 10_000, (256, 4096)
+#: Ranges of ids that texts are dealt to where each needs its neighbour: one to so many rows, and so many at least.
+RANGE_ROWS, RANGES = 10_000, 256
+#: Quantiles of ids at most that ranges lie between; more ranges cut the stretches between them in equal parts.
+QUANTILES = 1024
 
 _BREAKS = r"[\n\r\u000B\u000C\u0085  ]+|(?<=[.!?])\s+"
 
@@ -115,28 +117,43 @@ def with_next(docs: DataFrame, *, id_col: str, value_col: str, derived: dict[str
     """``docs`` with columns derived from the value, and value and derived columns of the next row.
 
     Next: ascending id, then value, nulls first; the first row follows the last. Rows are dealt to ranges of
-    ids between quantiles and each range is sorted on its own; the last row of a range takes the first row of
-    the next range that has rows. Rows of equal id, and those of null id, are one range.
+    ids, whose number grows with the rows, and each range is sorted on its own, with a copy of the next range's first
+    row at its end. Rows of equal id, and those of null id, are one range.
     """
-    ranges = min(max(docs.count() // RANGE_ROWS, RANGES[0]), RANGES[1])
-    bounds = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("double").alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.2 / ranges)
-    at, id_ = free_name(docs, "_range"), F.col(id_col)
-    keyed = docs.withColumn(at, F.coalesce(_place(id_.cast("double"), sorted(set(bounds))), F.lit(-1)))
-    # the first row of each range, RANGES[1] + 1 at most: their ids first, so that no text is sorted for it
-    least = F.broadcast(cut(keyed.groupBy(at).agg(F.min(id_).alias("_id"))))
-    starts = keyed.join(least.withColumnRenamed(at, "_at"), (F.col(at) == F.col("_at")) & id_.eqNullSafe(F.col("_id")), "left_semi")
-    starts = cut(starts.groupBy(at).agg(F.min(F.struct(F.col(value_col).isNotNull().alias("k"), F.col(value_col).alias("v"))).alias("m")))
-    every = Window.orderBy(at)
-    value = F.coalesce(F.lead("m").over(every), F.first("m").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))["v"]
-    after = starts.select(F.col(at), value.alias(value_col)).withColumns(derived)
+    at, end, id_ = free_name(docs, "_range"), free_name(docs, "_end"), F.col(id_col)
+    keyed = docs.withColumn(at, _range_of(docs, id_col))
+    # ids of the ranges' first rows, and the range before each (a row per range): no text is sorted for them
+    least = keyed.groupBy(at).agg(F.min(id_).alias("_id"))
+    over = Window.orderBy(at)
+    last = F.max(at).over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    least = cut(least.select(F.col(at).alias("_at"), "_id", F.coalesce(F.lag(at).over(over), last).alias("_before")))
+    small = F.broadcast(least) if least.count() <= BROADCAST_ROWS else least
+    starts = keyed.select(at, id_col, value_col).join(small, (F.col(at) == F.col("_at")) & id_.eqNullSafe(F.col("_id")))
+    starts = starts.groupBy("_before", id_col).agg(F.min(F.struct(F.col(value_col).isNotNull().alias("k"), F.col(value_col).alias("v")))["v"].alias(value_col))
+    starts = starts.select(*[F.col("_before").alias(at) if c == at else F.col(c) if c in (id_col, value_col) else F.lit(None).cast(t).alias(c) for c, t in keyed.dtypes], F.lit(True).alias(end))
     names = [value_col, *derived]
-    after = after.select(at, *[F.col(c).alias(f"_after_{c}") for c in names])
-    window = Window.partitionBy(at).orderBy(id_.asc_nulls_first(), F.col(value_col).asc_nulls_first())
-    rows = keyed.withColumns(derived)
-    rows = rows.withColumns({f"{prefix}{c}": F.lead(c).over(window) for c in names} | {"_last": F.lead(F.lit(1)).over(window).isNull()})
-    rows = rows.join(F.broadcast(after), at)
-    rows = rows.withColumns({f"{prefix}{c}": F.when(F.col("_last"), F.col(f"_after_{c}")).otherwise(F.col(f"{prefix}{c}")) for c in names})
-    return rows.drop(at, "_last", *[f"_after_{c}" for c in names])
+    window = Window.partitionBy(at).orderBy(end, id_.asc_nulls_first(), F.col(value_col).asc_nulls_first())
+    rows = keyed.withColumn(end, F.lit(False)).union(starts).withColumns(derived)
+    rows = rows.withColumns({f"{prefix}{c}": F.lead(c).over(window) for c in names})
+    return rows.filter(~F.col(end)).drop(at, end)
+
+
+def _range_of(docs: DataFrame, id_col: str) -> Column:
+    """The number of the id's range; -1 for null."""
+    value = F.col(id_col).cast("double")
+    count, least, most = docs.agg(F.count("*"), F.min(value), F.max(value)).first()
+    ranges = max(count // RANGE_ROWS, RANGES)
+    quantiles = min(ranges, QUANTILES)
+    bounds = docs.filter(F.col(id_col).isNotNull()).select(value.alias("v")).approxQuantile("v", [i / quantiles for i in range(1, quantiles)], 0.2 / quantiles)
+    bounds = sorted(set(bounds))
+    parts = -(-ranges // quantiles)
+    place = _place(value, bounds)
+    if parts > 1:
+        edges = F.array(*map(F.lit, [least, *bounds, most]))
+        low, high = F.element_at(edges, place + 1), F.element_at(edges, place + 2)
+        share = F.when(high > low, (value - low) / (high - low)).otherwise(0.0)
+        place = place.cast("long") * parts + F.least(F.floor(share * parts), F.lit(parts - 1)).cast("long")
+    return F.coalesce(place.cast("long"), F.lit(-1).cast("long"))
 
 
 def _place(value: Column, bounds: list[float]) -> Column:
