@@ -9,13 +9,17 @@ bound of the next is beyond the k-th best distance found. Products are evaluated
 and bounds have a margin for rounding; ties go to the smaller id.
 
 Queries are a stated set; they travel in blocks to the candidates' blocks and each pair of blocks is one row's work,
-QUERIES by CANDIDATES vectors at most. Each gives its k best per query, and these are ranked per query. Pivots are
-chosen, each farthest from those before, from SAMPLE rows of least hashed id; they only affect speed.
+QUERIES by CANDIDATES vectors at most. A query's k-th best score among the SAMPLE rows goes with it, so that every
+block starts with a bound and eliminates by it from the first candidate. Each gives its k best per query, and these are
+ranked per query. Pivots are chosen, each farthest from those before, from SAMPLE rows of least hashed id; they only
+affect speed.
 
 Vectors that are null, or hold null or non-finite components, take no part. Vectors of different lengths are
 compared on the components that both have; empty ones score 0. Rows with equal ids are candidates of their own
-(their ids tie); a query meets every row but those of its own id. Components of more than 2^53 in size after scaling
-raise an error, as no integer score could be exact.
+(their ids tie); a query meets every row but those of its own id. Vectors whose products could leave the integers
+that doubles hold are kept in blocks of their own, without pivots, and scored in whole numbers of any length; scores
+outside 64 bits are given as the nearest number of 64 bits, and components that scaling takes beyond a double as the
+largest double.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,37 +41,55 @@ QUERIES = 256
 CHUNK = 64
 
 
-def _packed(rows: DataFrame, per_block: int, n: int, pivots) -> DataFrame:
-    """(block, ids, vectors, widths, distances): rows of a hashed block in one row of bytes."""
+def _packed(rows: DataFrame, per_block: int, n: int, shared, k: int = 0, first: int = 0) -> DataFrame:
+    """(block, ids, vectors, distances, floors): rows of a hashed block in one row of bytes; floors for queries (k > 0).
+
+    shared: broadcast pivots, greatest square norm, and ids and vectors of the sample.
+    """
     blocks = max(1, -(-n // per_block))
 
     def run(key, table):
         table = table.sort_by("id")
         found = table.column("v").to_pylist()
         width = max(map(len, found), default=0)
-        vectors = np.zeros((len(found), width), np.int64)
+        vectors = np.zeros((len(found), width))
         for i, v in enumerate(found):
             vectors[i, : len(v)] = v
-        far = _to_pivots(vectors, *pivots.value)
-        return pa.table({
-            "block": pa.array([key[0].as_py()], pa.int64()),
-            "ids": pa.array([table.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()),
-            "vectors": pa.array([vectors.tobytes()], pa.binary()),
-            "distances": pa.array([far.astype(np.float64).tobytes()], pa.binary()),
-        })
+        pivots, greatest, ids, sample = shared.value
+        own = table.column("id").to_numpy().astype(np.int64)
+        far = np.zeros((len(own), 0)) if k or first else _to_pivots(vectors, pivots, greatest)
+        least = _floors(own, vectors, ids, sample, k) if k else np.zeros(0)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64())} | {c: pa.array([a.tobytes()], pa.binary()) for c, a in (("ids", own), ("vectors", vectors), ("distances", far), ("floors", least))})
 
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
-    return rows.groupBy("block").applyInArrow(run, "block long, ids binary, vectors binary, distances binary")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) + F.lit(first))
+    return rows.groupBy("block").applyInArrow(run, "block long, ids binary, vectors binary, distances binary, floors binary")
 
 
 def _padded(a: np.ndarray, width: int) -> np.ndarray:
     return a if a.shape[1] == width else np.pad(a, ((0, 0), (0, width - a.shape[1])))
 
 
+def _fits(q: np.ndarray, x: np.ndarray) -> bool:
+    """Whether sums of products of these vectors' components are exact in doubles."""
+    return float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(x.shape[1], 1) < 2.0**53
+
+
+def _floors(ids: np.ndarray, q: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """A score that each query's k-th best reaches: the k-th best in the sample, less than any if there is none."""
+    width = max(q.shape[1], sample.shape[1])
+    q, sample = _padded(q, width), _padded(sample, width)
+    out = np.full(len(q), -np.inf)
+    for i in range(len(q)):
+        others = sample[sample_ids != ids[i]]
+        if len(others) >= k and _fits(q[i : i + 1], others):
+            out[i] = np.partition(others @ q[i], len(others) - k)[len(others) - k]
+    return out
+
+
 def _to_pivots(vectors: np.ndarray, pivots: np.ndarray, greatest: float, query: bool = False) -> np.ndarray:
     """Distances in the space with the added component; pivots are candidates."""
     width = max(vectors.shape[1], pivots.shape[1])
-    v, p = _padded(vectors, width).astype(np.float64), _padded(pivots, width).astype(np.float64)
+    v, p = _padded(vectors, width), _padded(pivots, width)
     v2, p2 = (v * v).sum(1), (p * p).sum(1)
     extra_v = np.zeros(len(v)) if query else np.sqrt(np.maximum(0, greatest - v2))
     extra_p = np.sqrt(np.maximum(0, greatest - p2))
@@ -74,36 +97,46 @@ def _to_pivots(vectors: np.ndarray, pivots: np.ndarray, greatest: float, query:
     return np.sqrt(np.maximum(0, square))
 
 
-def search_block(q_ids, q, ids, x, distances, pivots, greatest, k) -> list[tuple[int, int, int]]:
-    """(query, candidate, score): each query's k best of one block of candidates."""
+def _whole(a: np.ndarray) -> np.ndarray:
+    """Whole numbers of any length."""
+    return np.array([[int(v) for v in row] for row in a.tolist()], object).reshape(a.shape)
+
+
+def search_block(q_ids, q, floors, ids, x, distances, pivots, greatest, k) -> tuple[list[tuple[int, int, int]], int]:
+    """(query, candidate, score): each query's k best of one block of candidates that reach its floor; and how many were evaluated."""
     width = max(q.shape[1], x.shape[1])
     q, x = _padded(q, width), _padded(x, width)
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(width, 1) < 2.0**53
-    xf = x.astype(np.float64) if exact else x.astype(object)
-    far = _to_pivots(q, pivots, greatest, query=True)
-    out = []
+    long_x, out, evaluated = None, [], 0
     for i in range(len(q)):
-        bound = np.abs(distances - far[i]).max(1) if distances.shape[1] else np.zeros(len(x))
+        exact = _fits(q[i : i + 1], x)
+        bound = np.zeros(len(x))
+        if exact and distances.shape[1]:
+            far = _to_pivots(q[i : i + 1], pivots, greatest, query=True)[0]
+            bound = np.abs(distances - far).max(1)
         order = np.argsort(bound, kind="stable")
         order = order[ids[order] != q_ids[i]]
-        own = q[i].astype(np.float64) if exact else q[i].astype(object)
-        square = float((q[i].astype(np.float64) ** 2).sum()) + greatest
-        best_s, best_i = np.zeros(0, object if not exact else np.float64), np.zeros(0, np.int64)
+        if exact:
+            xs, own, floor = x, q[i], floors[i]
+            square = float((own * own).sum()) + greatest
+        else:
+            long_x = _whole(x) if long_x is None else long_x
+            xs, own, floor, square = long_x, _whole(q[i : i + 1])[0], -np.inf, np.inf
+        best_s, best_i = np.zeros(0, np.float64 if exact else object), np.zeros(0, np.int64)
         at, chunk = 0, CHUNK
         while at < len(order):
-            if len(best_s) == k:
-                # of what is left, no distance is below the next bound
-                reach = np.sqrt(max(0.0, square - 2 * float(best_s[-1])))
-                if bound[order[at]] > reach * (1 + 1e-9) + 1e-6:
-                    break
+            least = max(floor, best_s[-1]) if len(best_s) == k else floor
+            # of what is left, no distance is below the next bound
+            if least > -np.inf and np.isfinite(square) and bound[order[at]] > np.sqrt(max(0.0, square - 2 * float(least))) * (1 + 1e-9) + 1e-6:
+                break
             some = order[at : at + chunk]
-            s = np.concatenate([best_s, xf[some] @ own])
+            s = np.concatenate([best_s, xs[some] @ own])
             c = np.concatenate([best_i, ids[some]])
             keep = np.lexsort((c, -s))[:k]
             best_s, best_i = s[keep], c[keep]
+            evaluated += len(some)
             at, chunk = at + chunk, min(2 * chunk, 4096)
-        out += [(int(q_ids[i]), int(c), int(s)) for c, s in zip(best_i, best_s)]
-    return out
+        out += [(int(q_ids[i]), int(c), min(max(int(s), -(1 << 63)), (1 << 63) - 1)) for c, s in zip(best_i, best_s) if s >= floor]
+    return out, evaluated
 
 
 def usable(vector: Column) -> Column:
@@ -112,25 +145,30 @@ def usable(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, fine), F.lit(False))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: int = 256) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k highest scores among ``vectors`` (all, if fewer)."""
+def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: int = 256, evaluated: Accumulator | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k highest scores among ``vectors`` (all, if fewer).
+
+    evaluated counts the products that were not eliminated, when the result is computed.
+    """
     spark = vectors.sparkSession
 
     def whole(df: DataFrame) -> DataFrame:
         v = F.col(vector_col).cast("array<double>")
         df = df.filter(F.col(id_col).isNotNull() & usable(v))
-        return df.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
-
-    x, q = whole(vectors), whole(queries)
-    norm = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
-    n, greatest, largest = x.agg(F.count("*"), F.max(norm), F.max(F.array_max(F.transform("v", F.abs)))).first()
-    asked = q.count()
-    if (largest or 0) > 2**53:
-        raise ValueError("components are too large for exact integer scores")
+        most = F.lit(1.7976931348623157e308)
+        scaled = F.transform(v, lambda x: F.greatest(-most, F.least(most, x * scale)))
+        # doubles from 2^52 on are whole
+        return df.select(F.col(id_col).cast("long").alias("id"), F.transform(scaled, lambda x: F.when(F.abs(x) < float(1 << 52), F.floor(F.when(F.abs(x) < float(1 << 52), x)).cast("double")).otherwise(x)).alias("v"))
+
+    norm = F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)
+    every, q = whole(vectors), whole(queries)
+    x, big = every.filter(norm < float(1 << 52)), every.filter(norm >= float(1 << 52))
+    n, greatest = x.agg(F.count("*"), F.max(norm)).first()
+    asked, n_big = q.count(), big.count()
     greatest = float(greatest or 0.0)
-    sample = x.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()["v"].tolist()
-    width = max(map(len, sample), default=0)
-    rows = np.zeros((len(sample), width))
+    found = x.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    sample = found["v"].tolist()
+    rows = np.zeros((len(sample), max(map(len, sample), default=0)))
     for i, v in enumerate(sample):
         rows[i, : len(v)] = v
     chosen = rows[:1]
@@ -139,25 +177,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec
         if near.max() <= 0:
             break
         chosen = np.concatenate([chosen, rows[[int(near.argmax())]]])
-    pivots = spark.sparkContext.broadcast((chosen, greatest))
+    shared = spark.sparkContext.broadcast((chosen, greatest, found["id"].to_numpy(np.int64), rows))
 
-    candidates = cut(_packed(x, CANDIDATES, n, pivots))
     blocks = max(1, -(-n // CANDIDATES))
-    asking = _packed(q, QUERIES, asked, pivots).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    candidates = _packed(x, CANDIDATES, n, shared)
+    if n_big:
+        candidates = candidates.union(_packed(big, CANDIDATES, n_big, shared, first=blocks))
+        blocks += max(1, -(-n_big // CANDIDATES))
+    candidates = cut(candidates.drop("floors"))
+    asking = _packed(q, QUERIES, asked, shared, k).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "floors", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, g = pivots.value
+        p, g, _, _ = shared.value
         for batch in batches:
             for row in batch.to_pylist():
                 q_ids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                mine, theirs = (np.frombuffer(row[c], np.int64).reshape(len(i), -1) for c, i in (("q_vectors", q_ids), ("vectors", ids)))
-                far = np.frombuffer(row["distances"], np.float64).reshape(len(ids), -1)
-                found = search_block(q_ids, mine, ids, theirs, far, p, g, k)
+                mine, theirs, far = (np.frombuffer(row[c]).reshape(len(i), -1) for c, i in (("q_vectors", q_ids), ("vectors", ids), ("distances", ids)))
+                found, count = search_block(q_ids, mine, np.frombuffer(row["floors"]), ids, theirs, far, p, g, k)
+                if evaluated is not None:
+                    evaluated.add(count)
                 if found:
                     a, b, s = zip(*found)
                     yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.int64())], ["query_id", "vec_id", "score"])
 
-    met = asking.join(candidates, "block").select("q_ids", "q_vectors", "ids", "vectors", "distances")
+    met = asking.join(candidates, "block").select("q_ids", "q_vectors", "floors", "ids", "vectors", "distances")
     met = met.repartition(max(1, min(4096, blocks * max(1, -(-asked // QUERIES)))))
     found = met.mapInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
