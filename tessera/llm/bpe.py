@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_or_empty
+from tessera.llm.common import release, text_or_empty
 
 #: Different pieces that a worker keeps.
 CACHE = 300_000
@@ -246,7 +246,10 @@ def encode_checked(df: DataFrame, *, path: str, pattern: str, text_col: str = "t
             ids.append(found)
             fine.append(c.decode(found.tolist()) == text)
         ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *ids])), pa.array(fine, pa.bool_())], ["ids", "decodes"])
+        out = pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *ids])), pa.array(fine, pa.bool_())], ["ids", "decodes"])
+        del texts, ids, fine
+        release()
+        return out
 
     return df.withColumn(out_col, run(text_or_empty(text_col)))
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as w
-from tessera.llm.common import BROADCAST_ROWS, cut, free_name, keep_ids
+from tessera.llm.common import BROADCAST_ROWS, cut, free_name, keep_ids, trimmed
 from tessera.llm.components import components
 
 #: Min-hash pairs of a set.
@@ -98,7 +98,7 @@ def _profiles(docs: DataFrame, k: int, low: float) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names)
         yield flush(held)
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long, keys array<long>, bits binary")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n long, sid long, keys array<long>, bits binary")
 
 
 def _members(docs: DataFrame, ids: DataFrame, n: int, k: int) -> DataFrame:
@@ -118,7 +118,7 @@ def _members(docs: DataFrame, ids: DataFrame, n: int, k: int) -> DataFrame:
             yield pa.record_batch([pa.array(sid, pa.int64()), pa.array(members, pa.binary())], ["sid", "members"])
 
     rows = keep_ids(docs, ids, "doc_id", n).union(docs.filter("doc_id is null")).select("text")
-    return rows.mapInArrow(run, "sid long, members binary")
+    return rows.mapInArrow(trimmed(run), "sid long, members binary")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -137,7 +137,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
     # documents of one id may have different texts, and documents of one text no id: a pair may come several times
     side = lambda c: members.select(F.col("sid").alias(c), F.col("members").alias("m" + c))
     found = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb")
-    return cut(found.mapInArrow(exact, "a long, b long"))
+    return cut(found.mapInArrow(trimmed(exact), "a long, b long"))
 
 
 def _prefixes(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
@@ -190,7 +190,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray)
             if out:
                 yield rows()
 
-    return docs.mapInArrow(run, "tile long, part long, sid long, n long, early boolean")
+    return docs.mapInArrow(trimmed(run), "tile long, part long, sid long, n long, early boolean")
 
 
 def _met(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
@@ -244,7 +244,7 @@ def _met(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> D
             yield done(held, whole)
 
     keyed = _prefixes(docs, k, num, den, frequent).repartition("tile", "part").sortWithinPartitions("tile", "n", "sid")
-    return keyed.mapInArrow(run, "tile long, sid long, n long, early boolean")
+    return keyed.mapInArrow(trimmed(run), "tile long, sid long, n long, early boolean")
 
 
 _TILE = ["tile", "band", "x", "y"]
@@ -371,7 +371,7 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int, most: int) -> DataFrame:
             yield from done(held)
 
     keyed = tiles.repartition(*_TILE).sortWithinPartitions(*_TILE, "n", "sid")
-    return keyed.mapInArrow(run, "tile long, a long, b long, da long, db long")
+    return keyed.mapInArrow(trimmed(run), "tile long, a long, b long, da long, db long")
 
 
 def _dealt(rows: DataFrame, num: int, den: int) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import words as w
-from tessera.llm.common import BROADCAST_ROWS, cut, text_or_empty
+from tessera.llm.common import BROADCAST_ROWS, cut, release, text_or_empty, trimmed
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         if held:
             yield flush()
 
-    counted = rows.select("_text", "_toxic").mapInArrow(count, "gram long, ordinary long, toxic long")
+    counted = rows.select("_text", "_toxic").mapInArrow(trimmed(count), "gram long, ordinary long, toxic long")
     counted = cut(counted.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
     ordinary, toxic = counted.agg(F.coalesce(F.sum("ordinary"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not (ordinary and toxic):
@@ -241,6 +241,8 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str
 
     @F.arrow_udf("double")
     def run(column: pa.Array) -> pa.Array:
-        return pa.array(given.value.scores(column))
+        found = pa.array(given.value.scores(column))
+        release()
+        return found
 
     return docs.withColumn(out_col, run(text_or_empty(F.col(text_col).cast("string"))))
