@@ -389,13 +389,76 @@ the Free Software Foundation, either version 3 of the License, or
 
 
 def test_license_templates_are_told():
-    families, weights, bias = licenses.trained()
+    families, weights, bias, telling = licenses.trained()
     for family, lines in licenses.TEMPLATES.items():
         for line in lines:
-            z = np.array(bias) + sum((np.array(weights[g]) for g in licenses._grams(licenses._words(line)) if g in weights), np.zeros(len(bias)))
+            z = np.array(bias) + sum((np.array(weights[g]) for g in licenses._grams(licenses._words(line), frozenset(telling)) if g in weights), np.zeros(len(bias)))
             assert families[int(z.argmax())] == family
 
 
+#: Notices as projects carry them, none of them a template.
+NOTICES = {
+    "isc": """Permission to use, copy, modify, and distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "mit": """ * Permission is hereby granted, free of charge, to any person
+ * obtaining a copy of this software and associated documentation
+ * files (the "Software"), to deal in the Software without
+ * restriction, including without limitation the rights to use, copy,
+ * modify, merge, publish, distribute, sublicense, and/or sell.
+ *
+ * THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.""",
+    "apache-2.0": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met: 1. Redistributions of source code must retain the notice.""",
+    "unlicense": "This is free and unencumbered software released into the public domain, and anyone is free to use it.",
+    "gpl": """Dieses Programm ist freie Software. Es steht unter den Bedingungen der
+GNU General Public License, Version 3 oder später.""",
+    "lgpl": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation""",
+    "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one.""",
+    "zlib": """Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions""",
+    "agpl": "This file is licensed under the GNU Affero General Public License version 3 or later.",
+    "cc-by-sa": "The text is available under the Creative Commons Attribution-ShareAlike License; terms may apply.",
+    "boost": """// Distributed under the Boost Software License, Version 1.0.
+// (See accompanying file LICENSE_1_0.txt)""",
+}
+
+#: Prose that uses the same words.
+PROSE = [
+    "The library is free for students, and any person may obtain a card without charge.",
+    "He was granted permission to use the hall for any purpose of the club.",
+    "The terms of the treaty were published by the general of the foundation.",
+    "Die Software der Bank steht den Kunden unter bestimmten Bedingungen frei zur Verfügung.",
+    "The public license office is open from nine to five, version two of the form is needed.",
+    "She works at the Apache reservation and writes software for the Mozilla browser.",
+    "They released the dogs into the public park and all tickets were reserved.",
+    "Distribution of the source of the river is subject to the weather.",
+    "Commons and lords debated the creative use of attribution in the international work.",
+    "The conditions are met when the copy of the file is obtained from the office.",
+]
+
+
+def test_licenses_beyond_the_templates(spark):
+    """Held-out notices and prose: precision and recall."""
+    rows = [(i, t, f) for i, (f, t) in enumerate(NOTICES.items())] + [(100 + i, t, "") for i, t in enumerate(PROSE)]
+    got = {r.doc_id: r.families for r in licenses.scan(frame(spark, rows)).collect()}
+    hits = sum(f in got[i].split(",") for i, _, f in rows if f)
+    said = sum(len([x for x in f.split(",") if x]) for f in got.values())
+    print(got)
+    assert hits >= len(NOTICES) - 1 and hits / said >= 0.9, got
+
+
 def brute_rule(url):
     host = path = ""
     if url and "://" in url:
