@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import release, text_or_empty
+from tessera.llm.common import release, small_batches, text_or_empty
 
 #: Different pieces that a worker keeps.
 CACHE = 300_000
@@ -217,7 +217,7 @@ def encode(df: DataFrame, *, path: str, pattern: str, text_col: str = "text", ou
             lists += [pa.ListArray.from_arrays(none, none[:0])] * 2
         return pa.StructArray.from_arrays(lists, ["ids", "starts", "ends"])
 
-    return df.withColumn(out_col, run(text_or_empty(text_col)))
+    return small_batches(df).withColumn(out_col, run(text_or_empty(text_col)))
 
 
 def decode(df: DataFrame, *, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -228,7 +228,7 @@ def decode(df: DataFrame, *, path: str, pattern: str, ids_col: str = "ids", out_
         c = codec(path, pattern)
         return pa.array([c.decode(ids.as_py()) if ids.is_valid else None for ids in column], pa.string())
 
-    return df.withColumn(out_col, run(F.col(ids_col)))
+    return small_batches(df).withColumn(out_col, run(F.col(ids_col)))
 
 
 def encode_checked(df: DataFrame, *, path: str, pattern: str, text_col: str = "text", out_col: str = "bpe") -> DataFrame:
@@ -251,7 +251,7 @@ def encode_checked(df: DataFrame, *, path: str, pattern: str, text_col: str = "t
         release()
         return out
 
-    return df.withColumn(out_col, run(text_or_empty(text_col)))
+    return small_batches(df).withColumn(out_col, run(text_or_empty(text_col)))
 
 
 def round_trip_digests(df: DataFrame, *, path: str, pattern: str, text_col: str = "text", out_col: str = "bpe") -> DataFrame:
@@ -263,4 +263,4 @@ def round_trip_digests(df: DataFrame, *, path: str, pattern: str, text_col: str
         n, ids, raw = zip(*c.digests(column.to_pylist())) if len(column) else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.withColumn(out_col, run(text_or_empty(text_col)))
+    return small_batches(df).withColumn(out_col, run(text_or_empty(text_col)))

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Rows of a (long key) relation up to which it is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
+#: Bytes of an Arrow batch of texts, and Spark's own setting, which they replace.
+BATCH_BYTES, DEFAULT_BATCH = 4 << 20, "67108864b"
+
 #: Words are maximal runs of anything but these ASCII characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -38,6 +41,18 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session's Arrow batches kept to BATCH_BYTES where they have Spark's default size.
+
+    Workers and the buffers beside the executor's heap hold whole batches, which long texts make large. The setting
+    stays with the session: what an operator returns is computed later. Results don't depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, "") == DEFAULT_BATCH:
+        df.sparkSession.conf.set(key, BATCH_BYTES)
+    return df
+
+
 def release() -> None:
     """Gives memory that this worker no longer uses back to the system: idle workers wait beside those of later stages."""
     pa.default_memory_pool().release_unused()

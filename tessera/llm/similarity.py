@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as w
-from tessera.llm.common import BROADCAST_ROWS, cut, free_name, keep_ids, trimmed
+from tessera.llm.common import BROADCAST_ROWS, cut, free_name, keep_ids, small_batches, trimmed
 from tessera.llm.components import components
 
 #: Min-hash pairs of a set.
@@ -442,7 +442,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def _none(df: DataFrame, names: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import words as w
-from tessera.llm.common import BROADCAST_ROWS, cut, release, text_or_empty, trimmed
+from tessera.llm.common import BROADCAST_ROWS, cut, release, small_batches, text_or_empty, trimmed
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     own = own.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     known = own.count()
     seen = F.broadcast(own) if known <= BROADCAST_ROWS else own
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(seen, "_id")
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(seen, "_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -245,4 +245,4 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str
         release()
         return found
 
-    return docs.withColumn(out_col, run(text_or_empty(F.col(text_col).cast("string"))))
+    return small_batches(docs).withColumn(out_col, run(text_or_empty(F.col(text_col).cast("string"))))
