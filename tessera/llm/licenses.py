@@ -38,7 +38,7 @@ WRAPPED = 160
 
 #: Lines by which licences are told, by family (fixed values).
 TEMPLATES = {
-    "agpl": ["This program is licensed under the GNU Affero General Public License, version 3.", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "agpl": ["This program is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-or-later"],
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
     "boost": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
     "bsd": ["Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"],
@@ -49,7 +49,7 @@ TEMPLATES = {
     "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
     "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "Dieses Programm ist freie Software und steht unter der GNU General Public License, Version 3.", "Ce programme est un logiciel libre sous la GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later"],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-only"],
+    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only"],
     "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "SPDX-License-Identifier: MIT"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "proprietary": ["All rights reserved.", "Copyright (c) 2021 Example Corporation. All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher."],
@@ -182,7 +182,9 @@ def findings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     blocks = F.transform(blocks, lambda b: F.struct(F.regexp_extract(b[0], "^([0-9]+)", 1).cast("int").alias("line"), F.array_join(bare(b), " ").alias("paragraph"), bare(b).alias("parts")))
     lines = cut(rows.select("doc_id", "h", F.inline(F.concat(single, blocks))).distinct())
 
-    each = lines.select("paragraph").distinct().withColumn("w", words(F.col("paragraph")))
+    # of few bytes, which would be left to one task
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = lines.select("paragraph").repartition(parts, "paragraph").distinct().withColumn("w", words(F.col("paragraph")))
     grams = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>")))))
     k = len(families)
     scored = each.select("paragraph", F.explode(grams).alias("gram")).join(F.broadcast(_model_frame(spark)), "gram")
