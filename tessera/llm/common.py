@@ -48,7 +48,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     stays with the session: what an operator returns is computed later. Results don't depend on it.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if df.sparkSession.conf.get(key, "") == DEFAULT_BATCH:
+    if df.sparkSession.conf.get(key, None) == DEFAULT_BATCH:
         df.sparkSession.conf.set(key, BATCH_BYTES)
     return df
 
