@@ -38,6 +38,8 @@ from tessera.llm.common import release, small_batches, text_or_empty
 
 #: Different pieces that a worker keeps.
 CACHE = 300_000
+#: The same where other stages' workers wait beside this one.
+SMALL_CACHE = 80_000
 
 #: Characters of texts that are encoded together.
 RUN = 500_000
@@ -76,6 +78,7 @@ class Codec:
         self.sizes = np.array([len(self.tokens.get(i, b"")) for i in range(max(self.tokens, default=-1) + 1)], np.int64)
         self.contested = self._contested()
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.most = CACHE
 
     def spell(self, raw: bytes) -> str:
         return "".join(self.characters[b] for b in raw)
@@ -133,7 +136,7 @@ class Codec:
     def learn(self, pieces: set[str]) -> None:
         """Encodes the pieces that aren't known yet in one call of the library."""
         new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > CACHE:
+        if len(self.known) + len(new) > self.most:
             self.known.clear()
             new = list(pieces)
         if not new:
@@ -240,6 +243,7 @@ def encode_checked(df: DataFrame, *, path: str, pattern: str, text_col: str = "t
     @F.arrow_udf("struct<ids:array<int>,decodes:boolean>")
     def run(column: pa.Array) -> pa.Array:
         c = codec(path, pattern)
+        c.most = SMALL_CACHE
         texts = column.to_pylist()
         ids, fine = [], []
         for text, found in zip(texts, c.encode_all(texts)):

@@ -49,7 +49,9 @@ SMALL = 8
 #: Sets that a task remembers, so as not to repeat copies; beyond it forgets and starts anew.
 SEEN = 1 << 20
 #: Bytes of sets that are held for one Arrow batch.
-HELD_BYTES = 1 << 24
+HELD_BYTES = 1 << 22
+#: Shingles or tile rows that a task holds before it gives them on.
+HELD_ROWS = 250_000
 #: Bits of the bitmaps of sets up to so many members, and of larger ones.
 NARROW, WIDE = 1024, 4096
 
@@ -92,7 +94,7 @@ def _profiles(docs: DataFrame, k: int, low: float) -> DataFrame:
                     sid.append(None)
                     keys.append(None)
                     bits.append(None)
-                if count > 1_000_000:
+                if count > HELD_ROWS:
                     yield flush(held)
                     held, count = [], 0
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names)
@@ -184,7 +186,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray)
                 count.append(n)
                 early.append(np.arange(most) < n - least_common(n, n, num, den) + 1)
                 held += most
-                if held > 1_000_000:
+                if held > HELD_ROWS:
                     yield rows()
                     out, part, owner, size, count, early, held = [], [], [], [], [], [], 0
             if out:
@@ -237,7 +239,7 @@ def _met(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> D
                 held = [batch.slice(int(change[-1]))]
             else:
                 held.append(batch)
-                if sum(b.num_rows for b in held) > 500_000:  # of so large a tile all rows stay
+                if sum(b.num_rows for b in held) > HELD_ROWS:  # of so large a tile all rows stay
                     yield done(held, False)
                     held, whole = [], False
         if held:
