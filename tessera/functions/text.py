@@ -11,6 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Character classes by script, and punctuation that texts are written with (fixed values; Java and RE2 read them alike).
+SCRIPTS = {
+    "hiragana": r"\x{3040}-\x{309F}",
+    "katakana": r"\x{30A0}-\x{30FF}\x{FF66}-\x{FF9D}",
+    "kanji": r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}",
+    "hangul": r"\x{AC00}-\x{D7A3}",
+    "latin": "A-Za-zＡ-Ｚａ-ｚ",
+    "digit": "0-9０-９",
+}
+PUNCTUATION = "。、・「」『』（）()［］【】，．,.!?！？：:;；…ー―─—–%％&/／＝=+×÷±°〜~|｜’'\"“”\\-"
+#: What counts as meaningful: any of the scripts.
+MEANINGFUL = "".join(SCRIPTS.values())
+#: Letters and digits of any script: what keys keep.
+WORD_CLASS = r"\p{L}\p{N}"
+#: Blanks of any script.
+BLANK = r"\s\p{Z}"
+
+
 @F.arrow_udf(T.StringType())
 def nfkc(column: pa.Array) -> pa.Array:
     """Unicode normal form KC; there is no built-in one."""
@@ -23,8 +41,14 @@ def normalized(text: Column, ascii_only: bool = False) -> Column:
 
 
 def text_key(text: Column, n: int = 40) -> Column:
-    """The first letters and digits, lower-cased."""
-    return F.left(F.lower(F.regexp_replace(text, r"[^A-Za-z0-9]+", "")), F.lit(n))
+    """The first letters and digits of any script, lower-cased."""
+    return F.left(F.lower(F.regexp_replace(text, rf"[^{WORD_CLASS}]+", "")), F.lit(n))
+
+
+def normal_key(text: Column, n: int = 40) -> Column:
+    """The start of the normal form without question numbers, blanks and separators."""
+    numbered = F.regexp_replace(nfkc(text), r"問\s*[0-9]+", "")
+    return F.left(F.regexp_replace(numbered, r"[\s\p{Z}\x{200B}-\x{200F},，.．、。()（）「」【】]+", ""), F.lit(n))
 
 
 def string_hash(text: Column, start: int = 5381, times: int = 33, xor: bool = True) -> Column:
@@ -45,37 +69,127 @@ def share(text: Column, pattern: str) -> Column:
     return F.coalesce(F.try_divide(F.regexp_count(text, F.lit(pattern)), F.length(text)), F.lit(0.0))
 
 
+def bare(text: Column) -> Column:
+    """The text without blanks of any script."""
+    return F.regexp_replace(text, f"[{BLANK}]+", "")
+
+
+def script_shares(text: Column) -> Column:
+    """A struct of each script's share of the characters other than blanks, 0 for blank texts."""
+    return F.struct(*[share(bare(text), f"[{c}]").alias(name) for name, c in SCRIPTS.items()])
+
+
+def repeated_characters(text: Column) -> Column:
+    """Characters in runs of four or more of one, or of three or more of a pair."""
+    length = lambda pattern: F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lit(0), lambda n, x: n + F.length(x))
+    return F.coalesce(length(r"(?s)(.)\1{3,}") + length(r"(?s)((.)(?!\2).)\1{2,}"), F.lit(0))
+
+
+def meaningful_share(text: Column) -> Column:
+    """Share of characters of a script among those other than blanks; 0 for blank texts."""
+    return share(bare(text), f"[{MEANINGFUL}]")
+
+
+def broken_share(text: Column) -> Column:
+    """Share of characters that are of no script and no punctuation, and half of those in runs, 1 at most; 1 for blank texts."""
+    rest = bare(text)
+    odd = F.regexp_count(rest, F.lit(f"[^{MEANINGFUL}{PUNCTUATION}]"))
+    return F.coalesce(F.least(F.lit(1.0), F.try_divide(odd + 0.5 * repeated_characters(text), F.length(rest))), F.lit(1.0))
+
+
 def text_quality(text: Column) -> Column:
-    """Share of letters and digits."""
-    return share(text, r"[A-Za-z0-9]")
+    """Share of kana, kanji, hangul, Latin letters and digits among all characters."""
+    return share(text, r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FAF}\x{AC00}-\x{D7A3}a-zA-Z0-9]")
 
 
 def garbled(text: Column) -> Column:
-    """Few meaningful characters, or a character five times in a row, or a pair three times."""
-    return (text_quality(text) < 0.6) | text.rlike(r"(.)\1{4,}") | text.rlike(r"(..)\1{2,}")
+    """Few meaningful characters or none, or a character five times in a row, or a pair three times."""
+    return (share(bare(text), r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}A-Za-z0-9]") < 0.6) | text.rlike(r"(.)\1{4,}") | text.rlike(r"(..)\1{2,}")
 
 
 def quality_score(text: Column, confidence: Column | None = None) -> Column:
-    """0 to 100: 100 less 70 of the broken share and 30 of what isn't meaningful, 15 less for short texts; mixed 0.7 to 0.3 with a confidence."""
-    broken = share(text, r"[^\x20-\x7E\n\t]")
-    score = F.greatest(F.lit(0.0), 100.0 - 70.0 * broken - 30.0 * (1.0 - text_quality(text)) - F.when(F.length(text) < 20, 15.0).otherwise(0.0))
-    return score if confidence is None else 0.7 * score + 0.3 * 100.0 * confidence
+    """0 to 100: 100 less 70 of the broken share, 30 of what isn't meaningful, and 25 or 8 for texts under 10 or 25 characters.
+
+    Mixed 0.7 to 0.3 with a confidence, if there is one; 0 for blank texts.
+    """
+    short = F.when(F.length(text) < 10, 25.0).when(F.length(text) < 25, 8.0).otherwise(0.0)
+    score = F.greatest(F.lit(0.0), 100.0 - 70.0 * broken_share(text) - 30.0 * (1.0 - meaningful_share(text)) - short)
+    if confidence is not None:
+        score = F.coalesce(0.7 * score + 0.3 * 100.0 * confidence, score)
+    return F.when(F.length(bare(text)) > 0, score).otherwise(0.0)
 
 
 def garbage_score(text: Column) -> Column:
-    """0 to 1 from several signals: short, symbols, digits, few different characters, long words, no blanks."""
+    """0 to 1 from eight signals: short, symbols, digits, few different characters, long words, no blanks, broken characters, repeats."""
     n = F.greatest(F.length(text), F.lit(1))
     signals = [
         F.when(F.length(text) < 10, 0.3).otherwise(0.0),
-        F.least(F.lit(0.3), share(text, r"[^A-Za-z0-9\s]")),
-        F.when(share(text, r"[0-9]") > 0.5, 0.2).otherwise(0.0),
+        F.least(F.lit(0.3), share(text, rf"[^{WORD_CLASS}\s]")),
+        F.when(share(text, r"\p{N}") > 0.5, 0.2).otherwise(0.0),
         F.when(F.size(F.array_distinct(F.split(text, ""))) / n < 0.02, 0.2).otherwise(0.0),
         F.when(text.rlike(r"[A-Za-z]{30,}"), 0.2).otherwise(0.0),
-        F.when(~text.rlike(r"\s"), 0.2).otherwise(0.0),
+        # scripts without blanks between words are no sign of garbage
+        F.when(~text.rlike(r"\s") & (share(text, "[A-Za-z]") > 0.5), 0.2).otherwise(0.0),
+        F.least(F.lit(0.3), share(text, r"[\x{FFFD}\x{E000}-\x{F8FF}\x{0000}-\x{0008}]") * 3),
+        F.when(text.rlike(r"(.)\1{7,}"), 0.2).otherwise(0.0),
     ]
     return F.least(F.lit(1.0), reduce(lambda a, b: a + b, signals))
 
 
+def japanese_spacing(text: Column) -> Column:
+    """Blanks between Japanese characters go, as do those before Japanese punctuation; others become one (X11)."""
+    japanese = SCRIPTS["hiragana"] + SCRIPTS["katakana"] + SCRIPTS["kanji"] + r"\x{3001}\x{3002}\x{FF01}-\x{FF5E}"
+    joined = F.regexp_replace(text, rf"(?<=[{japanese}])[ \x{{3000}}\t]+(?=[{japanese}])", "")
+    return F.trim(F.regexp_replace(joined, r"[ \x{3000}\t]+", " "))
+
+
+#: Digits and circled numerals by value (fixed values).
+KANJI_DIGITS = "〇一二三四五六七八九"
+CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩"
+
+
+def kanji_number(text: Column) -> Column:
+    """A kanji number up to 99 as an integer; null for anything else."""
+    digit = lambda c: F.when(c == "", F.lit(None)).otherwise(F.instr(F.lit(KANJI_DIGITS), c) - 1)
+    tens, ones = F.regexp_extract(text, "^([一二三四五六七八九]?)十([一二三四五六七八九]?)$", 1), F.regexp_extract(text, "^([一二三四五六七八九]?)十([一二三四五六七八九]?)$", 2)
+    with_ten = F.coalesce(digit(tens), F.lit(1)) * 10 + F.coalesce(digit(ones), F.lit(0))
+    return F.when(text.rlike("^[一二三四五六七八九]?十[一二三四五六七八九]?$"), with_ten).when(text.rlike(f"^[{KANJI_DIGITS}]$"), digit(text)).cast("int")
+
+
+def without_readings(text: Column) -> Column:
+    """Kana readings in brackets after kanji go."""
+    return F.regexp_replace(text, rf"(?<=[{SCRIPTS['kanji']}])[(（][{SCRIPTS['hiragana']}{SCRIPTS['katakana']}]+[)）]", "")
+
+
+def readings(text: Column) -> Column:
+    """(kanji, reading) pairs of kana in brackets after kanji."""
+    pattern = rf"([{SCRIPTS['kanji']}]+)[(（]([{SCRIPTS['hiragana']}{SCRIPTS['katakana']}]+)[)）]"
+    return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("kanji"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("reading"))
+
+
+def repaired_markers(text: Column) -> Column:
+    """Question markers that recognition has misread get their sign again."""
+    return F.regexp_replace(text, r"(?m)(^|[\s\x{3000}])[間同]\s*(?=[0-9０-９])", "$1問")
+
+
+def formulas(text: Column) -> Column:
+    """Stretches that read as a formula: an operator between terms of letters, digits or brackets."""
+    return F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9()^._]+(?: ?[=+*/<>≤≥≠±×÷−-] ?[A-Za-z0-9()^._]+)+)"), F.lit(1))
+
+
+def bridged(tags: Column, bridges: dict[str, list[str]]) -> Column:
+    """The tags with those that they lead to, in order, each once."""
+    table = F.create_map(*[x for k, v in bridges.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    more = F.flatten(F.transform(tags, lambda t: F.coalesce(F.try_element_at(table, t), F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(tags, more))
+
+
+def longest_of(*texts: Column, least: int = 10) -> Column:
+    """The longest of several readings of a text that has more than so many characters, the first of equals; else null."""
+    best = F.array_max(F.array(*[F.struct(F.length(t).alias("n"), F.lit(-i).alias("i"), t.alias("t")) for i, t in enumerate(texts)]))
+    return F.when(best["n"] > least, best["t"])
+
+
 def failure_route(garbage: Column, confidence: Column, label: Column, number: Column) -> Column:
     """Why a record failed: noise before segmentation before classification."""
     return F.when((garbage >= 0.5) | (confidence < 0.5), "ocr_noise").when(number.isNull(), "segmentation_failure").when(label.isNull() | (label == "unknown"), "classifier_gap").otherwise("none")

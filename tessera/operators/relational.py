@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import text_key
+
 
 def optional_filter(df: DataFrame, **wanted) -> DataFrame:
     """Rows that meet every condition given: column=value, column__ge, column__le, column__in; None means no condition (F1)."""
@@ -170,7 +172,7 @@ def majority(df: DataFrame, keys: list[str], value: str, order: list[str]) -> Da
 
 def duplicate_groups(df: DataFrame, text: str, key: str, least: int = 8) -> DataFrame:
     """Groups of rows with the same normalised start of the text."""
-    hashed = F.left(F.lower(F.regexp_replace(text, r"[^A-Za-z0-9]+", "")), F.lit(120))
+    hashed = text_key(F.col(text), 120)
     rows = df.withColumn("content", hashed).filter(F.length("content") >= least)
     return rows.groupBy("content").agg(F.count("*").alias("n"), F.min(key).alias("first_id")).filter("n > 1")
 

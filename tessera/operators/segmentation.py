@@ -33,11 +33,20 @@ def split_items(pages: DataFrame, keys: list[str], text: str, marker: str) -> Da
     return pages.select(*keys, F.posexplode(F.filter(parts, lambda p: F.trim(p) != "")).alias("pos", "item"))
 
 
-def choices(items: DataFrame, keys: list[str], text: str, pattern: str = r"(?m)^\s*([0-9]{1,2}|[A-Z])[.)]\s+(.*)$", least: int = 3) -> DataFrame:
-    """Labelled choices of an item, if it has enough."""
-    labels, texts = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    rows = items.withColumn("_c", F.arrays_zip(labels.alias("label"), texts.alias("choice"))).filter(F.size("_c") >= least)
-    return rows.select(*keys, F.posexplode("_c").alias("ordinal", "_x")).select(*keys, "ordinal", "_x.label", "_x.choice")
+#: A choice's label at the start of a line, and circled numerals anywhere (fixed values).
+LABELLED = r"(?m)^\s*([0-9]{1,2}|[A-Z])[.)]\s+(.*)$"
+CIRCLED_CHOICE = "([①②③④⑤⑥⑦⑧⑨⑩])\\s*([^①②③④⑤⑥⑦⑧⑨⑩\\n]*)"
+
+
+def choices(items: DataFrame, keys: list[str], text: str, pattern: str = LABELLED, least: int = 3) -> DataFrame:
+    """Labelled choices of an item: circled numerals if there are enough, else labels that follow each other from the first."""
+    pairs = lambda p: F.arrays_zip(F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("label"), F.regexp_extract_all(text, F.lit(p), F.lit(2)).alias("choice"))
+    place = lambda x: F.when(x["label"].rlike("^[0-9]+$"), x["label"].cast("int")).otherwise(F.ascii(x["label"]) - 64)
+    circled, labelled = pairs(CIRCLED_CHOICE), pairs(pattern)
+    follow = F.filter(labelled, lambda x, i: place(x) == place(F.element_at(labelled, 1)) + i)
+    chosen = F.when(F.size(circled) >= least, circled).otherwise(follow)
+    rows = items.withColumn("_c", chosen).filter(F.size("_c") >= least)
+    return rows.select(*keys, F.posexplode("_c").alias("ordinal", "_x")).select(*keys, "ordinal", "_x.label", F.trim("_x.choice").alias("choice"))
 
 
 def merged_fragments(items: DataFrame, keys: list[str], order: str, text: str, least: int) -> DataFrame:
@@ -54,9 +63,11 @@ def merged_fragments(items: DataFrame, keys: list[str], order: str, text: str, l
 
 
 def segmentation_confidence(items: DataFrame, keys: list[str], text: str, short: int = 20) -> DataFrame:
-    """Mean of min(1, length / 100), 0.8 of it if over 30 % of the items are fragments."""
-    out = items.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.least(F.lit(1.0), F.length(text) / 100)).alias("c"), F.avg((F.length(text) < short).cast("double")).alias("f"))
-    return out.select(*keys, "n", F.round(F.when(F.col("f") > 0.3, F.col("c") * 0.8).otherwise(F.col("c")), 6).alias("confidence"))
+    """Mean of min(1, length / 100), 0.8 of it if over 30 % of the items are fragments, cut to four digits."""
+    # whole numbers up to the one division: the mean doesn't depend on the order of the items
+    out = items.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.least(F.lit(100), F.length(text))).alias("c"), F.sum((F.length(text) < short).cast("long")).alias("f"))
+    points = F.when(F.col("f") * 10 > F.col("n") * 3, F.col("c") * 8).otherwise(F.col("c") * 10)
+    return out.select(*keys, "n", (F.floor(points * 10 / F.col("n")) / 10000).alias("confidence"))
 
 
 def columns_by_gap(boxes: DataFrame, keys: list[str], x: str, gap: float) -> DataFrame:

@@ -24,7 +24,7 @@ def _votes(s, d):
 
 def _tags(s, d):
     words = [("the", "article", "word"), ("tion", "noun", "suffix"), ("and", "joiner", "word"), ("ing", "verb", "suffix"), (",", "comma", "sign")]
-    return c.concept_tags(table(s, d, "benchmark"), "item_id", "text", words, 4)
+    return c.concept_tags(table(s, d, "documents"), "doc_id", "text", words, 4)
 
 
 def _fuzzy(s, d):
@@ -32,7 +32,7 @@ def _fuzzy(s, d):
 
 
 def _louvain(s, d):
-    m = topic_days(s, d).filter("domain = 'purchase' and topic < 40")
+    m = topic_days(s, d).filter("domain = 'purchase'")
     pairs = r.co_occurrence(m, "year", "topic", least=3)
     return c.louvain(pairs.select(F.lit("g").alias("graph"), F.col("a").alias("src"), F.col("b").alias("dst"), F.col("jaccard").alias("weight")), "graph")
 
@@ -55,6 +55,9 @@ ORACLES = {
         SELECT doc_id, CASE WHEN conf >= 0.5 THEN CASE WHEN e = best THEN 'en' WHEN g = best THEN 'de' ELSE 'fr' END END AS label, round(conf, 6) AS confidence FROM c""",
     "section_votes": f"""WITH {SQL['questions']}, v AS (SELECT exam_id, domain AS label, sum(2.0 + CASE WHEN difficulty >= 25 THEN 3.0 ELSE 0 END) AS w FROM questions GROUP BY ALL),
         k AS (SELECT *, sum(w) OVER (PARTITION BY exam_id) AS t, row_number() OVER (PARTITION BY exam_id ORDER BY w DESC, label) AS i FROM v) SELECT exam_id, label, round(w / t, 6) AS confidence FROM k WHERE i = 1""",
+    "concept_tags": """WITH w AS (SELECT * FROM (VALUES ('the', 'article', 'word'), ('tion', 'noun', 'suffix'), ('and', 'joiner', 'word'), ('ing', 'verb', 'suffix'), (',', 'comma', 'sign')) t(w, tag, category)),
+        f AS (SELECT doc_id, len(text) AS n, category, tag, instr(lower(text), w) AS "at" FROM documents, w), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "at", category, tag) AS i FROM f WHERE "at" > 0)
+        SELECT doc_id, category, tag, "at", round(1 - 0.5 * "at" / n, 6) AS confidence FROM r WHERE i <= 4""",
     "longest_keyword_topic": """WITH x AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, CASE WHEN contains(t, 'nicht ') THEN 'german' WHEN contains(t, 'that ') THEN 'english' WHEN contains(t, 'pour ') THEN 'french'
         WHEN contains(t, 'the ') THEN 'english' WHEN contains(t, 'der ') THEN 'german' WHEN contains(t, 'les ') THEN 'french' END AS topic FROM x""",
     "merged_blocks": """SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type, floor(user_id / 25.0 + 0.5), floor(value / 25.0 + 0.5) ORDER BY value DESC, event_id) AS i FROM events WHERE value IS NOT NULL) WHERE i = 1""",

@@ -26,7 +26,7 @@ def _blend(s, d):
 
 def _factors(s, d):
     names = ["recency", "base", "cycle", "posterior", "momentum"]
-    return f.factors(topic_days(s, d), _targets(s).filter("target = 30"), 1).select("domain", "topic", *[F.round(n, 6).alias(n) for n in names])
+    return f.factors(topic_days(s, d), _targets(s), 1).select("target", "domain", "topic", *[F.round(n, 6).alias(n) for n in names])
 
 
 def _ranking(s, d):
@@ -44,7 +44,7 @@ def _clusters(s, d):
 
 
 def _bm25(s, d):
-    return se.bm25(table(s, d, "documents"), table(s, d, "benchmark").filter("item_id < 10"), "doc_id", "text", "item_id")
+    return se.bm25(table(s, d, "documents"), table(s, d, "benchmark"), "doc_id", "text", "item_id")
 
 
 def _hybrid(s, d):
@@ -65,7 +65,7 @@ def _classified(s, d):
 
 
 def _edges(s, d):
-    m = topic_days(s, d).filter("domain = 'purchase' and topic < 40")
+    m = topic_days(s, d).filter("domain = 'purchase'")
     return r.co_occurrence(m, "year", "topic", least=2)
 
 
@@ -118,14 +118,14 @@ QUERIES = {
     "hybrid_search": _hybrid,
     "centroid_classifier": _classified,
     "leader_clusters": lambda s, d: se.leaders(table(s, d, "embeddings"), "label", "vec_id", "embedding", 0.4),
-    "document_terms": lambda s, d: se.related_terms(table(s, d, "benchmark"), "item_id", "text", 5),
+    "document_terms": lambda s, d: se.related_terms(table(s, d, "documents"), "doc_id", "text", 5),
     "graph_statistics": lambda s, d: g.statistics(_graph(s, d)),
     "graph_degrees": lambda s, d: g.degrees(_graph(s, d)),
     "graph_pagerank": lambda s, d: g.pagerank(_tree(s, d)),
     "graph_reachable": lambda s, d: g.reachable(_tree(s, d), 4),
     "graph_bottlenecks": lambda s, d: g.bottlenecks(_tree(s, d), least=1.0),
     "graph_cycles": lambda s, d: g.in_cycle(_tree(s, d), 8),
-    "graph_boosts": lambda s, d: g.boosted(s.range(0, 40).select(F.col("id").alias("node"), (F.col("id") % 10 / 10).alias("p")), _graph(s, d)),
+    "graph_boosts": lambda s, d: g.boosted(s.range(0, 150).select(F.col("id").alias("node"), (F.col("id") % 10 / 10).alias("p")), _graph(s, d)),
     "similarity_edges": lambda s, d: g.similarity_edges(_edges(s, d)),
     "graph_audit": lambda s, d: g.audit(_tree(s, d), s.range(0, 120).select(F.col("id").cast("int").alias("node"))),
     "knowledge_tracing": lambda s, d: st.knowledge_traced(attempts(s, d), ["student", "topic"], ["ts", "event_id"]),
@@ -165,7 +165,7 @@ _FACTORS = """, t AS (SELECT CAST(range AS INTEGER) AS target FROM range(25, 31)
                (active + 3) / (target - 1 + 6) AS posterior, least(1.0, recent / 5) AS momentum FROM a),
   b AS (SELECT *, round(greatest(0.01, least(0.99, 0.30 * recency + 0.20 * base + 0.15 * cycle + 0.20 * posterior + 0.15 * momentum)), 6) AS probability FROM c)"""
 _TREE = """tree AS (SELECT n_nationkey + 100 AS src, n_regionkey AS dst FROM nation UNION ALL SELECT n_nationkey + 100, n_nationkey % 7 + 100 FROM nation WHERE n_nationkey <> n_nationkey % 7)"""
-_CO = """, p AS (SELECT year, topic FROM matrix WHERE domain = 'purchase' AND topic < 40), c AS (SELECT topic, count(*) AS n FROM p GROUP BY 1),
+_CO = """, p AS (SELECT year, topic FROM matrix WHERE domain = 'purchase'), c AS (SELECT topic, count(*) AS n FROM p GROUP BY 1),
   t AS (SELECT x.topic AS a, y.topic AS b, count(*) AS together FROM p x JOIN p y ON x.year = y.year AND x.topic < y.topic GROUP BY ALL HAVING count(*) >= 2),
   e AS (SELECT a, b, together, round(together / (ca.n + cb.n - together), 6) AS jaccard FROM t JOIN c ca ON ca.topic = a JOIN c cb ON cb.topic = b)"""
 _TOKENS = "list_filter(regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)'), lambda w: len(w) >= 2)"
@@ -177,7 +177,7 @@ _MASTERY = f"""WITH {SQL['attempts']}, m AS (SELECT student, topic, count(*) AS
               round(exp(-days / greatest(1.0 + "right", 0.1)), 6) AS retention FROM v)"""
 
 ORACLES = {
-    "forecast_factors": _m(_FACTORS + " SELECT domain, topic, round(recency, 6) AS recency, round(base, 6) AS base, round(cycle, 6) AS cycle, round(posterior, 6) AS posterior, round(momentum, 6) AS momentum FROM c WHERE target = 30"),
+    "forecast_factors": _m(_FACTORS + " SELECT target, domain, topic, round(recency, 6) AS recency, round(base, 6) AS base, round(cycle, 6) AS cycle, round(posterior, 6) AS posterior, round(momentum, 6) AS momentum FROM c"),
     "forecast_blend": _m(_FACTORS + ", r AS (SELECT target, domain, topic, probability, CAST(row_number() OVER (PARTITION BY target ORDER BY probability DESC, domain, topic) AS INTEGER) AS rank FROM b) SELECT * FROM r WHERE rank <= 30"),
     "forecast_markov": _m(
         """, x AS (SELECT domain, topic, year, lead(year) OVER (PARTITION BY domain, topic ORDER BY year) AS nx FROM matrix),
@@ -225,9 +225,23 @@ ORACLES = {
     ),
     "bm25_search": f"""WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), l AS (SELECT doc_id, greatest(len(t), 1) AS len, unnest(t) AS term FROM d),
         p AS (SELECT doc_id, len, term, count(*) AS tf FROM l GROUP BY ALL), n AS (SELECT count(*) AS n, avg(greatest(len(t), 1)) AS avgdl FROM d), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-        q AS (SELECT item_id, unnest(list_distinct({_TOKENS})) AS term FROM benchmark WHERE item_id < 10),
+        q AS (SELECT item_id, unnest(list_distinct({_TOKENS})) AS term FROM benchmark),
         s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY ALL),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0.001) SELECT * FROM r WHERE rank <= 12""",
+    "document_terms": f"""WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS i FROM p) SELECT doc_id, string_agg(term, ',' ORDER BY i) AS terms FROM r WHERE i <= 5 GROUP BY doc_id""",
+    "hybrid_search": f"""WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), l AS (SELECT doc_id, greatest(len(t), 1) AS len, unnest(t) AS term FROM d),
+        p AS (SELECT doc_id, len, term, count(*) AS tf FROM l GROUP BY ALL), n AS (SELECT count(*) AS n, avg(greatest(len(t), 1)) AS avgdl FROM d), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        q AS (SELECT unnest(list_distinct({_TOKENS})) AS term FROM benchmark WHERE item_id = 0),
+        s AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY ALL),
+        x AS (SELECT doc_id, score FROM s WHERE score > 0.001 ORDER BY score DESC, doc_id LIMIT 50), e AS (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+        y AS (SELECT a.doc_id, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM e a, e b WHERE b.doc_id = 0 AND a.doc_id <> 0 ORDER BY sim DESC, a.doc_id LIMIT 50),
+        z AS (SELECT doc_id, round(0.55 * coalesce(x.score / (SELECT max(score) FROM x), 0) + 0.45 * coalesce(greatest(0, y.sim), 0), 6) AS score FROM x FULL JOIN y USING (doc_id))
+        SELECT doc_id, score FROM z WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 15""",
+    "centroid_classifier": """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), u AS (SELECT label, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM e),
+        m AS (SELECT label, i, avg(x) AS m FROM u GROUP BY ALL), c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY label),
+        s AS (SELECT vec_id, c.label, round(list_cosine_similarity(v, c), 6) AS s FROM e, c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS i FROM s)
+        SELECT vec_id, max(label) FILTER (i = 1) AS predicted, max(s) FILTER (i = 1) AS similarity, round(max(s) FILTER (i = 1) - max(s) FILTER (i = 2), 6) AS margin FROM r GROUP BY vec_id""",
     "vector_nearest": """WITH q AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id = 3)
         SELECT vec_id, round(list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), q), 6) AS similarity FROM embeddings, q WHERE vec_id <> 3 ORDER BY similarity DESC, vec_id LIMIT 20""",
     "graph_statistics": _m(_CO + ", v AS (SELECT a AS v FROM e UNION SELECT b FROM e) SELECT (SELECT count(*) FROM v) AS nodes, count(*) AS edges, round(2 * count(*) / ((SELECT count(*) FROM v) * ((SELECT count(*) FROM v) - 1)), 6) AS density, round(avg(jaccard), 6) AS mean_weight FROM e"),
@@ -236,7 +250,7 @@ ORACLES = {
     "graph_cycles": _REACH.replace("{depth}", "8") + " SELECT src AS node FROM best WHERE src = dst",
     "graph_bottlenecks": _REACH.replace("{depth}", "5") + """, o AS (SELECT src AS node, count(DISTINCT dst) AS outdegree FROM tree GROUP BY 1), d AS (SELECT src AS node, max(hops) AS depth FROM best GROUP BY 1)
         SELECT node, outdegree, depth, round(0.6 * outdegree + 0.4 * depth, 4) AS score FROM o JOIN d USING (node) WHERE 0.6 * outdegree + 0.4 * depth >= 1.0""",
-    "graph_boosts": _m(_CO + """, n AS (SELECT range AS node, range % 10 / 10 AS p FROM range(0, 40)), g AS (SELECT b AS node, sum(0.3 * jaccard * p) AS g FROM e JOIN n ON n.node = a WHERE p >= 0.2 GROUP BY b)
+    "graph_boosts": _m(_CO + """, n AS (SELECT range AS node, range % 10 / 10 AS p FROM range(0, 150)), g AS (SELECT b AS node, sum(0.3 * jaccard * p) AS g FROM e JOIN n ON n.node = a WHERE p >= 0.2 GROUP BY b)
         SELECT n.node, round(least(1.0, p + coalesce(g, 0)), 6) AS p FROM n LEFT JOIN g ON g.node = n.node"""),
     "similarity_edges": _m(_CO + " SELECT a AS src, b AS dst, round(0.4 * jaccard + 0.6 * least(1.0, together / 8), 6) AS weight FROM e WHERE round(0.4 * jaccard + 0.6 * least(1.0, together / 8), 6) >= 0.3"),
     "graph_audit": f"""WITH {_TREE}, n AS (SELECT range AS node FROM range(0, 120)), u AS (SELECT src AS node FROM tree UNION SELECT dst FROM tree)

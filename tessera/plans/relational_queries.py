@@ -59,16 +59,16 @@ def _audit(s, d):
 
 
 def _ranges(s, d):
-    events = table(s, d, "events").select(F.col("user_id").alias("user"), "event_id", "value").filter("value is not null and user_id < 60")
-    bands = table(s, d, "supplier").select(F.col("s_suppkey").alias("band"), (F.col("s_suppkey") * 3.0).alias("low"), (F.col("s_suppkey") * 3.0 + 5.0).alias("high")).filter("s_suppkey < 40")
+    events = table(s, d, "events").select(F.col("user_id").alias("user"), "event_id", "value").filter("value is not null")
+    bands = table(s, d, "supplier").select(F.col("s_suppkey").alias("band"), (F.col("s_suppkey") * 3.0).alias("low"), (F.col("s_suppkey") * 3.0 + 5.0).alias("high"))
     rows = r.range_join(events.withColumn("k", F.lit(1)), bands.withColumn("k", F.lit(1)), ["k"], "value", "low", "high", 10.0)
     return rows.groupBy("band").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
 
 def _overlaps(s, d):
-    rows = table(s, d, "part").filter("p_partkey < 300").select(F.col("p_type").alias("k"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + F.col("p_size")).alias("high"))
+    rows = table(s, d, "part").select(F.col("p_type").alias("k"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + F.col("p_size")).alias("high"))
     out = r.overlapping(rows, rows, ["k"], "low", "high", 50.0).filter("a_id < b_id")
-    return out.select("k", F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return out.groupBy("k", F.col("a_id").alias("a")).agg(F.count("*").alias("n"), F.max("b_id").alias("last"))
 
 
 def _backlog(s, d):
@@ -174,13 +174,12 @@ ORACLES = {
         t AS (SELECT x.topic AS a, y.topic AS b, count(*) AS together FROM p x JOIN p y ON x.year = y.year AND x.topic < y.topic GROUP BY ALL HAVING count(*) >= 3)
         SELECT a, b, together, round(together / (ca.n + cb.n - together), 6) AS jaccard FROM t JOIN c ca ON ca.topic = a JOIN c cb ON cb.topic = b"""
     ),
-    "range_assignment": """SELECT s_suppkey AS band, count(*) AS n, min(event_id) AS first_event FROM events JOIN supplier ON s_suppkey < 40 AND value >= s_suppkey * 3.0 AND value < s_suppkey * 3.0 + 5.0
-        WHERE user_id < 60 GROUP BY 1""",
-    "interval_overlap": """SELECT a.p_type AS k, a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_partkey < b.p_partkey AND a.p_partkey < 300 AND b.p_partkey < 300
-        AND a.p_retailprice <= b.p_retailprice + b.p_size AND b.p_retailprice <= a.p_retailprice + a.p_size""",
+    "range_assignment": """SELECT s_suppkey AS band, count(*) AS n, min(event_id) AS first_event FROM events JOIN supplier ON value >= s_suppkey * 3.0 AND value < s_suppkey * 3.0 + 5.0 GROUP BY 1""",
+    "interval_overlap": """SELECT a.p_type AS k, a.p_partkey AS a, count(*) AS n, max(b.p_partkey) AS last FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_partkey < b.p_partkey
+        AND a.p_retailprice <= b.p_retailprice + b.p_size AND b.p_retailprice <= a.p_retailprice + a.p_size GROUP BY 1, 2""",
     "majority_label": """WITH c AS (SELECT source, lang, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, f, lang) AS i FROM c)
         SELECT source, lang AS majority, n FROM r WHERE i = 1""",
-    "duplicate_groups": """WITH h AS (SELECT doc_id, left(lower(regexp_replace(text, '[^A-Za-z0-9]+', '', 'g')), 120) AS content FROM documents)
+    "duplicate_groups": """WITH h AS (SELECT doc_id, left(lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')), 120) AS content FROM documents)
         SELECT content, count(*) AS n, min(doc_id) AS first_id FROM h WHERE length(content) >= 8 GROUP BY content HAVING count(*) > 1""",
     "difficulty_buckets": _q(
         """SELECT topic, CASE WHEN difficulty BETWEEN 1 AND 10 THEN '1-10' WHEN difficulty BETWEEN 11 AND 20 THEN '11-20' WHEN difficulty BETWEEN 21 AND 35 THEN '21-35' ELSE '36-50' END AS bucket, count(*) AS n

@@ -14,7 +14,13 @@ def _docs(s, d):
 
 
 def _quality(s, d):
-    return _docs(s, d).select("doc_id", F.round(t.text_quality(F.col("text")), 6).alias("quality"), F.round(t.quality_score(F.col("text")), 4).alias("score"), (t.quality_score(F.col("text")) < 60).alias("redo"))
+    text = F.col("text")
+    return _docs(s, d).select("doc_id", F.round(t.text_quality(text), 6).alias("quality"), F.round(t.meaningful_share(text), 6).alias("meaningful"), (t.text_quality(text) < 0.75).alias("redo"))
+
+
+def _scores(s, d):
+    score = t.quality_score(F.col("text"))
+    return _docs(s, d).select("doc_id", F.round(t.broken_share(F.col("text")), 6).alias("broken"), F.round(score, 4).alias("score"), (score < 60).alias("redo"))
 
 
 def _rollup(s, d):
@@ -42,31 +48,37 @@ def _segments(s, d):
 
 
 def _merged(s, d):
-    out = g.merged_fragments(_lines(s, d).filter("doc_id % 5 = 0"), ["doc_id"], "line_no", "line", 60)
+    out = g.merged_fragments(_lines(s, d), ["doc_id"], "line_no", "line", 60)
     return out.select("doc_id", "pos", F.length("item").alias("n_chars"))
 
 
 QUERIES = {
-    "string_hash_split": lambda s, d: _docs(s, d).select("doc_id", t.string_hash(F.left("text", F.lit(60))).alias("hash"), t.split_of(F.concat("source", F.lit("-"), F.col("doc_id").cast("string"))).alias("split")),
+    "string_hash_split": lambda s, d: _docs(s, d).select("doc_id", t.string_hash(F.col("text")).alias("hash"), t.split_of(F.concat("source", F.lit("-"), F.col("doc_id").cast("string"))).alias("split")),
     "text_quality": _quality,
+    "quality_scores": _scores,
     "quality_rollup": _rollup,
     "garbled_texts": lambda s, d: _docs(s, d).select("doc_id", t.garbled(F.col("text")).alias("garbled"), F.round(t.garbage_score(F.col("text")), 4).alias("garbage")),
     "text_keys": lambda s, d: _docs(s, d).groupBy(t.text_key(F.col("text")).alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")),
     "normal_form_keys": lambda s, d: _docs(s, d).groupBy(t.normalized(F.col("text")).alias("key")).agg(F.count("*").alias("n")),
-    "fuzzy_keyword": lambda s, d: table(s, d, "benchmark").select("item_id", t.fuzzy_contains(F.col("text"), "there").alias("found"), t.keyword_count(F.lower(F.col("text")), "th").alias("times")),
-    "char_ngram_df": lambda s, d: table(s, d, "benchmark").select("item_id", F.explode(F.array_distinct(t.char_ngrams(F.lower(F.col("text")), 3))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df")),
+    "fuzzy_keyword": lambda s, d: _docs(s, d).select("doc_id", t.fuzzy_contains(F.col("text"), "there").alias("found"), t.keyword_count(F.lower(F.col("text")), "th").alias("times")),
+    "char_ngram_df": lambda s, d: _docs(s, d).select("doc_id", F.explode(F.array_distinct(t.char_ngrams(F.lower(F.col("text")), 3))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df")),
     "lexicon_labels": _lexicon,
-    "question_type": lambda s, d: _docs(s, d).select("doc_id", t.first_match(F.lower(F.left("text", F.lit(200))), [("table", r"\|"), ("money", r"[0-9]+ ?(usd|eur)"), ("number", r"[0-9]{4,}"), ("mail", "@"), ("question", r"\?")], "prose").alias("kind")),
+    "question_type": lambda s, d: _docs(s, d).select("doc_id", t.first_match(F.lower(F.col("text")), [("table", r"\|"), ("money", r"[0-9]+ ?(usd|eur)"), ("number", r"[0-9]{4,}"), ("mail", "@"), ("question", r"\?")], "prose").alias("kind")),
     "pattern_labels": lambda s, d: _docs(s, d).select("doc_id", F.array_join(t.all_matches(F.col("text"), [("digits", "[0-9]"), ("at", "@"), ("pipe", r"\|"), ("accent", "[éèüöñ]")]), ",").alias("labels")),
     "year_detection": lambda s, d: table(s, d, "pages").select("page_id", t.year_found(F.col("html")).alias("year")),
     "line_rows": lambda s, d: _lines(s, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("line_no").alias("last_line")),
     "line_segments": _segments,
     "merged_fragments": _merged,
     "segmentation_confidence": lambda s, d: g.segmentation_confidence(_lines(s, d), ["doc_id"], "line"),
+    "script_shares": lambda s, d: _docs(s, d).select("doc_id", t.script_shares(F.col("text")).alias("x")).select("doc_id", *[F.round(f"x.{c}", 6).alias(c) for c in ("latin", "digit", "kanji")]),
+    "choice_rows": lambda s, d: _lines(s, d).groupBy("doc_id").agg(F.sum(t.choice_label(F.col("line")).isNotNull().cast("long")).alias("labelled")),
     "split_items": lambda s, d: g.split_items(_docs(s, d), ["doc_id"], "text", r"\bThe ").groupBy("doc_id").agg(F.count("*").alias("n")),
 }
 
-_QUALITY = "len(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) / len(text)"
+_KEPT = "len(regexp_replace(text, '[^\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FAF}\\x{AC00}-\\x{D7A3}a-zA-Z0-9]', '', 'g'))"
+_QUALITY = f"{_KEPT} / len(text)"
+_BARE = "regexp_replace(text, '[\\s\\p{Z}]+', '', 'g')"
+_BROKEN = "(len(text) - len(regexp_replace(text, '[\\x{FFFD}\\x{E000}-\\x{F8FF}\\x{0000}-\\x{0008}]', '', 'g'))) / len(text)"
 _LINES = "lines AS (SELECT doc_id, i - 1 AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), LATERAL unnest(range(1, len(l) + 1)) t(i) WHERE trim(l[i]) <> '')"
 
 
@@ -77,24 +89,23 @@ def _lexicon_sql(words: list[str], patterns: list[str]) -> str:
 
 
 ORACLES = {
-    "string_hash_split": """WITH c AS (SELECT doc_id, CASE WHEN text = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(left(text, 60), '') END AS a, string_split(source || '-' || doc_id, '') AS b FROM documents),
+    "string_hash_split": """WITH c AS (SELECT doc_id, CASE WHEN text = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(text, '') END AS a, string_split(source || '-' || doc_id, '') AS b FROM documents),
         h AS (SELECT doc_id, list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(a, lambda x: CAST(unicode(x) AS BIGINT))), lambda h, x: xor(h * 33, x) & 4294967295) AS hash,
               list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(b, lambda x: CAST(unicode(x) AS BIGINT))), lambda h, x: (h * 31 + x) & 4294967295) % 100 AS m FROM c)
         SELECT doc_id, hash, CASE WHEN m < 70 THEN 'train' WHEN m < 85 THEN 'val' ELSE 'test' END AS split FROM h""",
-    "text_quality": f"""WITH q AS (SELECT doc_id, {_QUALITY} AS q, len(regexp_replace(text, '[\\x20-\\x7E\\n\\t]', '', 'g')) / len(text) AS b, len(text) AS n FROM documents),
-        s AS (SELECT doc_id, q, greatest(0.0, 100.0 - 70.0 * b - 30.0 * (1.0 - q) - CASE WHEN n < 20 THEN 15.0 ELSE 0 END) AS s FROM q)
-        SELECT doc_id, round(q, 6) AS quality, round(s, 4) AS score, s < 60 AS redo FROM s""",
+    "text_quality": f"""WITH q AS (SELECT doc_id, {_QUALITY} AS q, {_BARE} AS b FROM documents)
+        SELECT doc_id, round(q, 6) AS quality, round(coalesce(len(regexp_replace(b, '[^{t.MEANINGFUL}]', '', 'g')) / nullif(len(b), 0), 0), 6) AS meaningful, q < 0.75 AS redo FROM q""",
     "quality_rollup": f"""WITH q AS (SELECT source, {_QUALITY} AS q, len(text) AS n FROM documents)
         SELECT source, count(*) AS n, round(avg(q), 6) AS avg_quality, min(n) AS shortest, count(*) FILTER (q < 0.75) AS low FROM q GROUP BY source""",
-    "text_keys": "SELECT left(lower(regexp_replace(text, '[^A-Za-z0-9]+', '', 'g')), 40) AS key, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1",
-    "fuzzy_keyword": """SELECT item_id, contains(lower(text), 'there') OR len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: 1 - levenshtein(w, 'there') / greatest(len(w), 5) >= 0.72)) > 0 AS found,
-        CAST((len(text) - len(replace(lower(text), 'th', ''))) // 2 AS BIGINT) AS times FROM benchmark""",
-    "char_ngram_df": """WITH g AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, len(text) - 1), lambda i: substring(lower(text), i, 3)))) AS gram FROM benchmark WHERE len(text) >= 3)
+    "text_keys": "SELECT left(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g')), 40) AS key, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1",
+    "fuzzy_keyword": """SELECT doc_id, contains(lower(text), 'there') OR len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: 1 - levenshtein(w, 'there') / greatest(len(w), 5) >= 0.72)) > 0 AS found,
+        CAST((len(text) - len(replace(lower(text), 'th', ''))) // 2 AS BIGINT) AS times FROM documents""",
+    "char_ngram_df": """WITH g AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(text) - 1), lambda i: substring(lower(text), i, 3)))) AS gram FROM documents WHERE len(text) >= 3)
         SELECT gram, count(*) AS df FROM g GROUP BY gram""",
     "lexicon_labels": f"""WITH s AS (SELECT doc_id, {_lexicon_sql(['the ', ' of ', ' and ', ' that '], ['^the', 'tion'])} AS e, {_lexicon_sql(['der ', ' und ', ' nicht ', ' das '], ['^der', 'ung'])} AS g,
           {_lexicon_sql(['les ', ' des ', ' qui ', ' pour '], ['^le', 'ment'])} AS f FROM documents)
         SELECT doc_id, CASE WHEN greatest(e, g, f) <= 0.29 THEN NULL WHEN e >= g AND e >= f THEN 'english' WHEN g >= f THEN 'german' ELSE 'french' END AS label FROM s""",
-    "question_type": """WITH t AS (SELECT doc_id, lower(left(text, 200)) AS t FROM documents) SELECT doc_id, CASE WHEN contains(t, '|') THEN 'table' WHEN regexp_matches(t, '[0-9]+ ?(usd|eur)') THEN 'money'
+    "question_type": """WITH t AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, CASE WHEN contains(t, '|') THEN 'table' WHEN regexp_matches(t, '[0-9]+ ?(usd|eur)') THEN 'money'
         WHEN regexp_matches(t, '[0-9]{4,}') THEN 'number' WHEN contains(t, '@') THEN 'mail' WHEN contains(t, '?') THEN 'question' ELSE 'prose' END AS kind FROM t""",
     "pattern_labels": """SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '[0-9]') THEN 'digits' END, CASE WHEN contains(text, '@') THEN 'at' END, CASE WHEN contains(text, '|') THEN 'pipe' END,
         CASE WHEN regexp_matches(text, '[éèüöñ]') THEN 'accent' END) AS labels FROM documents""",
@@ -102,6 +113,20 @@ ORACLES = {
     "line_rows": f"WITH {_LINES} SELECT doc_id, count(*) AS n, max(line_no) AS last_line FROM lines GROUP BY doc_id",
     "line_segments": f"""WITH {_LINES}, s AS (SELECT *, CAST(sum(CASE WHEN len(line) > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS segment FROM lines)
         SELECT doc_id, segment, count(*) AS n_lines, min(line_no) AS first_line, CAST(sum(len(line)) + count(*) - 1 AS BIGINT) AS n_chars FROM s WHERE segment > 0 GROUP BY doc_id, segment""",
-    "segmentation_confidence": f"""WITH {_LINES}, c AS (SELECT doc_id, count(*) AS n, avg(least(1.0, len(line) / 100)) AS c, avg(CASE WHEN len(line) < 20 THEN 1.0 ELSE 0.0 END) AS f FROM lines GROUP BY doc_id)
-        SELECT doc_id, n, round(CASE WHEN f > 0.3 THEN c * 0.8 ELSE c END, 6) AS confidence FROM c""",
+    "segmentation_confidence": f"""WITH {_LINES}, c AS (SELECT doc_id, count(*) AS n, CAST(sum(least(100, len(line))) AS BIGINT) AS c, count(*) FILTER (len(line) < 20) AS f FROM lines GROUP BY doc_id)
+        SELECT doc_id, n, floor((CASE WHEN f * 10 > n * 3 THEN c * 8 ELSE c * 10 END) * 10 / n) / 10000 AS confidence FROM c""",
+    "garbled_texts": f"""WITH c AS (SELECT doc_id, text, len(text) AS n, string_split(text, '') AS c, len(regexp_replace({_BARE}, '[^\\x{{3040}}-\\x{{30FF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{AC00}}-\\x{{D7A3}}A-Za-z0-9]', '', 'g')) / len({_BARE}) AS q, {_BROKEN} AS b FROM documents),
+        r AS (SELECT *, len(list_filter(range(1, n - 3), lambda i: c[i] <> chr(10) AND c[i] = c[i+1] AND c[i] = c[i+2] AND c[i] = c[i+3] AND c[i] = c[i+4])) > 0 AS five,
+                     len(list_filter(range(1, n - 6), lambda i: c[i] <> chr(10) AND c[i] = c[i+1] AND c[i] = c[i+2] AND c[i] = c[i+3] AND c[i] = c[i+4] AND c[i] = c[i+5] AND c[i] = c[i+6] AND c[i] = c[i+7])) > 0 AS eight,
+                     len(list_filter(range(1, n - 4), lambda i: c[i] <> chr(10) AND c[i+1] <> chr(10) AND c[i] = c[i+2] AND c[i] = c[i+4] AND c[i+1] = c[i+3] AND c[i+1] = c[i+5])) > 0 AS pairs FROM c),
+        g AS (SELECT doc_id, q < 0.6 OR five OR pairs AS garbled, CASE WHEN n < 10 THEN 0.3 ELSE 0 END + least(0.3, len(regexp_replace(text, '[\\p{{L}}\\p{{N}}\\s]', '', 'g')) / n)
+            + CASE WHEN (n - len(regexp_replace(text, '\\p{{N}}', '', 'g'))) / n > 0.5 THEN 0.2 ELSE 0 END + CASE WHEN len(list_distinct(c)) / n < 0.02 THEN 0.2 ELSE 0 END
+            + CASE WHEN regexp_matches(text, '[A-Za-z]{{30,}}') THEN 0.2 ELSE 0 END + CASE WHEN NOT regexp_matches(text, '\\s') AND (n - len(regexp_replace(text, '[A-Za-z]', '', 'g'))) / n > 0.5 THEN 0.2 ELSE 0 END
+            + least(0.3, b * 3) + CASE WHEN eight THEN 0.2 ELSE 0 END AS s FROM r)
+        SELECT doc_id, garbled, round(least(1.0, s), 4) AS garbage FROM g""",
+    "split_items": """WITH p AS (SELECT doc_id, regexp_replace(text, '\\bThe ', chr(1) || 'The ', 'g') AS t FROM documents), x AS (SELECT doc_id, unnest(string_split(t, chr(1))) AS item FROM p)
+        SELECT doc_id, count(*) AS n FROM x WHERE trim(item) <> '' GROUP BY doc_id""",
+    "script_shares": f"""WITH b AS (SELECT doc_id, {_BARE} AS b FROM documents)
+        SELECT doc_id, """ + ", ".join(f"round(coalesce((len(b) - len(regexp_replace(b, '[{t.SCRIPTS[c]}]', '', 'g'))) / nullif(len(b), 0), 0), 6) AS {c}" for c in ("latin", "digit", "kanji")) + " FROM b",
+    "choice_rows": f"""WITH {_LINES}, c AS (SELECT doc_id, count(*) FILTER (regexp_matches(line, '^\\s*([0-9]{{1,2}}|[A-Z])[.)]\\s+')) AS labelled FROM lines GROUP BY doc_id) SELECT doc_id, labelled FROM c""",
 }

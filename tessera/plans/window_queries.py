@@ -19,7 +19,7 @@ def _matrix_sql(body: str) -> str:
 
 
 def _knapsack(s, d):
-    rows = attempts(s, d).filter("student < 40 and value is not null").select("student", F.col("event_id").alias("pos"), F.round(F.col("value"), 2).alias("cost"), F.col("event_id").cast("string").alias("item"))
+    rows = attempts(s, d).filter("value is not null").select("student", F.col("event_id").alias("pos"), F.round(F.col("value"), 2).alias("cost"), F.col("event_id").cast("string").alias("item"))
     out = w.within_budget(rows, ["student"], ["pos"], "cost", "item", 100.0)
     return out.select("student", "used", F.array_join("taken", ",").alias("taken"))
 
