@@ -24,16 +24,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a local one only where all runs in one process (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if named:
+        return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tessera-")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the shared checkpoint folder and cuts its lineage.
 
-    The folder is the one the session names in spark.checkpoint.dir; a local one is set only where
-    none is set (tests).
+    See ``shared_folder`` for the folder.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tessera-"))
+        sc.setCheckpointDir(shared_folder(spark))
     done = df.checkpoint(eager=True)
     # A checkpoint keeps the constraints and partitionings of its plan, whose numbers double with every
     # joined round of a loop: the rows alone are taken over. Spark deletes the files with the last reference.
