@@ -1,12 +1,7 @@
 """One local session for all tests."""
 
-import os
-import sys
-
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
 
 @pytest.fixture(scope="session")
 def spark():
