@@ -37,7 +37,7 @@ from tessera.llm.common import BROADCAST_ROWS, cut, release, small_batches, text
 ORDER = 4
 DISCOUNT = 0.75
 #: Mass of the shared model in each class's context.
-PRIOR = 50.0
+PRIOR = 20.0
 Z = 4.0
 SPAN = 8
 CALIBRATION = 20_000

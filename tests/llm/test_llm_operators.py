@@ -232,9 +232,9 @@ def test_toxicity_model_is_of_all_grams(spark, monkeypatch):
         near = [x for h, x in counts.items() if h[:-1] == g[:-1]]
         p, total = [], [sum(x[k] for x in near) for k in (0, 1)]
         for k in (0, 1):
-            p.append((max(c[k] - 0.75, 0) + (0.75 * sum(x[k] > 0 for x in near) + 50) * shared(g)) / (total[k] + 50))
-        share = (total[1] + 50 * usual) / (sum(total) + 50)
-        if abs(c[1] - sum(c) * share) > 4 * (sum(c) * share * (1 - share) + 0.25) ** 0.5:
+            p.append((max(c[k] - 0.75, 0) + (0.75 * sum(x[k] > 0 for x in near) + toxicity.PRIOR) * shared(g)) / (total[k] + toxicity.PRIOR))
+        share = (total[1] + toxicity.PRIOR * usual) / (sum(total) + toxicity.PRIOR)
+        if abs(c[1] - sum(c) * share) > toxicity.Z * (sum(c) * share * (1 - share) + 0.25) ** 0.5:
             want[int.from_bytes(g)] = np.log(p[1] / p[0])
     assert len(counts) > 20 and sorted(want) == model.grams.tolist()
     assert np.allclose(model.says, [want[g] for g in sorted(want)], atol=1e-5)
