@@ -179,7 +179,7 @@ ORACLES = {
         AND a.p_retailprice <= b.p_retailprice + b.p_size AND b.p_retailprice <= a.p_retailprice + a.p_size GROUP BY 1, 2""",
     "majority_label": """WITH c AS (SELECT source, lang, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, f, lang) AS i FROM c)
         SELECT source, lang AS majority, n FROM r WHERE i = 1""",
-    "duplicate_groups": """WITH h AS (SELECT doc_id, left(lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')), 120) AS content FROM documents)
+    "duplicate_groups": """WITH h AS (SELECT doc_id, left(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g')), 120) AS content FROM documents)
         SELECT content, count(*) AS n, min(doc_id) AS first_id FROM h WHERE length(content) >= 8 GROUP BY content HAVING count(*) > 1""",
     "difficulty_buckets": _q(
         """SELECT topic, CASE WHEN difficulty BETWEEN 1 AND 10 THEN '1-10' WHEN difficulty BETWEEN 11 AND 20 THEN '11-20' WHEN difficulty BETWEEN 21 AND 35 THEN '21-35' ELSE '36-50' END AS bucket, count(*) AS n
