@@ -17,6 +17,18 @@ def seen(matrix: DataFrame, targets: DataFrame) -> DataFrame:
     return matrix.join(F.broadcast(targets), F.col("year") < F.col("target"))
 
 
+def cycle_score(gap: Column, sd: Column, since: Column) -> Column:
+    """How due a topic is, by the mean and deviation of its gaps and the periods since it last came."""
+    mean = F.round(gap, 9)  # so that engines agree where a threshold is met exactly
+    regular = F.round(sd / gap, 9) < 0.5
+    return (
+        F.when(mean.isNull(), 0.3)
+        .when(regular & (since >= mean), F.least(F.lit(1.0), 0.6 + 0.1 * (since - gap)))
+        .when(since >= mean, 0.5)
+        .otherwise(F.greatest(F.lit(0.1), 0.4 * since / gap))
+    )
+
+
 def factors(matrix: DataFrame, targets: DataFrame, first: int, half_life: float = 3.0) -> DataFrame:
     """Per target and topic: recency, base rate, cycle, posterior, momentum (P1, P2, P3, P5, P11), and the plain counts."""
     keys = ["target", "domain", "topic"]
@@ -36,14 +48,7 @@ def factors(matrix: DataFrame, targets: DataFrame, first: int, half_life: float
     # the weights of all periods from first to target - 1, a geometric series
     whole = F.lit(q) * (1 - F.pow(F.lit(q), span)) / (1 - q)
     since = F.col("target") - F.col("last")
-    gap = F.round("gap", 9)  # so that engines agree where a threshold is met exactly
-    regular = F.round(F.col("gap_sd") / F.col("gap"), 9) < 0.5
-    cycle = (
-        F.when(F.col("gap").isNull(), 0.3)
-        .when(regular & (since >= gap), F.least(F.lit(1.0), 0.6 + 0.1 * (since - F.col("gap"))))
-        .when(since >= gap, 0.5)
-        .otherwise(F.greatest(F.lit(0.1), 0.4 * since / F.col("gap")))
-    )
+    cycle = cycle_score(F.col("gap"), F.col("gap_sd"), since)
     return out.select(
         *keys,
         "active",
