@@ -80,7 +80,7 @@ def six_factors(matrix: DataFrame, target: int, first: int, broken: int) -> Data
         "recency": F.least(F.lit(1.0), F.col("_w") / whole / 5),
         "base": 0.4 * F.col("_a") / seasons + 0.6 * F.least(F.lit(1.0), F.col("_total") / F.col("_n") / 15),
         "cycle": cycle,
-        "markov": F.coalesce(F.least(F.lit(0.9), F.col("together") / max(1, n) * 4.0), F.lit(0.3)),
+        "markov": F.when(F.col("together").isNull(), 0.3).otherwise(F.least(F.lit(0.9), F.col("together") / max(1, n) * 4.0)),
         "posterior": (3.0 + F.col("_n")) / (6.0 + n),
         "trend": trend,
     }

@@ -82,7 +82,7 @@ ORACLES = {
               30 - max(year) AS since, coalesce(sum(cnt) FILTER (year >= 28), 0) AS late, coalesce(sum(cnt) FILTER (year >= 25 AND year < 28), 0) AS early FROM m GROUP BY ALL),
         f AS (SELECT domain, topic, least(1.0, w / {_decay(3, _W.format('y'))} / 5) AS recency, 0.4 * a / (0.5 * 15 + 2.0 * 15) + 0.6 * least(1.0, total / n / 15) AS base,
               CASE WHEN n < 2 THEN 0.3 WHEN gap <= 1.5 OR since >= gap - 1 THEN 0.8 WHEN since >= gap * 0.7 THEN 0.6 WHEN since <= 1 AND gap > 2 THEN 0.5 WHEN since <= 1 THEN 0.7 ELSE 0.3 END AS cycle,
-              coalesce(least(0.9, together / 30 * 4.0), 0.3) AS markov, (3.0 + n) / 36.0 AS posterior, CASE WHEN late * 2.0 > early * 0.5 THEN 0.8 WHEN late * 2.0 < early * 0.5 THEN 0.2 ELSE 0.5 END AS trend
+              CASE WHEN together IS NULL THEN 0.3 ELSE least(0.9, together / 30 * 4.0) END AS markov, (3.0 + n) / 36.0 AS posterior, CASE WHEN late * 2.0 > early * 0.5 THEN 0.8 WHEN late * 2.0 < early * 0.5 THEN 0.2 ELSE 0.5 END AS trend
               FROM a LEFT JOIN c USING (domain, topic))
         SELECT domain, topic, round(recency, 6) AS recency, round(base, 6) AS base, round(cycle, 6) AS cycle, round(markov, 6) AS markov, round(posterior, 6) AS posterior, round(trend, 6) AS trend,
           round(least(1.0, greatest(0.01, 0.15 * recency + 0.20 * base + 0.15 * cycle + 0.15 * markov + 0.20 * posterior + 0.15 * trend)), 6) AS probability FROM f""",

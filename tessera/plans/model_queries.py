@@ -226,8 +226,9 @@ ORACLES = {
     "bm25_search": f"""WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), l AS (SELECT doc_id, greatest(len(t), 1) AS len, unnest(t) AS term FROM d),
         p AS (SELECT doc_id, len, term, count(*) AS tf FROM l GROUP BY ALL), n AS (SELECT count(*) AS n, avg(greatest(len(t), 1)) AS avgdl FROM d), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
         q AS (SELECT item_id, unnest(list_distinct({_TOKENS})) AS term FROM benchmark),
-        s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY ALL),
-        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0.001) SELECT * FROM r WHERE rank <= 12""",
+        s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * len / avgdl))) AS score FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY ALL),
+        o AS (SELECT item_id, doc_id, round(score / max(score) OVER (PARTITION BY item_id), 6) AS score FROM s),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM o WHERE score > 0.001) SELECT * FROM r WHERE rank <= 12""",
     "document_terms": f"""WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS i FROM p) SELECT doc_id, string_agg(term, ',' ORDER BY i) AS terms FROM r WHERE i <= 5 GROUP BY doc_id""",
     "hybrid_search": f"""WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), l AS (SELECT doc_id, greatest(len(t), 1) AS len, unnest(t) AS term FROM d),

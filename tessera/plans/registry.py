@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 FLAGSHIP = "topic_year_trend"
 
 #: Modules of queries, each with QUERIES and ORACLES.
-MODULES = ("window_queries", "relational_queries", "text_queries", "model_queries", "planning_queries", "classify_queries", "analytics_queries", "horizon_queries")
+MODULES = ("window_queries", "relational_queries", "text_queries", "model_queries", "planning_queries", "classify_queries", "analytics_queries", "horizon_queries", "assessment_queries")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
