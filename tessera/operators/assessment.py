@@ -143,10 +143,10 @@ def topic_importance(records: DataFrame, predicted: DataFrame, keys: list[str],
     ``records``: total, active and recent5 per topic; ``predicted``: probability of 0 to 1, also of topics without record.
     """
     recency = F.col("recent5") / F.greatest("active", F.lit(1))
-    own = F.round(F.round(F.least(F.lit(1.0), F.col("total") / 100) * 0.4 + F.least(F.lit(1.0), recency / 5) * 0.35 + F.least(F.lit(1.0), F.col("active") / span) * 0.25, 9), 3)
+    own = F.round(F.least(F.lit(1.0), F.col("total") / 100) * 0.4 + F.least(F.lit(1.0), recency / 5) * 0.35 + F.least(F.lit(1.0), F.col("active") / span) * 0.25 + 1e-9, 3)  # halves up, whatever their sum's last bit
     rows = records.select(*keys, own.alias("_own")).join(predicted.select(*keys, "probability"), keys, "full")
     both = F.when(F.col("_own").isNull(), F.col("probability")).when(F.col("probability").isNull(), F.col("_own")).otherwise(F.col("_own") * 0.7 + F.col("probability") * 0.3)
-    return rows.select(*keys, F.round(F.round(both, 9), 3).alias("importance"))
+    return rows.select(*keys, F.round(both + 1e-9, 3).alias("importance"))
 
 
 def wrong_answer_bundle(wrong: DataFrame, keys: list[str], weakness: DataFrame, records: DataFrame, difficulty: DataFrame, predicted: DataFrame, span: int = 24) -> DataFrame:

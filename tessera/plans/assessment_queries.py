@@ -157,9 +157,9 @@ ORACLES = {
         v AS (SELECT *, round(least(1.0, acc * 0.6 + least(0.2, n * 0.04) + coalesce(greatest(0.0, 0.2 - date_diff('day', CAST(last AS DATE), DATE '{AS_OF}') / 365 * 0.2), 0)), 3) AS mastery FROM x)
         SELECT student, topic, n, round(acc, 6) AS accuracy, mastery, round(mastery * 0.8, 3) AS retention, CASE WHEN acc >= 0.8 THEN 'mastered' WHEN acc >= 0.5 THEN 'learning' ELSE 'weak' END AS status, last_five FROM v""",
     "legacy_records": f"{_REC} SELECT * FROM rec",
-    "topic_importance": f"""{_REC}, o AS (SELECT domain, topic, round(round(least(1.0, total / 100) * 0.4 + least(1.0, recent5 / greatest(active, 1) / 5) * 0.35 + least(1.0, active / 24) * 0.25, 9), 3) AS own FROM rec),
+    "topic_importance": f"""{_REC}, o AS (SELECT domain, topic, round(least(1.0, total / 100) * 0.4 + least(1.0, recent5 / greatest(active, 1) / 5) * 0.35 + least(1.0, active / 24) * 0.25 + 1e-9, 3) AS own FROM rec),
         p AS (SELECT domain, topic, count(DISTINCT year) / 30 AS pr FROM matrix WHERE topic % 2 = 0 GROUP BY ALL)
-        SELECT coalesce(o.domain, p.domain) AS domain, coalesce(o.topic, p.topic) AS topic, round(round(CASE WHEN own IS NULL THEN pr WHEN pr IS NULL THEN own ELSE own * 0.7 + pr * 0.3 END, 9), 3) AS importance FROM o FULL JOIN p ON o.domain = p.domain AND o.topic = p.topic""",
+        SELECT coalesce(o.domain, p.domain) AS domain, coalesce(o.topic, p.topic) AS topic, round(CASE WHEN own IS NULL THEN pr WHEN pr IS NULL THEN own ELSE own * 0.7 + pr * 0.3 END + 1e-9, 3) AS importance FROM o FULL JOIN p ON o.domain = p.domain AND o.topic = p.topic""",
     "wrong_answer_bundle": f"""{_REC}, w AS (SELECT event_id, event_type AS domain, user_id % 40 AS topic FROM events WHERE event_type = 'error'), k AS (SELECT domain, topic, count(DISTINCT year) / 40 AS weakness FROM matrix WHERE topic % 5 <> 0 GROUP BY ALL),
         h AS (SELECT domain, topic, max(cnt) * 9 AS hard FROM matrix WHERE topic % 4 <> 0 GROUP BY ALL), p AS (SELECT domain, topic, count(DISTINCT year) * 3 AS pr FROM matrix WHERE topic % 6 = 0 GROUP BY ALL),
         j AS (SELECT w.*, weakness, total, recent5, CAST(coalesce(nullif(hard, 0), 40) AS DOUBLE) AS hard, pr FROM w LEFT JOIN k USING (domain, topic) LEFT JOIN (SELECT * FROM rec WHERE topic % 7 <> 0) USING (domain, topic) LEFT JOIN h USING (domain, topic) LEFT JOIN p USING (domain, topic)),
