@@ -209,6 +209,14 @@ def final_selection(frame: DataFrame, n: int, least: float = 0.5, share: float =
     return rows.select(*KEYS, "p", "boosted", F.col("_best").isNull().alias("rescued"))
 
 
+def summary(records: DataFrame, p: str, total: str, growth: str) -> DataFrame:
+    """One row: the topics of the highest chance, total and growth, the least (domain, topic) of equals (P31); empty without topics."""
+    first = lambda c: F.min_by(F.struct(*KEYS), F.struct(-F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))), *KEYS))
+    out = records.agg(F.count("*").alias("topics"), first(p).alias("likeliest"), first(total).alias("largest"), first(growth).alias("fastest")).filter("topics > 0")
+    picks = [F.concat_ws("/", f"{c}.domain", F.col(f"{c}.topic").cast("string")).alias(c) for c in ("likeliest", "largest", "fastest")]
+    return out.select("topics", *picks)
+
+
 def trend_audit(declared: DataFrame, matrix: DataFrame, asked: DataFrame, recent: int) -> DataFrame:
     """(check, severity, n): declared totals and years of topics that the matrix contradicts, and asked (domain, topic, year) that it lacks.
 

@@ -53,6 +53,11 @@ def _audit(s, d):
     return h.trend_audit(declared, m, asked, BROKEN)
 
 
+def _summary(s, d):
+    rows = _sparse(s, d).groupBy("domain", "topic").agg(F.count("*").alias("p"), F.sum("cnt").alias("total"), (F.max("cnt") - F.min("cnt")).alias("growth"))
+    return h.summary(rows, "p", "total", "growth")
+
+
 QUERIES = {
     "forecast_six_factors": lambda s, d: h.six_factors(_sparse(s, d), TARGET, FIRST, BROKEN),
     "forecast_horizons": _horizons,
@@ -62,6 +67,7 @@ QUERIES = {
     "topic_features": lambda s, d: h.topic_features(_sparse(s, d), _about(s, d), TARGET, FIRST),
     "final_selection": _selection,
     "trend_audit": _audit,
+    "forecast_summary": _summary,
 }
 
 _DAYS = SQL["matrix"].replace("matrix AS", "days AS", 1)
@@ -124,6 +130,9 @@ ORACLES = {
     "final_selection": f"""{_FEW}, q AS (SELECT domain, topic, count(*) / 30 AS p FROM matrix GROUP BY ALL), b AS (SELECT *, round(p * (1 + topic % 3 / 10), 6) AS boosted, CASE topic % 4 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 END AS cp,
           row_number() OVER (ORDER BY p DESC, domain, topic) AS i FROM q)
         SELECT domain, topic, p, boosted, i > 30 AS rescued FROM b WHERE i <= 30 OR (cp >= 0.5 AND boosted >= cp * 0.4)""",
+    "forecast_summary": f"""{_FEW}, t AS (SELECT domain || '/' || topic AS name, domain, topic, count(*) AS p, sum(cnt) AS total, max(cnt) - min(cnt) AS growth FROM matrix GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (ORDER BY p DESC, domain, topic) AS a, row_number() OVER (ORDER BY total DESC, domain, topic) AS b, row_number() OVER (ORDER BY growth DESC, domain, topic) AS c FROM t)
+        SELECT count(*) AS topics, max(name) FILTER (a = 1) AS likeliest, max(name) FILTER (b = 1) AS largest, max(name) FILTER (c = 1) AS fastest FROM r HAVING count(*) > 0""",
     "trend_audit": f"""{_ALL}, f AS (SELECT domain, topic, sum(cnt) AS t, count(*) AS y FROM matrix GROUP BY ALL),
         d AS (SELECT domain, topic, t, y, t + CASE WHEN topic % 7 = 0 THEN 1 ELSE 0 END AS total, CASE WHEN topic % 9 = 0 THEN 0 WHEN topic % 5 = 0 THEN y + 1 ELSE y END AS years FROM f WHERE topic < 30),
         lost AS (SELECT domain, topic, year + 1 AS year FROM matrix m WHERE topic % 11 <> 0 AND NOT EXISTS (SELECT 1 FROM matrix o WHERE o.domain = m.domain AND o.topic = m.topic AND o.year = m.year + 1))

@@ -38,6 +38,15 @@ def content_addressed(spark: SparkSession, folder: str, pattern: str = "*") -> D
     return files.select("path", F.sha2("content", 256).alias("sha256")).groupBy("sha256").agg(F.min("path").alias("path"))
 
 
+def verified(spark: SparkSession, folder: str, expected: DataFrame, pattern: str = "*") -> DataFrame:
+    """(name, state) of a lock list (name, sha256) against a folder's files: ok, changed, missing, or unlisted (IO18). Files of one name count as ok if one of them is."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    found = files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.sha2("content", 256).alias("_found"))
+    state = F.when(F.col("sha256").isNull(), "unlisted").when(F.col("_found").isNull(), "missing").when(F.col("sha256") == F.col("_found"), "ok").otherwise("changed")
+    rows = expected.select("name", "sha256").join(found, "name", "full").select("name", state.alias("state"))
+    return rows.groupBy("name").agg(F.max("state").alias("state"))  # ok is the last by name of ok, missing and changed
+
+
 def text_records(spark: SparkSession, path: str) -> DataFrame:
     """(file, text) of JSON arrays (IO3); a record that isn't one fails the read."""
     return spark.read.schema("file string, text string").option("multiLine", "true").option("mode", "FAILFAST").json(path)

@@ -7,7 +7,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tessera.operators import assessment, graph, search
+from tessera.operators import assessment, graph, horizons, search
+from tessera.sources import tables
 
 
 def test_tracked_mastery(spark):
@@ -94,3 +95,31 @@ def test_rule_classifiers(spark):
     script, told = r"[぀-ヿ一-鿿]", ["注意事項", "鉛筆"]
     got = {r.id: (r.q, r.g) for r in df.select("id", assessment.is_question(F.col("text"), script, told, ["問", "①"]).alias("q"), assessment.is_garbage(F.col("text"), script, told, r"問\s*\d+").alias("g")).collect()}
     assert got == {1: (True, False), 2: (False, False), 3: (False, True), 4: (False, True)}
+
+
+def test_lock_list(spark, tmp_path):
+    import hashlib
+
+    for name in "abc":
+        (tmp_path / name).write_text(name)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    expected = spark.createDataFrame([("a", sha("a")), ("b", sha("x")), ("d", sha("d"))], "name string, sha256 string")
+    assert {tuple(r) for r in tables.verified(spark, str(tmp_path), expected).collect()} == {("a", "ok"), ("b", "changed"), ("c", "unlisted"), ("d", "missing")}
+
+
+def test_saved_centroids_classify_alike(spark, tmp_path):
+    v = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [0.9, 0.1]), (3, 1, [0.0, 1.0])], "id int, label int, v array<double>")
+    means = search.centroids(v, "label", "v")
+    for _ in range(2):
+        search.save_centroids(means, str(tmp_path / "m"))
+    got = search.classified(v, "id", "v", search.load_centroids(spark, str(tmp_path / "m")), "label")
+    assert sorted(got.collect()) == sorted(search.classified(v, "id", "v", means, "label").collect())
+
+
+def test_missing_company_and_records_take_their_defaults(spark):
+    matrix = spark.createDataFrame([("d", 1, 5, 2), ("d", 2, 9, 1)], "domain string, topic int, year int, cnt int")
+    assert {(r.topic, r.markov) for r in horizons.six_factors(matrix, 10, 1, 5).collect()} == {(1, 0.3), (2, 0.3)}
+    wrong = spark.createDataFrame([("d", 1)], "domain string, topic int")
+    none = [spark.createDataFrame([], f"domain string, topic int, {c}") for c in ("weakness double", "total long, recent5 long", "difficulty int", "probability int")]
+    r = assessment.wrong_answer_bundle(wrong, ["domain", "topic"], *none).first()
+    assert (r.chance, r.source, r.priority, r.grade) == (30.0, "default", 18, "E")
