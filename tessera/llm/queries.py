@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, fingerprint, licenses, mixing, sharding, topk, toxicity, urls
+from tessera.llm import bpe, chat, cohorts, fingerprint, licenses, mixing, sharding, topk, toxicity, urls
 from tessera.llm.common import table
 from tessera.llm.similarity import link_counts, ngram_components
 
@@ -151,6 +151,47 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_cohort_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = table(spark, sf_dir, "clicks")
+    found = cohorts.retention(clicks, table(spark, sf_dir, "clients"), as_of="2024-03-01 00:00:00", arrives=cohorts.late_arrival(clicks))
+    return found.select("state", "segment", "cohort", "period", "users", "users_crc32", "moved", "cents")
+
+
+def _crc32_sql(value: str) -> str:
+    """CRC-32 of a number's decimal digits; ``t`` is the list of the 256 bytes' remainders."""
+    codes = f"list_transform(string_split(CAST({value} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+OP12_SQL = f"""
+WITH bytes AS (
+  SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS t FROM range(256) r(i)
+), known AS (
+  SELECT DISTINCT * FROM clicks WHERE ts IS NOT NULL AND client_id IS NOT NULL
+), hashed AS (
+  SELECT *, {_crc32_sql("click_id")} AS h FROM known, bytes
+), arrived AS (
+  SELECT client_id, kind, epoch_us(ts) AS us, coalesce(CAST(floor(100 * value + 0.5) AS BIGINT), 0) AS cents,
+    arrived_at + CASE WHEN h % 3 = 0 THEN h % 100 ELSE 0 END * INTERVAL 1 DAY < TIMESTAMP '2024-03-01 00:00:00' AS early FROM hashed
+), states AS (
+  SELECT 0 AS state, * FROM arrived WHERE early UNION ALL SELECT 1, * FROM arrived
+), starts AS (
+  SELECT state, client_id, min(us) AS start FROM states WHERE kind = 'purchase' GROUP BY 1, 2
+), cohorts AS (
+  SELECT *, start // (3 * 86400000000) AS cohort FROM starts
+), named AS (
+  SELECT s.*, coalesce(c.city, '') AS segment, coalesce(s.cohort <> o.cohort, false) AS moved
+  FROM cohorts s LEFT JOIN cohorts o ON o.client_id = s.client_id AND o.state <> s.state LEFT JOIN clients c ON c.client_id = s.client_id
+), users AS (
+  SELECT state, client_id, segment, cohort, moved, (us - start) // (3 * 86400000000) AS period, sum(cents) AS cents
+  FROM states JOIN named USING (state, client_id) WHERE us >= start GROUP BY ALL
+)
+SELECT state, segment, cohort, period, count(*) AS users, CAST(sum({_crc32_sql("client_id")}) AS BIGINT) AS users_crc32,
+  CAST(sum(CAST(moved AS INTEGER)) AS BIGINT) AS moved, CAST(sum(cents) AS BIGINT) AS cents
+FROM users, bytes GROUP BY state, segment, cohort, period
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op1_ngram_links": op1_ngram_links,
@@ -163,10 +204,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_url_filter": op9_url_filter,
     "op10_chat_format": op10_chat_format,
+    "op12_cohort_retention": op12_cohort_retention,
 }
 
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": OP1_SQL,
     "op5_exact_top_k": OP5_SQL,
     "op10_chat_format": OP10_SQL.replace("\\\\", "\\"),
+    "op12_cohort_retention": OP12_SQL,
 }
