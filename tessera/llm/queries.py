@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, chat, cohorts, fingerprint, licenses, mixing, negatives, sharding, topk, toxicity, urls
 from tessera.llm.common import table
 from tessera.llm.similarity import link_counts, ngram_components
+from tessera.llm.supermin import near_groups
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -151,6 +152,15 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_groups(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: As for the n-gram join, with shingles of three words and a mark for the component's least document.
+OP11_SQL = "SELECT *, doc_id = component_id AS kept FROM (" + OP1_SQL.replace(">= 4", ">= 3").replace("len(w) - 2", "len(w) - 1").replace("w[i:i+3]", "w[i:i+2]") + ")"
+
+
 def op12_cohort_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = table(spark, sf_dir, "clicks")
     found = cohorts.retention(clicks, table(spark, sf_dir, "clients"), as_of="2024-03-01 00:00:00", arrives=cohorts.late_arrival(clicks))
@@ -229,6 +239,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_url_filter": op9_url_filter,
     "op10_chat_format": op10_chat_format,
+    "op11_near_groups": op11_near_groups,
     "op12_cohort_retention": op12_cohort_retention,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -237,6 +248,7 @@ ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": OP1_SQL,
     "op5_exact_top_k": OP5_SQL,
     "op10_chat_format": OP10_SQL.replace("\\\\", "\\"),
+    "op11_near_groups": OP11_SQL,
     "op12_cohort_retention": OP12_SQL,
     "op13_hard_negatives": OP13_SQL,
 }

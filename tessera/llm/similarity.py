@@ -16,6 +16,9 @@ What keeps this linear, without losing a link between different sets:
   only pairs of different components so far being tried: what comes out is a forest of likely links. These are
   intersected, components contracted by the true links, and the tiles which still hold a pair of different components
   go on; the last pass gives all admitted pairs of different components, which are few by then.
+- A tile of many rows is first cut into blocks, each row in one. What is then still apart from the tile's largest
+  component meets all its rows, in pairs of blocks; rows of the largest component never meet each other again. So a
+  group of near copies is dealt in proportion to its rows, and only sets apart from it are dealt more often.
 - Near copies mostly share pairs of min-hashes; the first tiles are of these. This only saves work.
 
 Results: one row per input row. Rows without words (null or empty text too) are in no link. Rows that are
@@ -286,7 +289,7 @@ def _fits(i: np.ndarray, j: np.ndarray, n: np.ndarray, bits: tuple[np.ndarray, n
 
 def _forest(rows: dict, bits: tuple, num: int, den: int, most: int) -> tuple[list, list]:
     """Pairs of places in one large block, in order of size: see the module; ``most`` for each set and component, 0: all."""
-    n, own, early = rows["n"], rows["own"], rows["early"]
+    n, own, early, side, sid = rows["n"], rows["own"], rows["early"], rows["side"], rows["sid"]
     _, root = np.unique(rows["label"], return_inverse=True)
     a, b = [], []
     for i in range(len(n) - 1):
@@ -294,6 +297,8 @@ def _forest(rows: dict, bits: tuple, num: int, den: int, most: int) -> tuple[lis
             continue
         last = int(np.searchsorted(n, den * n[i] // num, "right"))
         apart = root[i + 1 : last] != root[i]
+        if side[i]:
+            apart &= (side[i + 1 : last] != side[i]) & (sid[i + 1 : last] != sid[i])
         at = i + 1 + np.flatnonzero(apart if own[i] else apart & own[i + 1 : last])
         if not len(at):
             continue
@@ -315,8 +320,9 @@ def _forest(rows: dict, bits: tuple, num: int, den: int, most: int) -> tuple[lis
 def _tile_pairs(tiles: DataFrame, num: int, den: int, most: int) -> DataFrame:
     """(tile, a, b, da, db): each block's pairs (a < b); the tile is null if the block's pairs are all there.
 
-    tiles: (tile, band, x, y, sid, label, n, early, own, doc_id, bits). A pair of two rows of the band above is left to
-    that band.
+    tiles: (tile, band, x, y, sid, label, n, early, own, side, more, doc_id, bits). A pair of two rows of the band above is
+    left to that band; of a block with sides (1 and 2), only pairs across are tried. A block with ``more`` beside it
+    gives a row of its tile alone.
     """
     names = ["tile", "a", "b", "da", "db"]
 
@@ -328,10 +334,13 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int, most: int) -> DataFrame:
     def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         key = np.stack([t.column(c).to_numpy() for c in _TILE])
-        sid, label, n, early, own = (t.column(c).to_numpy() for c in ("sid", "label", "n", "early", "own"))
+        sid, label, n, early, own, side, more = (t.column(c).to_numpy() for c in ("sid", "label", "n", "early", "own", "side", "more"))
         starts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1])
         sizes = np.diff(np.concatenate([starts, [len(n)]]))
         bits = _bitmaps(t.column("bits"))
+        beside = np.unique(key[0, starts[more[starts]]])
+        if len(beside):
+            yield pa.record_batch([pa.array(beside), *[pa.nulls(len(beside), pa.int64())] * 4], names)
         left, right = [], []
         for size in range(2, SMALL + 1):
             p, q = np.triu_indices(size, 1)
@@ -339,7 +348,7 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int, most: int) -> DataFrame:
             left.append((of + p).ravel())
             right.append((of + q).ravel())
         i, j = np.concatenate(left), np.concatenate(right)
-        some = np.flatnonzero((label[i] != label[j]) & early[i] & (own[i] | own[j]))
+        some = np.flatnonzero((label[i] != label[j]) & early[i] & (own[i] | own[j]) & (sid[i] != sid[j]) & ((side[i] != side[j]) | (side[i] == 0)))
         i, j = i[some], j[some]
         ok, _ = _fits(i, j, n, bits, num, den)
         if len(ok):
@@ -349,7 +358,8 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int, most: int) -> DataFrame:
         for at, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
             part = slice(at, at + size)
             narrow, large, place = bits
-            i, j = _forest({"n": n[part], "own": own[part], "early": early[part], "label": label[part]}, (narrow[part], large, place[part]), num, den, most)
+            rows_of = {"n": n[part], "own": own[part], "early": early[part], "label": label[part], "side": side[part], "sid": sid[part]}
+            i, j = _forest(rows_of, (narrow[part], large, place[part]), num, den, most)
             if i:
                 yield rows(pa.array(np.full(len(i), key[0, at])), at + np.array(i), at + np.array(j), sid, t.column("doc_id"))
 
@@ -376,21 +386,47 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int, most: int) -> DataFrame:
     return keyed.mapInArrow(trimmed(run), "tile long, a long, b long, da long, db long")
 
 
-def _dealt(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (tile, sid, label, n, early) dealt to size bands of their tile, and blocks (x, y) of these; own: its own band.
+def _dealt(rows: DataFrame, num: int, den: int, way: str, banded: bool) -> DataFrame:
+    """Rows (tile, sid, label, n, early) dealt to size bands of their tile, and blocks (x, y) of these.
 
-    Similar sets are in one band or in neighbouring ones: each is dealt to its own and to the one below. Bands
-    whose rows are all of one component have nothing to say and go.
+    Similar sets are in one band or in neighbouring ones: each is dealt to its own (own) and to the one below. Bands
+    whose rows are all of one component have nothing to say and go. A band of one block is dealt as it is. Of larger ones
+    ``way`` "diagonal" brings each row to one block, and ``more`` says that there are others; "rest" sets the rows that
+    aren't of the band's largest component (side 2, in blocks y) against all rows (side 1, in blocks x), so that what is
+    dealt grows with the rows times the blocks of those still apart; "all" pairs all blocks, where all links are asked for.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + F.lit(1e-9)).cast("long")
-    rows = rows.withColumn("_b", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))))
-    rows = rows.select("tile", "_b.band", "_b.own", "sid", "label", "n", "early")
+    if banded:
+        band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + F.lit(1e-9)).cast("long")
+        rows = rows.withColumn("_b", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))))
+        rows = rows.select("tile", "_b.band", "_b.own", "sid", "label", "n", "early")
+    else:
+        rows = rows.select("tile", F.lit(0).cast("long").alias("band"), F.lit(True).alias("own"), "sid", "label", "n", "early")
     several = rows.groupBy("tile", "band").agg(F.min("label").alias("_a"), F.max("label").alias("_z"), F.count("*").alias("rows"), F.max("own").alias("_own"), F.max("early").alias("_early"))
-    several = several.filter("_a < _z and _own and _early").select("tile", "band", F.ceil(F.col("rows") / F.lit(BLOCK)).cast("long").alias("_parts"))
+    # cut, so that both sides of the join are shuffled and a hot tile's partition can be split
+    several = cut(several.filter("_a < _z and _own and _early").select("tile", "band", F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int").alias("_x")))
     rows = rows.join(several, ["tile", "band"])
-    mine, other = F.pmod(F.xxhash64("sid"), F.col("_parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
-    rows = rows.withColumn("_mine", mine).withColumn("_other", other)
-    return rows.select("tile", "band", F.least("_mine", "_other").alias("x"), F.greatest("_mine", "_other").alias("y"), "sid", "label", "n", "early", "own")
+    mine = F.pmod(F.xxhash64("sid"), F.col("_x")).cast("int")
+    up_to = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    at = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), F.lit(side).alias("side"))
+    kept = ["tile", "band", "sid", "label", "n", "early", "own"]
+    one = F.array(at(F.lit(0), F.lit(0), 0))
+    more = F.lit(False)
+    if way == "diagonal":
+        places, more = F.array(at(mine, mine, 0)), F.col("_x") > 1
+    elif way == "all":
+        places = F.transform(up_to("_x"), lambda o: at(F.least(mine, o), F.greatest(mine, o), 0))
+    else:
+        large = several.filter("_x > 1")
+        each = rows.join(large.select("tile", "band"), ["tile", "band"], "left_semi").groupBy("tile", "band", "label").count()
+        main = each.groupBy("tile", "band").agg(F.max(F.struct("count", "label")).alias("_m"), F.sum("count").alias("_rows"))
+        main = cut(main.select("tile", "band", F.col("_m")["label"].alias("_main"), F.ceil((F.col("_rows") - F.col("_m")["count"]) / BLOCK).cast("int").alias("_y")))
+        rows = rows.join(main, ["tile", "band"], "left")
+        across = F.transform(up_to("_y"), lambda y: at(mine, y, 1))
+        own_y = F.pmod(F.xxhash64("sid", F.lit(1)), F.col("_y")).cast("int")
+        others = F.when(F.col("label") != F.col("_main"), F.transform(up_to("_x"), lambda x: at(x, own_y, 2))).otherwise(F.filter(across, lambda _: F.lit(False)))
+        places = F.when(F.col("_x") > 1, F.concat(across, others)).otherwise(one)
+    rows = rows.withColumn("_at", F.explode(places)).withColumn("more", more)
+    return rows.select(*kept, "_at.x", "_at.y", "_at.side", "more")
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
@@ -398,36 +434,46 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def _linked(met: DataFrame, moved: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, passes: tuple[int, ...]) -> tuple[DataFrame | None, DataFrame]:
+#: Passes over tiles: the way they are dealt, and the pairs of a set and a component that one returns (0: all).
+FIRST = (("diagonal", 1),)
+WHOLE = (("diagonal", 1), ("rest", 1), ("rest", 16), ("rest", 0))
+EVERY = (("all", 0),)
+
+
+def _linked(met: DataFrame, moved: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, passes: tuple[tuple[str, int], ...], banded: bool = True) -> tuple[DataFrame | None, DataFrame]:
     """Links found in the tiles of ``met`` (tile, sid, n, early), and ``moved`` with what follows from them.
 
-    moved: (sid, label) of the sets in a component of several. A pass returns so many pairs of a set and a component
-    (0: all). Tiles with a pair whose components are still apart go on to the next pass.
+    moved: (sid, label) of the sets in a component of several. Tiles of several blocks, and those with a pair whose
+    components are still apart, go on to the next pass.
     """
     known = classes.select("sid", "doc_id", "bits")
-    links, active, n = None, met, moved.count()
-    for most in passes:
+    links, active, n, wide = None, met, moved.count(), True
+    for at, (way, most) in enumerate(passes):
+        if way == "rest" and most == 1 and not wide:
+            continue  # one block holds each tile: the pass would repeat the one before
         rows = active.join(_small(moved, n), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        rows = _dealt(rows, num, den).join(known, "sid").select(*_TILE, "sid", "label", "n", "early", "own", "doc_id", "bits")
+        rows = _dealt(rows, num, den, way, banded).join(known, "sid").select(*_TILE, "sid", "label", "n", "early", "own", "side", "more", "doc_id", "bits")
         pairs = cut(_tile_pairs(rows, num, den, most))
         if pairs.isEmpty():
             break
-        each = cut(pairs.groupBy("a", "b").agg(F.min("da").alias("da"), F.min("db").alias("db")))
+        each = cut(pairs.filter("a is not null").groupBy("a", "b").agg(F.min("da").alias("da"), F.min("db").alias("db")))
         found = _verified(docs, each, k, num, den)
         links = found if links is None else links.union(found)
-        if passes == (0,):
+        if way == "all":
             break
         moved = components(moved.select(F.col("sid").alias("a"), F.col("label").alias("b")).union(found)).select(F.col("node").alias("sid"), "label")
         n = moved.count()
-        if most == passes[-1]:
+        if at + 1 == len(passes):
             break
         end = lambda c: _small(moved.select(F.col("sid").alias(c), F.col("label").alias("l" + c)), n)  # noqa: B023, E731
-        still = pairs.filter("tile is not null").join(end("a"), "a", "left").join(end("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-        still = cut(still.select("tile").distinct())
+        apart = F.coalesce("la", "a") != F.coalesce("lb", "b")
+        still = pairs.filter("tile is not null").join(end("a"), "a", "left").join(end("b"), "b", "left").filter(F.col("a").isNull() | apart)
+        still = cut(still.groupBy("tile").agg(F.max(F.col("a").isNull()).alias("wide")))
         tiles = still.count()
         if not tiles:
             break
-        active = cut(active.join(_small(still, tiles), "tile", "left_semi"))
+        wide = not still.filter("wide").isEmpty()
+        active = cut(active.join(_small(still.select("tile"), tiles), "tile", "left_semi"))
     return links, moved
 
 
@@ -457,11 +503,15 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     # near copies: tiles of min-hash pairs
     keyed = classes.select(F.explode("keys").alias("tile"), "sid", "n", F.lit(True).alias("early"))
-    _, moved = _linked(keyed, _none(docs, "sid long, label long"), docs, classes, k, num, den, (1,))
+    _, moved = _linked(keyed, _none(docs, "sid long, label long"), docs, classes, k, num, den, FIRST)
 
     # tiles of shingles, of what is still apart
-    _, moved = _linked(cut(_met(docs, k, num, den, frequent)), moved, docs, classes, k, num, den, (1, 16, 0))
+    _, moved = _linked(cut(_met(docs, k, num, den, frequent)), moved, docs, classes, k, num, den, WHOLE)
+    return _named(rows, classes, moved)
+
 
+def _named(rows: DataFrame, classes: DataFrame, moved: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, set_id, label) of each of ``rows``, given the sets' components ``moved`` (sid, label)."""
     n = moved.count()
     least = classes.select("sid", "doc_id").join(_small(moved, n), "sid").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     moved = cut(moved.join(least, "label").select("sid", "label", "component_id"))
@@ -490,7 +540,7 @@ def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = _texts(docs, id_col, text_col)
     rows, classes, frequent = _classes(docs, k, num, den)
-    links, _ = _linked(cut(_met(docs, k, num, den, frequent)), _none(docs, "sid long, label long"), docs, classes, k, num, den, (0,))
+    links, _ = _linked(cut(_met(docs, k, num, den, frequent)), _none(docs, "sid long, label long"), docs, classes, k, num, den, EVERY)
     links = _none(docs, "a long, b long") if links is None else links.distinct()
     return links, rows.withColumnRenamed("sid", "set_id")
 
