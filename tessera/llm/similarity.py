@@ -287,8 +287,11 @@ def _fits(i: np.ndarray, j: np.ndarray, n: np.ndarray, bits: tuple[np.ndarray, n
     return ok, apart[ok]
 
 
-def _forest(rows: dict, bits: tuple, num: int, den: int, most: int) -> tuple[list, list]:
-    """Pairs of places in one large block, in order of size: see the module; ``most`` for each set and component, 0: all."""
+def _forest(rows: dict, bits: tuple, num: int, den: int, most: int) -> tuple[list, list, np.ndarray]:
+    """Pairs of places in one large block, in order of size: see the module; ``most`` for each set and component, 0: all.
+
+    Then a place of each component as it would be if all pairs were links.
+    """
     n, own, early, side, sid = rows["n"], rows["own"], rows["early"], rows["side"], rows["sid"]
     _, root = np.unique(rows["label"], return_inverse=True)
     a, b = [], []
@@ -314,7 +317,7 @@ def _forest(rows: dict, bits: tuple, num: int, den: int, most: int) -> tuple[lis
             chosen = at
         a += [i] * len(chosen)
         b += chosen.tolist()
-    return a, b
+    return a, b, np.unique(root, return_index=True)[1]
 
 
 def _tile_pairs(tiles: DataFrame, num: int, den: int, most: int) -> DataFrame:
@@ -322,7 +325,7 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int, most: int) -> DataFrame:
 
     tiles: (tile, band, x, y, sid, label, n, early, own, side, more, doc_id, bits). A pair of two rows of the band above is
     left to that band; of a block with sides (1 and 2), only pairs across are tried. A block with ``more`` beside it
-    gives a row of its tile alone.
+    gives its components too, each by a pair of one set with itself.
     """
     names = ["tile", "a", "b", "da", "db"]
 
@@ -338,9 +341,9 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int, most: int) -> DataFrame:
         starts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1])
         sizes = np.diff(np.concatenate([starts, [len(n)]]))
         bits = _bitmaps(t.column("bits"))
-        beside = np.unique(key[0, starts[more[starts]]])
+        beside = np.flatnonzero(np.repeat(more[starts] & (sizes <= SMALL), sizes))
         if len(beside):
-            yield pa.record_batch([pa.array(beside), *[pa.nulls(len(beside), pa.int64())] * 4], names)
+            yield rows(pa.array(key[0, beside]), beside, beside, sid, t.column("doc_id"))
         left, right = [], []
         for size in range(2, SMALL + 1):
             p, q = np.triu_indices(size, 1)
@@ -359,7 +362,9 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int, most: int) -> DataFrame:
             part = slice(at, at + size)
             narrow, large, place = bits
             rows_of = {"n": n[part], "own": own[part], "early": early[part], "label": label[part], "side": side[part], "sid": sid[part]}
-            i, j = _forest(rows_of, (narrow[part], large, place[part]), num, den, most)
+            i, j, alone = _forest(rows_of, (narrow[part], large, place[part]), num, den, most)
+            if more[at]:
+                i, j = [*i, *alone], [*j, *alone]
             if i:
                 yield rows(pa.array(np.full(len(i), key[0, at])), at + np.array(i), at + np.array(j), sid, t.column("doc_id"))
 
@@ -443,8 +448,8 @@ EVERY = (("all", 0),)
 def _linked(met: DataFrame, moved: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, passes: tuple[tuple[str, int], ...], banded: bool = True) -> tuple[DataFrame | None, DataFrame]:
     """Links found in the tiles of ``met`` (tile, sid, n, early), and ``moved`` with what follows from them.
 
-    moved: (sid, label) of the sets in a component of several. Tiles of several blocks, and those with a pair whose
-    components are still apart, go on to the next pass.
+    moved: (sid, label) of the sets in a component of several. Tiles with a pair whose components are still apart, and
+    those of several blocks that aren't of one component, go on to the next pass.
     """
     known = classes.select("sid", "doc_id", "bits")
     links, active, n, wide = None, met, moved.count(), True
@@ -456,7 +461,7 @@ def _linked(met: DataFrame, moved: DataFrame, docs: DataFrame, classes: DataFram
         pairs = cut(_tile_pairs(rows, num, den, most))
         if pairs.isEmpty():
             break
-        each = cut(pairs.filter("a is not null").groupBy("a", "b").agg(F.min("da").alias("da"), F.min("db").alias("db")))
+        each = cut(pairs.filter("a <> b").groupBy("a", "b").agg(F.min("da").alias("da"), F.min("db").alias("db")))
         found = _verified(docs, each, k, num, den)
         links = found if links is None else links.union(found)
         if way == "all":
@@ -466,9 +471,11 @@ def _linked(met: DataFrame, moved: DataFrame, docs: DataFrame, classes: DataFram
         if at + 1 == len(passes):
             break
         end = lambda c: _small(moved.select(F.col("sid").alias(c), F.col("label").alias("l" + c)), n)  # noqa: B023, E731
-        apart = F.coalesce("la", "a") != F.coalesce("lb", "b")
-        still = pairs.filter("tile is not null").join(end("a"), "a", "left").join(end("b"), "b", "left").filter(F.col("a").isNull() | apart)
-        still = cut(still.groupBy("tile").agg(F.max(F.col("a").isNull()).alias("wide")))
+        still = pairs.filter("tile is not null").join(end("a"), "a", "left").join(end("b"), "b", "left")
+        still = still.select("tile", F.col("a") == F.col("b"), F.coalesce("la", "a"), F.coalesce("lb", "b")).toDF("tile", "wide", "la", "lb")
+        # in a tile of one block only pairs can be apart; the blocks of a larger one may be
+        still = still.groupBy("tile").agg(F.max("wide").alias("wide"), F.max(F.col("la") != F.col("lb")).alias("apart"), F.min(F.least("la", "lb")).alias("_a"), F.max(F.greatest("la", "lb")).alias("_z"))
+        still = cut(still.filter("apart or (wide and _a < _z)").select("tile", "wide"))
         tiles = still.count()
         if not tiles:
             break

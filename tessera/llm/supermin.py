@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm import words as w
 from tessera.llm.common import cut, trimmed
-from tessera.llm.similarity import WHOLE, _linked, _named, _none, _texts, width
+from tessera.llm.similarity import FIRST, WHOLE, _linked, _named, _none, _texts, width
 
 #: Places of a signature, and of a band.
 SLOTS, ROWS = 128, 4
+#: Bands that are worked through ahead of all; only the work depends on it.
+AHEAD = 4
 #: Shingles whose permutations are drawn at once.
 DRAWN = 1 << 16
 
@@ -45,7 +47,7 @@ _FRACTION = _U(56)  # bits below the step's number
 
 def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     """A row of ``slots`` 64-bit offers (step, fraction) for each set of hashes; sets must not be empty."""
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     x = np.concatenate(sets) if sets else np.zeros(0, _U)
     out = np.full((len(sets), slots), ~_U(0))
@@ -120,8 +122,10 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = cut(_profiles(docs, k))
     rows = found.select("doc_id", F.col("n").alias("n_shingles"), "sid")
     classes = cut(found.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
-    met = classes.select(F.explode("keys").alias("tile"), "sid", "n", F.lit(True).alias("early"))
-    _, moved = _linked(met, _none(docs, "sid long, label long"), docs, classes, k, num, den, WHOLE, banded=False)
+    met = lambda keys: classes.select(F.explode(keys).alias("tile"), "sid", "n", F.lit(True).alias("early"))
+    # near copies meet in most bands: a few of these join them, and the others hold little then but sets that are apart
+    _, moved = _linked(met(F.slice("keys", 1, AHEAD)), _none(docs, "sid long, label long"), docs, classes, k, num, den, FIRST, banded=False)
+    _, moved = _linked(met("keys"), moved, docs, classes, k, num, den, WHOLE, banded=False)
     named = _named(rows, classes, moved)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     return named.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "set_id")
