@@ -410,7 +410,8 @@ def _dealt(rows: DataFrame, num: int, den: int, way: str, banded: bool) -> DataF
     # cut, so that both sides of the join are shuffled and a hot tile's partition can be split
     several = cut(several.filter("_a < _z and _own and _early").select("tile", "band", F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int").alias("_x")))
     rows = rows.join(several, ["tile", "band"])
-    mine = F.pmod(F.xxhash64("sid"), F.col("_x")).cast("int")
+    # other blocks in each tile, so that sets which one tile's blocks keep apart meet in another's
+    mine = F.pmod(F.xxhash64("sid", "tile"), F.col("_x")).cast("int")
     up_to = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     at = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), F.lit(side).alias("side"))
     kept = ["tile", "band", "sid", "label", "n", "early", "own"]
@@ -427,7 +428,7 @@ def _dealt(rows: DataFrame, num: int, den: int, way: str, banded: bool) -> DataF
         main = cut(main.select("tile", "band", F.col("_m")["label"].alias("_main"), F.ceil((F.col("_rows") - F.col("_m")["count"]) / BLOCK).cast("int").alias("_y")))
         rows = rows.join(main, ["tile", "band"], "left")
         across = F.transform(up_to("_y"), lambda y: at(mine, y, 1))
-        own_y = F.pmod(F.xxhash64("sid", F.lit(1)), F.col("_y")).cast("int")
+        own_y = F.pmod(F.xxhash64("sid", "tile", F.lit(1)), F.col("_y")).cast("int")
         others = F.when(F.col("label") != F.col("_main"), F.transform(up_to("_x"), lambda x: at(x, own_y, 2))).otherwise(F.filter(across, lambda _: F.lit(False)))
         places = F.when(F.col("_x") > 1, F.concat(across, others)).otherwise(one)
     rows = rows.withColumn("_at", F.explode(places)).withColumn("more", more)
