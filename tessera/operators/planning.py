@@ -3,6 +3,8 @@ and small-graph operators that are sequential by definition."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +71,55 @@ def bandit_scores(frame: DataFrame, right: str, n: str, parts: dict[str, tuple[C
     return frame.withColumn("score", F.round(score, 6))
 
 
+def uniform(*of: Column) -> Column:
+    """A number strictly between 0 and 1 that depends on the hashed columns only."""
+    return (F.pmod(F.xxhash64(*of), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+
+
+#: Gamma draws of so many exponentials at most; larger shapes take the cube-root normal approximation.
+EXPONENTIALS = 64
+
+
+def gamma_draw(shape: Column, *of: Column) -> Column:
+    """A draw of the gamma distribution of a whole shape of 1 or more, seeded by columns.
+
+    Up to EXPONENTIALS it is the sum of as many exponentials, exactly; beyond, the Wilson-Hilferty cube of a normal draw.
+    """
+    shape = shape.cast("double")
+    few = F.aggregate(F.sequence(F.lit(1), F.least(shape, F.lit(float(EXPONENTIALS))).cast("int")), F.lit(0.0), lambda s, i: s - F.log(uniform(*of, i)))
+    normal = F.sqrt(-2 * F.log(uniform(*of, F.lit(-1)))) * F.cos(2 * math.pi * uniform(*of, F.lit(-2)))
+    many = shape * F.pow(1 - 1 / (9 * shape) + normal / (3 * F.sqrt(shape)), F.lit(3.0))
+    return F.when(shape <= EXPONENTIALS, few).otherwise(F.greatest(many, F.lit(1e-12)))
+
+
+def beta_draw(a: Column, b: Column, *of: Column) -> Column:
+    """A draw of the beta distribution of whole a and b of 1 or more: the same for the same seeding columns."""
+    x, y = gamma_draw(a, *of, F.lit("a")), gamma_draw(b, *of, F.lit("b"))
+    return x / (x + y)
+
+
+def thompson(frame: DataFrame, keys: list[str], right: str, n: str, chance: str, dependants: str, days: int = 180, seed: int = 0, per_group: int | None = None) -> DataFrame:
+    """(keys, mastery, uncertainty, score, rank): Thompson sampling over each row's posterior Beta(right + 1, wrong + 1).
+
+    Score: .35 of what is left to master by the drawn mastery, .30 of the ``chance`` of the exam, .15 of 0.05 for each of the
+    ``dependants`` up to 0.3, .10 of the exam's nearness in ``days`` (1 - days / 365, within 0.2 and 1), .10 of 0.2 less 0.04
+    for each try under 5. keys: the group, a learner, and then the topic; ranks are the group's, the first ``per_group`` stay.
+    Null counts are 0; draws depend on keys and seed only, so reruns agree.
+    """
+    count = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0))
+    a, b = count(right) + 1, F.greatest(count(n) - count(right), F.lit(0)) + 1
+    drawn = beta_draw(a, b, *keys, F.lit(seed))
+    total = (a + b).cast("double")
+    nearness = max(0.2, min(1.0, 1.0 - days / 365.0))
+    fresh = F.greatest(F.lit(0.0), 0.2 * (1 - count(n) / 5.0))
+    need = F.least(F.lit(0.3), F.coalesce(F.col(dependants), F.lit(0)) * 0.05)
+    score = 0.35 * (1 - F.col("mastery")) + 0.30 * F.coalesce(F.col(chance), F.lit(0.3)) + 0.15 * need + 0.10 * nearness + 0.10 * fresh
+    rows = frame.withColumns({"mastery": drawn, "uncertainty": F.sqrt(a * b / (total * total * (total + 1)))}).withColumn("score", F.round(score, 9))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys[:-1]).orderBy(F.desc("score"), keys[-1])))
+    rows = rows if per_group is None else rows.filter(F.col("rank") <= per_group)
+    return rows.select(*keys, "mastery", "uncertainty", "score", "rank")
+
+
 def explained(frame: DataFrame, keys: list[str], factors: list[str], weights: dict[str, float]) -> DataFrame:
     """A row per factor: value, contribution and rank of what it adds."""
     rows = frame.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.round(f, 6).alias("value"), F.round(F.col(f) * weights[f], 6).alias("contribution")) for f in factors])).alias("x")).select(*keys, "x.*")
@@ -96,39 +147,6 @@ def _adjacency(pdf):
     return nodes, out
 
 
-def betweenness(edges: DataFrame, graph: str, most: int = 5000) -> DataFrame:
-    """Brandes' betweenness of each small graph, over (n - 1)(n - 2) (K5); more edges than ``most`` raise an error."""
-    import pandas as pd
-
-    def run(pdf):
-        if len(pdf) > most:
-            raise ValueError(f"a graph has {len(pdf)} edges; at most {most} are taken")
-        nodes, out = _adjacency(pdf.drop_duplicates(["src", "dst"]))
-        score = dict.fromkeys(nodes, 0.0)
-        for s in nodes:
-            far, ways, before, queue = {s: 0}, {s: 1}, {}, [s]
-            for v in queue:
-                for u in out[v]:
-                    if u not in far:
-                        far[u] = far[v] + 1
-                        ways[u] = 0
-                        queue.append(u)
-                    if far[u] == far[v] + 1:
-                        ways[u] += ways[v]
-                        before.setdefault(u, []).append(v)
-            share = dict.fromkeys(queue, 0.0)
-            for u in reversed(queue):
-                for v in before.get(u, ()):
-                    share[v] += ways[v] / ways[u] * (1 + share[u])
-                if u != s:
-                    score[u] += share[u]
-        scale = max(1, (len(nodes) - 1) * (len(nodes) - 2))
-        return pd.DataFrame({graph: pdf[graph].iloc[0], "node": nodes, "betweenness": [round(score[v] / scale, 6) for v in nodes]})
-
-    kinds = dict(edges.dtypes)
-    return edges.groupBy(graph).applyInPandas(run, f"{graph} {kinds[graph]}, node {kinds['src']}, betweenness double")
-
-
 def study_order(edges: DataFrame, graph: str, most: int = 5000) -> DataFrame:
     """An order in which prerequisites (src before dst) come first, least node first; what is left of cycles last."""
     import heapq

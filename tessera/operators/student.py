@@ -115,3 +115,35 @@ def study_value(exams: DataFrame, keys: list[str], value: str, order: list[str],
     rows = exams.withColumn("_r", F.row_number().over(w)).filter("_r <= 6").withColumn("_w", F.lit(7) - F.col("_r"))
     out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum(F.col(value) * F.col("_w")) / F.sum("_w"), 4).alias("expected"))
     return out.withColumn("reaches", F.col("expected") >= target)
+
+
+def goal_forecast(exams: DataFrame, keys: list[str], value: str, date: str, order: list[str], target: float) -> DataFrame:
+    """(keys, n, latest, slope, months, goal, probability) of each learner: when the trend meets the target, and how likely.
+
+    The date: a line through the last six positive scores, by place; months ahead are the first whole number at which it
+    reaches the target, 0 if the latest score has, null if the line doesn't rise, or needs no or over 60 months. goal is that
+    month, or the latest exam's. The chance: 99 if reached; else 50 + 18 z within 5 and 95, rounded half up, where z is the
+    latest score and three of the last five's mean steps over the target, in deviations of all scores (1 if there is none).
+    Null scores are left out; learners without scores have no row.
+    """
+    rows = exams.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), F.col(date).alias("_d"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    last = [F.desc(f"_o{i}") for i in range(len(order))]
+    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*last)))
+    positive = rows.filter("_v > 0").withColumn("_p", F.row_number().over(Window.partitionBy(*keys).orderBy("_i"))).filter("_p <= 6")
+    x, y = F.col("_k") - F.col("_p"), F.col("_v")  # places 0, 1, ... from the oldest
+    line = positive.withColumn("_k", F.count("*").over(Window.partitionBy(*keys)))
+    line = line.groupBy(*keys).agg(
+        F.max("_k").alias("_k"), F.sum(x).alias("_x"), F.sum(y).alias("_y"), F.sum(x * y).alias("_xy"), F.sum(x * x).alias("_xx"), F.max_by("_v", -F.col("_p")).alias("_last"), F.max_by("_d", -F.col("_p")).alias("_date")
+    )
+    slope = (F.col("_k") * F.col("_xy") - F.col("_x") * F.col("_y")) / F.nullif(F.col("_k") * F.col("_xx") - F.col("_x") * F.col("_x"), F.lit(0))
+    line = line.withColumn("slope", slope).withColumn("_b", (F.col("_y") - F.col("slope") * F.col("_x")) / F.col("_k"))
+    need = F.ceil(F.round((target - F.col("_b")) / F.col("slope") - F.col("_k") + 1, 9))
+    months = F.when(F.col("_k") < 2, None).when(F.col("_last") >= target, 0).when((F.col("slope") > 0) & need.between(1, 60), need)
+    line = line.select(*keys, F.round("slope", 6).alias("slope"), months.cast("int").alias("months"), "_date")
+    line = line.withColumn("goal", F.date_format(F.add_months(F.trunc("_date", "MM"), F.col("months")), "yyyy-MM")).drop("_date")
+    old = F.max_by(F.when(F.col("_i") <= 5, F.col("_v")), F.when(F.col("_i") <= 5, F.col("_i")))
+    all_of = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max_by("_v", -F.col("_i")).alias("latest"), F.stddev_pop("_v").alias("_sd"), old.alias("_old"))
+    step = F.when(F.col("n") > 1, (F.col("latest") - F.col("_old")) / (F.least("n", F.lit(5)) - 1)).otherwise(0.0)
+    z = (F.col("latest") + 3 * step - target) / F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
+    chance = F.when(F.col("latest") >= target, 99).otherwise(F.floor(F.round(F.greatest(F.lit(5.0), F.least(F.lit(95.0), 50 + 18 * z)), 9) + 0.5))
+    return all_of.select(*keys, "n", "latest", chance.cast("int").alias("probability")).join(line, keys, "left")

@@ -9,6 +9,7 @@ from tessera.operators import forecast as f
 from tessera.operators import graph as g
 from tessera.operators import quality as q
 from tessera.operators import relational as r
+from tessera.operators import retrieval as re
 from tessera.operators import search as se
 from tessera.operators import student as st
 from tessera.sources.tables import SQL, attempts, questions, scores, table, topic_days
@@ -47,11 +48,35 @@ def _bm25(s, d):
     return se.bm25(table(s, d, "documents"), table(s, d, "benchmark"), "doc_id", "text", "item_id")
 
 
+def _texts(s, d):
+    return table(s, d, "documents").select("doc_id", "text"), table(s, d, "benchmark").select("item_id", "text")
+
+
+def _lexical(s, d):
+    docs, asked = _texts(s, d)
+    close = re.trigram_matches(docs, asked, "doc_id", "item_id", "text").select("item_id", "doc_id", F.lit(0.3).alias("lex"))
+    ranks = re.term_rank(docs, asked, "doc_id", "item_id", "text").withColumnRenamed("rank", "lex")
+    return close.unionByName(ranks).groupBy("item_id", "doc_id").agg(F.max("lex").alias("lex"))
+
+
+def _nearest(s, d, asked, k, **more):
+    v = table(s, d, "embeddings")
+    centres = re.fitted_cells(v, "vec_id", "embedding", 16)
+    rows = re.indexed(v, "vec_id", "embedding", centres)
+    return rows, re.nearest_batch(rows, rows.filter(asked), "vec_id", centres, k, **more)
+
+
 def _hybrid(s, d):
-    docs = table(s, d, "documents")
-    lexical = se.bm25(docs, table(s, d, "benchmark").filter("item_id = 0"), "doc_id", "text", "item_id", k=50).select("doc_id", "score")
-    vector = se.nearest(table(s, d, "embeddings"), "vec_id", "embedding", 0, 50).select(F.col("vec_id").alias("doc_id"), "similarity")
-    return se.hybrid(lexical, vector, "doc_id")
+    # a text's own vector is that of its number; a document's that of its id
+    items = table(s, d, "benchmark").select(F.col("item_id").cast("long").alias("vec_id"))
+    v = table(s, d, "embeddings")
+    centres = re.fitted_cells(v, "vec_id", "embedding", 16)
+    rows = re.indexed(v, "vec_id", "embedding", centres)
+    own = rows.join(items, "vec_id", "left_semi")
+    near = re.nearest_batch(rows, own, "vec_id", centres, 16).select(F.col("query").alias("item_id"), F.col("vec_id").alias("doc_id"))
+    near = near.union(own.select("vec_id", "vec_id"))  # a query is no row: the row of its number is one of its neighbours
+    asked = own.select(F.col("vec_id").alias("item_id"), "unit")
+    return re.hybrid_batch(_lexical(s, d), near, rows.withColumnRenamed("vec_id", "doc_id"), asked, "doc_id", "item_id")
 
 
 def _tfidf(s, d):
@@ -101,6 +126,17 @@ def _gate(s, d):
     return q.gate(docs, {"text": F.length("text") >= 50, "language": F.col("lang").isin("en", "de", "fr", "es"), "labelled": F.col("quality").isNotNull(), "length": F.length("text") == F.col("n_chars")})
 
 
+#: Trigram sets as (id, g); the pairs close enough; the documents that hold all terms, and the greater of both scores.
+_GRAMS = r"list_distinct(flatten(list_transform(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')), lambda w: list_transform(range(1, len(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+_LEXICAL_SQL = rf"""WITH gd AS (SELECT doc_id, {_GRAMS} AS g FROM documents), gq AS (SELECT item_id, {_GRAMS} AS g FROM benchmark),
+        close AS (SELECT item_id, doc_id, len(list_intersect(q.g, d.g)) / (len(q.g) + len(d.g) - len(list_intersect(q.g, d.g))) AS similarity FROM gq q JOIN gd d
+            ON len(d.g) >= 0.3 * len(q.g) AND 0.3 * len(d.g) <= len(q.g) WHERE len(list_intersect(q.g, d.g)) / (len(q.g) + len(d.g) - len(list_intersect(q.g, d.g))) >= 0.3),
+        td AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM documents), tp AS (SELECT doc_id, term, count(*) AS tf FROM td GROUP BY ALL),
+        tq AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'))) AS term FROM benchmark), tn AS (SELECT item_id, count(*) AS n FROM tq GROUP BY 1),
+        ranks AS (SELECT item_id, doc_id, sum(list_sum(list_transform(range(1, least(tf, 256) + 1), lambda i: 1.0::DOUBLE / (i * i))) * (0.1::DOUBLE / 1.6449340668482264)) / any_value(n) AS rank
+            FROM tq JOIN tp USING (term) JOIN tn USING (item_id) GROUP BY ALL HAVING count(*) = any_value(n)),
+        lexical AS (SELECT item_id, doc_id, max(lex) AS lex FROM (SELECT item_id, doc_id, 0.3::DOUBLE AS lex FROM close UNION ALL SELECT item_id, doc_id, rank FROM ranks) GROUP BY ALL)"""
+
 QUERIES = {
     "forecast_factors": _factors,
     "forecast_blend": _blend,
@@ -116,6 +152,9 @@ QUERIES = {
     "tfidf_similar": _tfidf,
     "vector_nearest": lambda s, d: se.nearest(table(s, d, "embeddings"), "vec_id", "embedding", 3),
     "hybrid_search": _hybrid,
+    "trigram_matches": lambda s, d: re.trigram_matches(*_texts(s, d), "doc_id", "item_id", "text").select("item_id", "doc_id", F.round("similarity", 6).alias("similarity")),
+    "term_ranks": lambda s, d: re.term_rank(*_texts(s, d), "doc_id", "item_id", "text").select("item_id", "doc_id", F.round("rank", 6).alias("rank")),
+    "vector_nearest_batch": lambda s, d: _nearest(s, d, F.col("vec_id") % 100 == 0, 20)[1],
     "centroid_classifier": _classified,
     "leader_clusters": lambda s, d: se.leaders(table(s, d, "embeddings"), "label", "vec_id", "embedding", 0.4),
     "document_terms": lambda s, d: se.related_terms(table(s, d, "documents"), "doc_id", "text", 5),
@@ -231,14 +270,15 @@ ORACLES = {
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM o WHERE score > 0.001) SELECT * FROM r WHERE rank <= 12""",
     "document_terms": f"""WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS i FROM p) SELECT doc_id, string_agg(term, ',' ORDER BY i) AS terms FROM r WHERE i <= 5 GROUP BY doc_id""",
-    "hybrid_search": f"""WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), l AS (SELECT doc_id, greatest(len(t), 1) AS len, unnest(t) AS term FROM d),
-        p AS (SELECT doc_id, len, term, count(*) AS tf FROM l GROUP BY ALL), n AS (SELECT count(*) AS n, avg(greatest(len(t), 1)) AS avgdl FROM d), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-        q AS (SELECT unnest(list_distinct({_TOKENS})) AS term FROM benchmark WHERE item_id = 0),
-        s AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY ALL),
-        x AS (SELECT doc_id, score FROM s WHERE score > 0.001 ORDER BY score DESC, doc_id LIMIT 50), e AS (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-        y AS (SELECT a.doc_id, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM e a, e b WHERE b.doc_id = 0 AND a.doc_id <> 0 ORDER BY sim DESC, a.doc_id LIMIT 50),
-        z AS (SELECT doc_id, round(0.55 * coalesce(x.score / (SELECT max(score) FROM x), 0) + 0.45 * coalesce(greatest(0, y.sim), 0), 6) AS score FROM x FULL JOIN y USING (doc_id))
-        SELECT doc_id, score FROM z WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 15""",
+    "hybrid_search": _LEXICAL_SQL + """, e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL),
+        y AS (SELECT item_id, e.vec_id AS doc_id, round(list_cosine_similarity(e.v, o.v), 6) AS sim FROM benchmark b JOIN e o ON o.vec_id = b.item_id, e),
+        z AS (SELECT item_id, doc_id, round(0.55 * coalesce(lex, 0) + 0.45 * coalesce(sim, 0), 6) AS score FROM lexical FULL JOIN y USING (item_id, doc_id)),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM z WHERE score > 0) SELECT * FROM r WHERE rank <= 15""",
+    "trigram_matches": _LEXICAL_SQL + " SELECT item_id, doc_id, round(similarity, 6) AS similarity FROM close",
+    "term_ranks": _LEXICAL_SQL + " SELECT item_id, doc_id, round(rank, 6) AS rank FROM ranks",
+    "vector_nearest_batch": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL),
+        s AS (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(q.v, e.v), 6) AS similarity FROM e q, e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 20""",
     "centroid_classifier": """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), u AS (SELECT label, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM e),
         m AS (SELECT label, i, avg(x) AS m FROM u GROUP BY ALL), c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY label),
         s AS (SELECT vec_id, c.label, round(list_cosine_similarity(v, c), 6) AS s FROM e, c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS i FROM s)

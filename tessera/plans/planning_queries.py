@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import graph as g
 from tessera.operators import planning as p
-from tessera.sources.tables import SQL, questions, topic_days
+from tessera.operators import student as st
+from tessera.sources.tables import SQL, attempts, questions, scores, topic_days
 
 
 def _prob(s, d):
@@ -36,6 +39,19 @@ def _tree(s, d):
     return n.select(F.lit("g").alias("graph"), (F.col("n_nationkey") % 7).cast("long").alias("src"), (F.col("n_nationkey") + 7).cast("long").alias("dst"))
 
 
+def _successions(s, d):
+    """Edges between the learners of one event after the other, in order of time within a day and kind."""
+    e = s.read.parquet(f"{d}/events.parquet").filter("ts is not null and user_id is not null")
+    after = F.lead("user_id").over(Window.partitionBy("event_type", F.to_date("ts")).orderBy("ts", "event_id"))
+    return e.select(F.col("user_id").alias("src"), after.alias("dst")).filter("dst is not null")
+
+
+def _thompson(s, d):
+    own = attempts(s, d).groupBy("student", "topic").agg(F.sum(F.col("correct").cast("int")).alias("right"), F.count("*").alias("n"))
+    topics = attempts(s, d).groupBy("topic").agg((F.countDistinct("student") / 1000).alias("chance"), F.length("topic").alias("dependants"))
+    return p.thompson(own.join(topics, "topic"), ["student", "topic"], "right", "n", "chance", "dependants", per_group=3)
+
+
 QUERIES = {
     "forecast_co_occurrence": lambda s, d: p.co_occurrence_score(topic_days(s, d), 31),
     "forecast_trend_probability": lambda s, d: p.trend_probability(topic_days(s, d)),
@@ -46,7 +62,9 @@ QUERIES = {
     "bandit_scores": lambda s, d: p.bandit_scores(_prob(s, d), "total", "total", {"p": (F.col("p"), 0.3)}).select("domain", "topic", "score"),
     "forecast_explanations": _explained,
     "faceted_browse": _browse,
-    "graph_betweenness": lambda s, d: p.betweenness(_tree(s, d), "graph"),
+    "graph_betweenness": lambda s, d: g.betweenness(_successions(s, d)),
+    "goal_forecasts": lambda s, d: st.goal_forecast(scores(s, d), ["student"], "score", "date", ["date", "exam"], 250000),
+    "thompson_recommendations": _thompson,
     "study_order": lambda s, d: p.study_order(_tree(s, d), "graph"),
 }
 
@@ -56,6 +74,14 @@ def _m(body):
 
 
 ORACLES = {
+    "goal_forecasts": f"""WITH {SQL['scores']}, r AS (SELECT student, score::DOUBLE AS v, date, row_number() OVER (PARTITION BY student ORDER BY date DESC, exam DESC) AS i FROM scores WHERE score IS NOT NULL),
+        p AS (SELECT *, row_number() OVER (PARTITION BY student ORDER BY i) AS p FROM r WHERE v > 0), q AS (SELECT *, count(*) OVER (PARTITION BY student) AS k FROM p WHERE p <= 6),
+        l AS (SELECT student, any_value(k) AS k, count(*) FILTER (k > 1) AS several, regr_slope(v, k - p) AS slope, regr_intercept(v, k - p) AS b, max(v) FILTER (p = 1) AS last, max(date) FILTER (p = 1) AS final FROM q GROUP BY student),
+        m AS (SELECT *, CASE WHEN k < 2 THEN NULL WHEN last >= 250000 THEN 0 WHEN slope > 0 AND ceil(round((250000 - b) / slope - k + 1, 9)) BETWEEN 1 AND 60 THEN CAST(ceil(round((250000 - b) / slope - k + 1, 9)) AS INTEGER) END AS months FROM l),
+        a AS (SELECT student, count(*) AS n, max(v) FILTER (i = 1) AS latest, CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1 END AS sd, arg_max(v, i) FILTER (i <= 5) AS old FROM r GROUP BY student),
+        z AS (SELECT *, 50 + 18 * (latest + 3 * CASE WHEN n > 1 THEN (latest - old) / (least(n, 5) - 1) ELSE 0 END - 250000) / sd AS z FROM a)
+        SELECT z.student, n, latest, CAST(CASE WHEN latest >= 250000 THEN 99 ELSE floor(round(greatest(5, least(95, z)), 9) + 0.5) END AS INTEGER) AS probability, round(slope, 6) AS slope, months,
+        strftime(date_trunc('month', final) + to_months(months), '%Y-%m') AS goal FROM z LEFT JOIN m USING (student)""",
     "forecast_co_occurrence": _m(
         """, m AS (SELECT * FROM matrix WHERE year < 31), act AS (SELECT DISTINCT domain, topic AS r FROM m WHERE year >= 29), base AS (SELECT m.domain, topic AS r, year FROM m JOIN act ON act.domain = m.domain AND act.r = m.topic),
         n AS (SELECT domain, r, count(*) AS n FROM base GROUP BY ALL), b AS (SELECT base.domain, r, m.topic, count(*) AS b FROM base JOIN m ON m.domain = base.domain AND m.year = base.year AND m.topic <> r GROUP BY ALL),

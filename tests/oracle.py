@@ -19,7 +19,7 @@ def _plain(v):
     if isinstance(v, decimal.Decimal):
         v = float(v)
     if isinstance(v, float):
-        return int(v) if v == int(v) and abs(v) < 1e15 else round(v, 4)
+        return int(v) if v == int(v) and abs(v) < 1e15 else float(f"{v:.9g}")
     if isinstance(v, (list, tuple)):
         return tuple(_plain(x) for x in v)
     if isinstance(v, dict):
