@@ -64,6 +64,7 @@ def difference(parts: list[list[int]]) -> list[list[int]]:
 
 
 def _groups(key, table):
+    table = table.sort_by([("weight", "descending"), ("group", "ascending")])  # rows arrive in any order
     weights = table.column("weight").to_pylist()
     shards = table.column("shards")[0].as_py()
     # groups are partitions with all their weight in their first shard; heavier first keeps ties stable
@@ -72,6 +73,7 @@ def _groups(key, table):
 
 
 def _partitions(key, table):
+    table = table.sort_by("block")
     weights = table.column("weights").to_pylist()
     to = difference(weights)
     total = np.zeros(len(weights[0]), dtype=object)
@@ -86,7 +88,6 @@ def assign(groups: DataFrame, shards: int) -> DataFrame:
     n = groups.count()
     blocks = max(1, -(-n // BLOCK))
     found = groups.select("group", F.col("weight").cast("long"), F.pmod(F.xxhash64("group"), F.lit(blocks)).alias("block"), F.lit(shards).alias("shards"))
-    # heavier groups first, as in a sort of the input; groups break ties
     found = cut(found.groupBy("block").applyInArrow(_groups, "group string, weight long, block long, own long"))
     sums = found.groupBy("block", "own").agg(F.sum("weight").alias("s"))
     pairs = sums.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("own", "s"))).alias("m"))

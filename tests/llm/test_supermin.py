@@ -8,7 +8,7 @@ from oracle import DATA, duck_rows, spark_rows
 from pyspark.sql import functions as F
 from test_llm_operators import VOCABULARY, brute_components, frame, odd_rows, prose  # noqa: F401
 
-from tessera.llm import queries, similarity, supermin
+from tessera.llm import queries, sharding, similarity, supermin
 from tessera.llm import words as w
 
 
@@ -89,3 +89,14 @@ def test_a_hot_tile_is_dealt_in_proportion(spark, apart):
 
 def test_query_against_sql(spark):
     assert spark_rows(queries.QUERIES["op11_near_groups"](spark, DATA)) == duck_rows(queries.ORACLES["op11_near_groups"])
+
+
+def test_shards_do_not_depend_on_the_order_of_arrival(spark, monkeypatch):
+    """Equally long texts, in several blocks, reversed and dealt anew."""
+    monkeypatch.setattr(sharding, "BLOCK", 64)
+    rows = [(i, f"text number {i:05d}", "a") for i in range(600)]
+    once, again = (
+        sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard(df, shards=16).select("doc_id", "shard", "slot").collect())
+        for df in (frame(spark, rows), frame(spark, rows[::-1]).repartition(13))
+    )
+    assert once == again
