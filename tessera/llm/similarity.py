@@ -442,7 +442,7 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 
 #: Passes over tiles: the way they are dealt, and the pairs of a set and a component that one returns (0: all).
 FIRST = (("diagonal", 1),)
-WHOLE = (("diagonal", 1), ("rest", 1), ("rest", 16), ("rest", 0))
+WHOLE = (("diagonal", 1), ("rest", 16), ("rest", 0))
 EVERY = (("all", 0),)
 
 
@@ -453,10 +453,8 @@ def _linked(met: DataFrame, moved: DataFrame, docs: DataFrame, classes: DataFram
     those of several blocks that aren't of one component, go on to the next pass.
     """
     known = classes.select("sid", "doc_id", "bits")
-    links, active, n, wide = None, met, moved.count(), True
+    links, active, n = None, met, moved.count()
     for at, (way, most) in enumerate(passes):
-        if way == "rest" and most == 1 and not wide:
-            continue  # one block holds each tile: the pass would repeat the one before
         rows = active.join(_small(moved, n), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         rows = _dealt(rows, num, den, way, banded).join(known, "sid").select(*_TILE, "sid", "label", "n", "early", "own", "side", "more", "doc_id", "bits")
         pairs = cut(_tile_pairs(rows, num, den, most))
@@ -476,12 +474,11 @@ def _linked(met: DataFrame, moved: DataFrame, docs: DataFrame, classes: DataFram
         still = still.select("tile", F.col("a") == F.col("b"), F.coalesce("la", "a"), F.coalesce("lb", "b")).toDF("tile", "wide", "la", "lb")
         # in a tile of one block only pairs can be apart; the blocks of a larger one may be
         still = still.groupBy("tile").agg(F.max("wide").alias("wide"), F.max(F.col("la") != F.col("lb")).alias("apart"), F.min(F.least("la", "lb")).alias("_a"), F.max(F.greatest("la", "lb")).alias("_z"))
-        still = cut(still.filter("apart or (wide and _a < _z)").select("tile", "wide"))
+        still = cut(still.filter("apart or (wide and _a < _z)").select("tile"))
         tiles = still.count()
         if not tiles:
             break
-        wide = not still.filter("wide").isEmpty()
-        active = cut(active.join(_small(still.select("tile"), tiles), "tile", "left_semi"))
+        active = cut(active.join(_small(still, tiles), "tile", "left_semi"))
     return links, moved
 
 
