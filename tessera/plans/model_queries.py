@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import split_of
 from tessera.operators import forecast as f
 from tessera.operators import graph as g
+from tessera.operators import pruned
 from tessera.operators import quality as q
 from tessera.operators import relational as r
 from tessera.operators import retrieval as re
@@ -45,7 +46,7 @@ def _clusters(s, d):
 
 
 def _bm25(s, d):
-    return se.bm25(table(s, d, "documents"), table(s, d, "benchmark"), "doc_id", "text", "item_id")
+    return pruned.bm25_top(table(s, d, "documents"), table(s, d, "benchmark"), "doc_id", "text", "item_id")
 
 
 def _texts(s, d):
@@ -81,7 +82,7 @@ def _hybrid(s, d):
 
 def _tfidf(s, d):
     docs = table(s, d, "documents")
-    return se.tfidf_similar(docs, "doc_id", "text", docs.filter("doc_id % 100 = 0").select("doc_id"))
+    return pruned.tfidf_top(docs, "doc_id", "text", docs.filter("doc_id % 100 = 0").select("doc_id"))
 
 
 def _classified(s, d):
