@@ -46,6 +46,10 @@ def _clusters(s, d):
 
 
 def _bm25(s, d):
+    return se.bm25(table(s, d, "documents"), table(s, d, "benchmark"), "doc_id", "text", "item_id")
+
+
+def _bm25_pruned(s, d):
     return pruned.bm25_top(table(s, d, "documents"), table(s, d, "benchmark"), "doc_id", "text", "item_id")
 
 
@@ -150,6 +154,7 @@ QUERIES = {
     "ranking_quality": _ranking,
     "cluster_rollup": _clusters,
     "bm25_search": _bm25,
+    "bm25_pruned": _bm25_pruned,
     "tfidf_similar": _tfidf,
     "vector_nearest": lambda s, d: se.nearest(table(s, d, "embeddings"), "vec_id", "embedding", 3),
     "hybrid_search": _hybrid,
@@ -322,3 +327,6 @@ ORACLES = {
         count(DISTINCT lang) AS labels, count(DISTINCT source) AS groups FROM documents""",
     "qa_dataset": "SELECT p_partkey, 'brand' AS question, p_brand AS answer FROM part WHERE p_brand <> '' UNION ALL SELECT p_partkey, 'size', CAST(p_size AS VARCHAR) FROM part WHERE p_size > 25",
 }
+
+#: The same rows by bounds.
+ORACLES["bm25_pruned"] = ORACLES["bm25_search"]
