@@ -176,3 +176,30 @@ def study_order(edges: DataFrame, graph: str, most: int = 5000) -> DataFrame:
 
     kinds = dict(edges.dtypes)
     return edges.groupBy(graph).applyInPandas(run, f"{graph} {kinds[graph]}, node {kinds['src']}, position long")
+
+
+def greedy_order(items: DataFrame, prerequisites: DataFrame, student: str, topic: str, value: str) -> DataFrame:
+    """(student, topic, position, forced): each learner's topics, by turns the one of greatest value whose prerequisites are done.
+
+    prerequisites: (topic, needs); those that a learner doesn't have among their topics count as done. If no topic is ready,
+    as on a cycle, the one of greatest value is taken, ``forced``. Equal values go by topic, null values go last; rows of null
+    topic are left out and repeated ones count once, by their greatest value. A learner's topics are folded in one expression,
+    so no group is larger than a syllabus.
+    """
+    needs = prerequisites.filter(F.col("needs").isNotNull()).groupBy(F.col("topic").alias(topic)).agg(F.collect_set("needs").alias("_needs"))
+    rows = items.filter(F.col(topic).isNotNull()).groupBy(student, topic).agg(F.max(value).alias("_v")).join(needs, topic, "left")
+    kind = dict(items.dtypes)[topic]
+    none = F.array().cast(f"array<{kind}>")
+    item = F.struct(F.col("_v").isNull().alias("n"), (-F.col("_v")).alias("v"), F.col(topic).alias("t"), F.coalesce("_needs", none).alias("needs"))
+    lists = rows.groupBy(student).agg(F.array_sort(F.collect_list(item)).alias("_l"))
+    lists = lists.withColumn("_own", F.transform("_l", lambda x: x["t"])).select(student, F.transform("_l", lambda x: F.struct(x["t"].alias("t"), F.array_intersect(x["needs"], "_own").alias("needs"))).alias("_l"))
+    start = F.struct(F.array().cast(f"array<struct<t:{kind},forced:boolean>>").alias("out"), none.alias("done"), F.col("_l").alias("left"))
+
+    def step(s: Column, _: Column) -> Column:
+        ready = F.get(F.filter(s["left"], lambda x: F.size(F.array_except(x["needs"], s["done"])) == 0), F.lit(0))["t"]
+        taken = F.coalesce(ready, F.get(s["left"], F.lit(0))["t"])
+        out = F.concat(s["out"], F.array(F.struct(taken.alias("t"), ready.isNull().alias("forced"))))
+        return F.struct(out.alias("out"), F.concat(s["done"], F.array(taken)).alias("done"), F.filter(s["left"], lambda x: x["t"] != taken).alias("left"))
+
+    folded = lists.select(student, F.aggregate(F.sequence(F.lit(1), F.size("_l")), start, step)["out"].alias("_o"))
+    return folded.select(student, F.posexplode("_o").alias("_i", "_x")).select(student, F.col("_x.t").alias(topic), (F.col("_i") + 1).alias("position"), F.col("_x.forced").alias("forced"))
