@@ -52,6 +52,14 @@ def _thompson(s, d):
     return p.thompson(own.join(topics, "topic"), ["student", "topic"], "right", "n", "chance", "dependants", per_group=3)
 
 
+def _greedy(s, d):
+    """A learner's topics by their share of wrong answers; each topic needs the one before it by name among those of its first letters."""
+    a = attempts(s, d).filter("topic is not null")
+    own = a.groupBy("student", "topic").agg(F.round(F.avg((~F.col("correct")).cast("int")), 6).alias("wrong"))
+    before = F.lag("topic").over(Window.partitionBy(F.substring(F.col("topic").cast("string"), 1, 2)).orderBy("topic"))
+    return p.greedy_order(own, a.select("topic").distinct().withColumn("needs", before), "student", "topic", "wrong")
+
+
 QUERIES = {
     "forecast_co_occurrence": lambda s, d: p.co_occurrence_score(topic_days(s, d), 31),
     "forecast_trend_probability": lambda s, d: p.trend_probability(topic_days(s, d)),
@@ -65,6 +73,7 @@ QUERIES = {
     "graph_betweenness": lambda s, d: g.betweenness(_successions(s, d)),
     "goal_forecasts": lambda s, d: st.goal_forecast(scores(s, d), ["student"], "score", "date", ["date", "exam"], 250000),
     "thompson_recommendations": _thompson,
+    "greedy_study_order": _greedy,
     "study_order": lambda s, d: p.study_order(_tree(s, d), "graph"),
 }
 
