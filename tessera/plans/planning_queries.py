@@ -53,10 +53,10 @@ def _thompson(s, d):
 
 
 def _greedy(s, d):
-    """A learner's topics by their share of wrong answers; each topic needs the one before it by name among those of its first letters."""
+    """A learner's topics by their share of wrong answers; each topic needs the one before it by name among those of about its length."""
     a = attempts(s, d).filter("topic is not null")
     own = a.groupBy("student", "topic").agg(F.round(F.avg((~F.col("correct")).cast("int")), 6).alias("wrong"))
-    before = F.lag("topic").over(Window.partitionBy(F.substring(F.col("topic").cast("string"), 1, 2)).orderBy("topic"))
+    before = F.lag("topic").over(Window.partitionBy(F.floor(F.length("topic") / 3)).orderBy("topic"))
     return p.greedy_order(own, a.select("topic").distinct().withColumn("needs", before), "student", "topic", "wrong")
 
 
