@@ -208,8 +208,15 @@ def keyword_count(text: Column, keyword: str) -> Column:
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    """All n-grams of characters, repeats kept."""
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """All n-grams of characters, repeats kept.
+
+    Characters are cut once and joined with those that follow; a substring for each place would walk the text from its start.
+    """
+    characters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    grams = characters
+    for i in range(1, n):
+        grams = F.zip_with(grams, F.slice(characters, F.lit(i + 1), F.length(text)), lambda a, b: F.concat(a, b))
+    return F.when(F.length(text) >= n, F.slice(grams, F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<string>"))
 
 
 def lexicon_score(text: Column, keywords: list[str], patterns: list[str], per_word: float = 0.15, per_pattern: float = 0.2) -> Column:
