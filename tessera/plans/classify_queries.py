@@ -17,8 +17,9 @@ def _recovered(s, d):
 
 
 def _votes(s, d):
-    q = questions(s, d)
-    votes = q.select("exam_id", F.col("domain").alias("label"), F.lit(2.0).alias("w")).union(q.filter("difficulty >= 25").select("exam_id", F.col("domain"), F.lit(3.0)))
+    # two votes of a question, of 2 and of 3, as one row
+    weight = F.lit(2.0) + F.when(F.col("difficulty") >= 25, 3.0).otherwise(0.0)
+    votes = questions(s, d).select("exam_id", F.col("domain").alias("label"), weight.alias("w"))
     return c.section_votes(votes, ["exam_id"], "label", "w")
 
 
