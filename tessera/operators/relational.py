@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,6 +209,89 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], low: str, high: str
     return rows.filter(F.col("_bucket") == F.floor(F.greatest(f"a_{low}", f"b_{low}") / width)).drop("_bucket")
 
 
+#: Rows of one block of intervals, and a kind's blocks at most: what is moved and compared grows with the rows, not their square.
+INTERVALS, INTERVAL_BLOCKS = 131_072, 8
+
+
+def _overlap_counts(ids: np.ndarray, low: np.ndarray, high: np.ndarray, x_ids: np.ndarray, x_low: np.ndarray, x_high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each x, how many overlapping intervals have a greater id, and the greatest such id.
+
+    Those that overlap are those that begin by x's end less those that end before its begin. Both are counted in each of the
+    halves, quarters, ... of the intervals by id, by sorted ranks. What ends before it begins is compared one by one.
+    """
+    n, last = np.zeros(len(x_ids), np.int64), np.full(len(x_ids), np.iinfo(np.int64).min)
+    low, high, x_low, x_high = (np.where(np.isnan(v), np.inf, v) for v in (low, high, x_low, x_high))
+    order = np.argsort(ids, kind="stable")
+    ids, low, high = ids[order], low[order], high[order]
+    odd = low > high
+    for i in np.flatnonzero(odd):
+        met = (ids[i] > x_ids) & (low[i] <= x_high) & (x_low <= high[i])
+        n += met
+        last = np.where(met, np.maximum(last, ids[i]), last)
+    ids, low, high = ids[~odd], low[~odd], high[~odd]
+    for i in np.flatnonzero(x_low > x_high):
+        met = (ids > x_ids[i]) & (low <= x_high[i]) & (x_low[i] <= high)
+        n[i] += met.sum()
+        last[i] = max(last[i], ids[met].max(initial=last[i]))
+    at = np.flatnonzero(x_low <= x_high)
+    if not len(at) or not len(ids):
+        return n, last
+    at = at[np.argsort(x_ids[at], kind="stable")]
+    m = len(ids)
+    depth = (m - 1).bit_length()
+    begun, ended = np.searchsorted(np.sort(low), x_high[at], "right"), np.searchsorted(np.sort(high), x_low[at], "left")
+    levels = []
+    place = np.arange(m)
+    begins, ends = (np.empty(m, np.int64) for _ in range(2))
+    begins[np.argsort(low, kind="stable")] = place
+    ends[np.argsort(high, kind="stable")] = place
+    for d in range(depth + 1):
+        levels.append((np.sort((place >> d) * (m + 1) + begins), np.sort((place >> d) * (m + 1) + ends)))
+
+    def inside(d: int, node: np.ndarray, which) -> np.ndarray:
+        return np.searchsorted(levels[d][0], node * (m + 1) + begun[which]) - np.searchsorted(levels[d][1], node * (m + 1) + ended[which])
+
+    first = np.searchsorted(ids, x_ids[at], "right")
+    found = np.zeros(len(at), np.int64)
+    for d in range(depth + 1):
+        alone = np.flatnonzero(first & 1 if d < depth else first == 0)
+        found[alone] += inside(d, first[alone], alone)
+        first = (first + 1) >> 1
+    some = np.flatnonzero(found)
+    node = np.zeros(len(some), np.int64)
+    for d in range(depth - 1, -1, -1):
+        node = 2 * node + 1
+        node -= inside(d, node, some) == 0
+    n[at] += found
+    last[at[some]] = np.maximum(last[at[some]], ids[node])
+    return n, last
+
+
+def overlaps_after(df: DataFrame, keys: list[str], key: str, low: str, high: str) -> DataFrame:
+    """(keys, a, n, last): how many intervals of greater key overlap each one, and the greatest of these keys; those without any are left out.
+
+    Pairs are counted, not made: a kind's intervals are dealt to blocks, and each two blocks meet in one task. Keys are integers.
+    """
+    rows = df.select(*keys, F.col(key).cast("long").alias("_a"), F.col(low).cast("double").alias("_low"), F.col(high).cast("double").alias("_high")).na.drop()
+    blocks = rows.groupBy(*keys).agg(F.least(F.ceil(F.count("*") / INTERVALS), F.lit(INTERVAL_BLOCKS)).cast("int").alias("_blocks"))
+    rows = rows.join(blocks, keys).withColumn("_own", F.pmod(F.xxhash64("_a"), F.col("_blocks")).cast("int"))
+    to = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    x = rows.select(*keys, "_a", "_low", "_high", F.col("_own").alias("_i"), to.alias("_j"))
+    y = rows.select(*keys, "_a", "_low", "_high", to.alias("_i"), F.col("_own").alias("_j"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        columns = [np.asarray(t[c]) for t in (right, left) for c in ("_a", "_low", "_high")]
+        n, last = _overlap_counts(*columns)
+        some = np.flatnonzero(n)
+        return pa.table({**{k: left[k].take(some) for k in keys}, "a": pa.array(columns[3][some]), "n": pa.array(n[some]), "last": pa.array(last[some])})
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "a long, n long, last long"])
+    y = y.toDF(*y.columns)  # names of its own
+    met = x.groupBy(*keys, "_i", "_j").cogroup(y.groupBy(*keys, "_i", "_j")).applyInArrow(run, schema)
+    return met.groupBy(*keys, "a").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+
+
 def majority(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
     """The most frequent value, the first seen of equals."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("_first"))
