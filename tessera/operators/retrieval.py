@@ -6,71 +6,97 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.search import postings, tokens
+from tessera.operators.search import met_postings, tokens
 
 #: Rows whose vectors fit the cells' centres, at most; every row is indexed.
 SAMPLE = 4096
 #: Rows of one part of a cell: what a task holds.
 PART = 4096
+#: Queries of one block of the trigram join.
+ASKED = 512
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct trigrams of the lower-case words of letters and digits, each padded by two spaces before and one after."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
-    padded = F.transform(words, lambda x: F.concat(F.lit("  "), x, F.lit(" ")))
-    cut = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substring(x, i, F.lit(3)))
-    return F.array_distinct(F.flatten(F.transform(padded, cut)))
+def trigram_sets(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(_id, g): distinct trigrams of the lower-case words of letters and digits, each padded by two spaces before and one after; texts without words are left out.
+
+    A trigram is a number of 63 bits: its three code points. A batch's different words are cut once.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1)
+            named = words.flatten().dictionary_encode()
+            cut = []
+            for w in named.dictionary.to_pylist():
+                c = np.frombuffer(f"  {w} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+                cut.append((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])
+            at, ends = np.asarray(named.indices), np.cumsum([0, *np.asarray(words.value_lengths())])
+            sets = [np.unique(np.concatenate([cut[i] for i in at[m:n]])) for m, n in zip(ends, ends[1:])]
+            if sets:
+                offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+                yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], ["_id", "g"])
 
-def _prefix(grams: DataFrame, least: float) -> DataFrame:
-    """Of each set, given as (id, gram, df, n), the rarest n - ceil(least n) + 1: two sets that are similar enough share one."""
-    rank = F.row_number().over(Window.partitionBy("_id").orderBy("df", "gram"))
-    return grams.withColumn("_r", rank).filter(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("_id", "gram", "n")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    return df.select(F.col(key).alias("_id"), words.alias("_w")).filter(F.size("_w") > 0).mapInArrow(run, f"_id {dict(df.dtypes)[key]}, g array<long>")
 
 
 def trigram_matches(docs: DataFrame, queries: DataFrame, key: str, query_key: str, text: str, least: float = 0.3) -> DataFrame:
     """(query, key, similarity) of all pairs whose sets of trigrams have a Jaccard similarity of ``least`` or more (R2).
 
-    Prefix filtering on the rarest trigrams, and the sizes' ratio, find candidates without loss; these alone meet with their
-    whole sets. Only documents of a size that some query admits are cut into rows.
+    Only documents of a size that some query admits are met. They are dealt to parts, queries to blocks, and each part meets
+    each block in one task, which counts common trigrams for all its pairs at once.
     """
-    d = docs.select(F.col(key).alias("_id"), trigrams(F.col(text)).alias("g")).filter(F.size("g") > 0)
-    q = queries.select(F.col(query_key).alias("_id"), trigrams(F.col(text)).alias("g")).filter(F.size("g") > 0)
+    # a file of few row groups would be cut by as few tasks
+    d, q = trigram_sets(docs.select(key, text).repartition(key), key, text), trigram_sets(queries, query_key, text)
     sizes = q.agg(F.min(F.size("g")).alias("_lo"), F.max(F.size("g")).alias("_hi"))
-    d = d.join(F.broadcast(sizes)).filter((F.size("g") >= F.col("_lo") * least) & (F.size("g") * least <= F.col("_hi"))).select("_id", "g")  # one row
-    rows = lambda x: x.select("_id", F.explode("g").alias("gram"), F.size("g").alias("n"))
-    asked = rows(q).select("gram").distinct()
-    df = rows(d).join(asked, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
-    # grams that no query has go last in a document's order: they can't be shared
-    known = lambda x, none: rows(x).join(df, "gram", "left").withColumn("df", F.coalesce("df", F.lit(none).cast("long")))
-    theirs = _prefix(known(d, 0), least).select(F.col("_id").alias(key), "gram", F.col("n").alias("_d"))
-    mine = _prefix(known(q, 0), least).select(F.col("_id").alias(query_key), "gram", F.col("n").alias("_q"))
-    near = (F.col("_d") >= F.col("_q") * least) & (F.col("_d") * least <= F.col("_q"))
-    pairs = mine.join(theirs, "gram").filter(near).select(query_key, key).distinct()
-    pairs = pairs.join(q.select(F.col("_id").alias(query_key), F.col("g").alias("_a")), query_key).join(d.select(F.col("_id").alias(key), F.col("g").alias("_b")), key)
-    both = F.size(F.array_intersect("_a", "_b"))
-    share = both / (F.size("_a") + F.size("_b") - both)
-    return pairs.select(query_key, key, share.alias("similarity")).filter(F.col("similarity") >= least)
+    d = d.join(F.broadcast(sizes)).filter((F.size("g") >= F.col("_lo") * least) & (F.size("g") * least <= F.col("_hi")))  # one row
+    parts, blocks = -(-docs.count() // PART) or 1, -(-queries.count() // ASKED) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    d = d.select(F.col("_id").alias(key), F.col("g").alias("_d"), F.pmod(F.xxhash64("_id", "g"), F.lit(parts)).cast("int").alias("_p"), every(blocks).alias("_b"))
+    q = q.select(F.col("_id").alias(query_key), F.col("g").alias("_q"), every(parts).alias("_p"), F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int").alias("_b"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        mine, theirs = (t[c].combine_chunks() for t, c in ((left, "_d"), (right, "_q")))
+        size = np.asarray(theirs.value_lengths())
+        grams, at = np.unique(np.asarray(theirs.flatten()), return_inverse=True)
+        has = np.zeros((len(grams) + 1, len(size)), np.int32)  # the last row is of no trigram
+        has[at, np.repeat(np.arange(len(size)), size)] = 1
+        flat = np.asarray(mine.flatten())
+        place = np.searchsorted(grams, flat)
+        place[grams[np.minimum(place, len(grams) - 1)] != flat] = len(grams)
+        own = np.asarray(mine.value_lengths())
+        ends = np.cumsum([0, *own])
+        out: list[list] = [[], [], []]
+        for i, n in enumerate(own):
+            both = has[place[ends[i] : ends[i + 1]]].sum(0)
+            share = both / (n + size - both)
+            j = np.flatnonzero(share >= least)
+            out[0].append(np.full(len(j), i))
+            out[1].append(j)
+            out[2].append(share[j])
+        i, j, share = (np.concatenate(o) if o else np.zeros(0) for o in out)
+        return pa.table({query_key: right[query_key].take(pa.array(j.astype(np.int64))), key: left[key].take(pa.array(i.astype(np.int64))), "similarity": pa.array(share, pa.float64())})
+
+    def both_sides(left: pa.Table, right: pa.Table) -> pa.Table:
+        return run(left, right) if left.num_rows and right.num_rows else pa.table({query_key: right[query_key].slice(0, 0), key: left[key].slice(0, 0), "similarity": pa.array([], pa.float64())})
+
+    schema = f"{query_key} {dict(queries.dtypes)[query_key]}, {key} {dict(docs.dtypes)[key]}, similarity double"
+    return d.groupBy("_p", "_b").cogroup(q.groupBy("_p", "_b")).applyInArrow(both_sides, schema)
 
 
 def term_rank(docs: DataFrame, queries: DataFrame, key: str, query_key: str, text: str) -> DataFrame:
     """(query, key, rank) of documents that hold all of a query's terms: the mean over terms of 0.1 (1 + 1/4 + ... + 1/tf^2) / (pi^2 / 6) (R2).
 
-    Only documents of a query's rarest term are candidates for the others.
+    Texts move once, by document; terms are met and counted there. The queries' terms are the small side.
     """
     terms = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(text), 1))).alias("term"))
-    post = postings(docs.select(key, text), key, text, 1).join(terms.select("term").distinct(), "term", "left_semi")
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    terms = terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    each = Window.partitionBy(query_key)
-    terms = terms.withColumns({"_n": F.count("*").over(each), "_i": F.row_number().over(each.orderBy("df", "term"))})
-    first = terms.filter("_i = 1").join(post, "term").select(query_key, key, "_n")
-    met = first.join(terms.select(query_key, "term"), query_key).join(post.select(key, "term", "tf"), [key, "term"])
+    terms = terms.withColumn("_n", F.count("*").over(Window.partitionBy(query_key)))
     weight = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(F.col("tf"), F.lit(256).cast("long"))), F.lit(0.0), lambda s, i: s + F.lit(1.0) / (i * i)) * (0.1 / 1.6449340668482264)
-    found = met.groupBy(query_key, key, "_n").agg(F.count("*").alias("_met"), F.sum(weight).alias("_w"))
+    met = met_postings(docs, key, text, terms, 1).select(key, "term", weight.alias("_v")).join(F.broadcast(terms), "term")
+    found = met.groupBy(query_key, key, "_n").agg(F.count("*").alias("_met"), F.sum("_v").alias("_w"))
     return found.filter("_met = _n").select(query_key, key, (F.col("_w") / F.col("_n")).alias("rank"))
 
 
