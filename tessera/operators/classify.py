@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators import relational
+
 
 def recovered(scores: dict[str, Column], floor: float = 0.5) -> tuple[Column, Column]:
     """Label and confidence of the best score: its share of all times min(1, best / 4); null below the floor."""
@@ -100,40 +106,90 @@ def concept_tags(df: DataFrame, key: str, text: str, concepts: list[tuple[str, s
     return rows.select(key, "x.category", "x.tag", "x.at", F.round(1 - 0.5 * F.col("x.at") / F.col("_n"), 6).alias("confidence"))
 
 
-def louvain(edges: DataFrame, graph: str, passes: int = 10, most: int = 20_000) -> DataFrame:
-    """Single-level greedy communities of each small graph, nodes in order (K7); larger graphs raise an error."""
-    import pandas as pd
+def _settled(degree: np.ndarray, near: Callable[[int], tuple[np.ndarray, np.ndarray]], passes: int) -> np.ndarray:
+    """Each node's community, by its least node, after single-level greedy moves of the nodes in order; ``near(v)``: v's neighbours and their weights.
+
+    A node goes where its links less what chance gives are most: it stays on ties, else the least community wins.
+    """
+    whole = degree.sum() or 1.0
+    home = np.arange(len(degree))
+    total = degree.copy()
+    for _ in range(passes):
+        live, home = np.unique(home, return_inverse=True)  # numbers stay in order
+        total, moved = total[live], False
+        for v in range(len(degree)):
+            at, weight = near(v)
+            links = np.bincount(home[at], weight, len(live))
+            own = home[v]
+            total[own] -= degree[v]
+            gain = links - total * degree[v] / whole
+            known = links > 0
+            known[own] = True
+            gain = np.where(known, gain, -np.inf)
+            best = gain.argmax()
+            best = own if gain[own] >= gain[best] else best
+            moved |= best != own
+            home[v] = best
+            total[best] += degree[v]
+        if not moved:
+            break
+    first = np.full(len(total), len(home))
+    np.minimum.at(first, home, np.arange(len(home)))
+    return first[home]
+
+
+def louvain(edges: DataFrame, graph: str, passes: int = 10) -> DataFrame:
+    """(graph, node, community): single-level greedy communities of each graph, nodes in order, named by their least node (K7). Weights are positive, loops say nothing.
+
+    Sequential by definition: a graph's edges are arrays of one task. Where edges are items in the same sessions, ``louvain_shared`` needs none.
+    """
 
     def run(pdf):
-        if len(pdf) > most:
-            raise ValueError(f"a graph has {len(pdf)} edges; at most {most} are taken")
-        near: dict = {}
-        for s, d, w in zip(pdf["src"], pdf["dst"], pdf["weight"]):
-            if s != d:
-                near.setdefault(s, {})[d] = near.setdefault(s, {}).get(d, 0.0) + w
-                near.setdefault(d, {})[s] = near.setdefault(d, {}).get(s, 0.0) + w
-        degree = {v: sum(x.values()) for v, x in near.items()}
-        whole = sum(degree.values()) or 1.0
-        home = {v: v for v in near}
-        total = dict(degree)
-        for _ in range(passes):
-            moved = False
-            for v in sorted(near):
-                links: dict = {}
-                for u, w in near[v].items():
-                    links[home[u]] = links.get(home[u], 0.0) + w
-                total[home[v]] -= degree[v]
-                gain = lambda c: links.get(c, 0.0) - total.get(c, 0.0) * degree[v] / whole  # noqa: B023, E731
-                best = max(sorted({home[v], *links}), key=lambda c: (gain(c), c == home[v]))
-                moved |= best != home[v]
-                home[v] = best
-                total[best] = total.get(best, 0.0) + degree[v]
-            if not moved:
-                break
-        least: dict = {}
-        for v in sorted(home):
-            least.setdefault(home[v], v)
-        return pd.DataFrame({graph: pdf[graph].iloc[0], "node": sorted(home), "community": [least[home[v]] for v in sorted(home)]})
+        pdf = pdf[pdf["src"] != pdf["dst"]]
+        nodes, ends = np.unique(np.concatenate([pdf["src"], pdf["dst"]]), return_inverse=True)
+        src, dst = np.split(ends, 2)
+        src, dst, weight = np.concatenate([src, dst]), np.concatenate([dst, src]), np.tile(pdf["weight"].to_numpy(float), 2)
+        order = np.lexsort((dst, src))
+        src, dst, weight = src[order], dst[order], weight[order]
+        at = np.searchsorted(src, np.arange(len(nodes) + 1))
+        found = _settled(np.bincount(src, weight, len(nodes)), lambda v: (dst[at[v] : at[v + 1]], weight[at[v] : at[v + 1]]), passes)
+        return pd.DataFrame({graph: pdf[graph].iloc[0] if len(pdf) else None, "node": nodes, "community": nodes[found]})
 
     kinds = dict(edges.dtypes)
     return edges.groupBy(graph).applyInPandas(run, f"{graph} {kinds[graph]}, node {kinds['src']}, community {kinds['src']}")
+
+
+def louvain_shared(rows: DataFrame, session: str, item: str, least: int, passes: int = 10) -> DataFrame:
+    """(node, community) as ``louvain`` gives them for the pairs of ``relational.co_occurrence`` weighing by their Jaccard similarity (K7).
+
+    No pairs are made: items are bitmaps of sessions, and a visited item's weights are counted from them. The visits are in order
+    by definition, so one task holds the bitmaps, a few words an item; its time is the square of the items. Of more than
+    ``relational.SESSIONS`` sessions the pairs are made.
+    """
+    rows = rows.select(session, item).filter(F.col(session).isNotNull() & F.col(item).isNotNull()).distinct()
+    sessions = [r[0] for r in rows.select(session).distinct().limit(relational.SESSIONS + 1).collect()]
+    if len(sessions) > relational.SESSIONS:
+        pairs = relational.co_occurrence(rows, session, item, least)
+        return louvain(pairs.select(F.lit(0).alias("_g"), F.col("a").alias("src"), F.col("b").alias("dst"), F.col("jaccard").alias("weight")), "_g").drop("_g")
+    bits, words = relational.session_bits(rows, sessions, session, [item])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(item)
+        n = table["_n"].to_numpy()
+        maps = [table[f"_w{w}"].to_numpy() for w in range(words)]
+
+        def near(v: int) -> tuple[np.ndarray, np.ndarray]:
+            both = sum(np.bitwise_count(m & m[v]).astype(np.int64) for m in maps)
+            both[v] = 0
+            at = np.flatnonzero(both >= least)
+            both = both[at]
+            return at, np.floor(both / (n[at] + n[v] - both) * 1e6 + 0.5) / 1e6
+
+        degree = np.array([near(v)[1].sum() for v in range(len(n))])
+        found = _settled(degree, near, passes)
+        met = np.flatnonzero(degree > 0)
+        items = table[item]
+        return pa.table({"node": items.take(pa.array(met)), "community": items.take(pa.array(found[met]))})
+
+    kind = dict(rows.dtypes)[item]
+    return bits.groupBy().applyInArrow(run, f"node {kind}, community {kind}")

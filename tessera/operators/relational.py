@@ -145,7 +145,7 @@ def audit(before: DataFrame, after: DataFrame, key: str, column: str) -> DataFra
 SESSIONS, BLOCK = 256, 4096
 
 
-def _session_bits(rows: DataFrame, sessions: list, session: str, keys: list[str]) -> tuple[DataFrame, int]:
+def session_bits(rows: DataFrame, sessions: list, session: str, keys: list[str]) -> tuple[DataFrame, int]:
     """(keys, _n, _w0, ...): each item's number of sessions, and the sessions as bits of words of 63; and the number of words."""
     place = rows.sparkSession.createDataFrame([(x, i // 63, i % 63) for i, x in enumerate(sessions)], f"`{session}` {dict(rows.dtypes)[session]}, _w int, _b int")
     words = max(1, -(-len(sessions) // 63))
@@ -169,7 +169,7 @@ def sharing_pairs(rows: DataFrame, session: str, item: str, least: int, group: l
         pairs = a.join(b, [*group, session]).filter("a < b").groupBy(*group, "a", "b").agg(F.count("*").alias("together")).filter(F.col("together") >= least)
         out = pairs.join(each.select(*group, F.col(item).alias("a"), F.col("_n").alias("_na")), [*group, "a"]).join(each.select(*group, F.col(item).alias("b"), F.col("_n").alias("_nb")), [*group, "b"])
         return out.select(*group, "a", "b", "together", (F.col("_na") + F.col("_nb")).alias("_n"))
-    bits, words = _session_bits(rows.filter(F.col(item).isNotNull()), sessions, session, [*group, item])
+    bits, words = session_bits(rows.filter(F.col(item).isNotNull()), sessions, session, [*group, item])
     bits = _cut(bits)
     blocks = max(1, -(-bits.count() // BLOCK))
     own = F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import classify as c
-from tessera.operators import relational as r
 from tessera.sources.tables import SQL, questions, table, topic_days
 
 
@@ -33,9 +32,8 @@ def _fuzzy(s, d):
 
 
 def _louvain(s, d):
-    m = topic_days(s, d).filter("domain = 'purchase'")
-    pairs = r.co_occurrence(m, "year", "topic", least=3)
-    return c.louvain(pairs.select(F.lit("g").alias("graph"), F.col("a").alias("src"), F.col("b").alias("dst"), F.col("jaccard").alias("weight")), "graph")
+    found = c.louvain_shared(topic_days(s, d).filter("domain = 'purchase'"), "year", "topic", least=3)
+    return found.select(F.lit("g").alias("graph"), "node", "community")
 
 
 QUERIES = {
