@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from functools import reduce
+from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,22 +82,68 @@ def script_shares(text: Column) -> Column:
     return F.struct(*[share(bare(text), f"[{c}]").alias(name) for name, c in SCRIPTS.items()])
 
 
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """By code point: 1 blank, 2 of a script, 4 of no script and no punctuation."""
+    every = "".join(chr(i) if not 0xD800 <= i < 0xE000 else "\0" for i in range(0x110000))
+    kinds = np.zeros(0x110000, np.uint8)
+    kinds[[i for i, c in enumerate(every) if c in " \t\n\x0b\f\r" or unicodedata.category(c)[0] == "Z"]] = 1
+    scripts = re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), MEANINGFUL)
+    kinds[[m.start() for m in re.finditer(f"[{scripts}]", every)]] |= 2
+    for m in re.finditer(f"[^{scripts}{PUNCTUATION}]+", every):
+        kinds[m.start() : m.end()] |= 4
+    return kinds
+
+
+def _repeated(x: np.ndarray) -> int:
+    """Characters in runs of four or more of one, and those in runs of three or more of a pair, from left to right."""
+    if len(x) < 4:
+        return 0
+    edges = np.flatnonzero(np.diff(x)) + 1
+    runs = np.diff(np.concatenate([[0], edges, [len(x)]]))
+    n = int(runs[runs >= 4].sum())
+    # stretches of places that hold what the place two further holds, next to another character
+    pair = np.concatenate([[0], ((x[2:] == x[:-2]) & (x[1:-1] != x[:-2])).view(np.int8), [0]])
+    turns = np.flatnonzero(np.diff(pair))
+    taken = 0
+    for begin, end in zip(turns[::2].tolist(), turns[1::2].tolist()):
+        if end - begin >= 4:
+            begin = max(begin, taken)
+            if (end + 2 - begin) // 2 >= 3:
+                taken = begin + (end + 2 - begin) // 2 * 2
+                n += taken - begin
+    return n
+
+
+@F.arrow_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("rest", "meaningful", "odd", "repeated")]))
+def _counted(column: pa.Array) -> pa.Array:
+    """Characters other than blanks, those of a script and those of neither script nor punctuation among them, and repeated characters; null for null."""
+    kinds, counts = _kinds(), np.zeros((4, len(column)), np.int32)
+    for i, text in enumerate(column):
+        if text.is_valid:
+            x = np.frombuffer(text.as_py().encode("utf-32-le"), np.uint32)
+            of = kinds[x]
+            blank = (of & 1).astype(bool)
+            counts[:, i] = len(x) - blank.sum(), np.count_nonzero(of & 2), np.count_nonzero((of & 4).astype(bool) & ~blank), _repeated(x)
+    names = ["rest", "meaningful", "odd", "repeated"]
+    return pa.StructArray.from_arrays([pa.array(c) for c in counts], names, mask=pc.is_null(column))
+
+
 def repeated_characters(text: Column) -> Column:
     """Characters in runs of four or more of one, or of three or more of a pair."""
-    length = lambda pattern: F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lit(0), lambda n, x: n + F.length(x))
-    return F.coalesce(length(r"(?s)(.)\1{3,}") + length(r"(?s)((.)(?!\2).)\1{2,}"), F.lit(0))
+    return F.coalesce(_counted(text)["repeated"], F.lit(0))
 
 
 def meaningful_share(text: Column) -> Column:
     """Share of characters of a script among those other than blanks; 0 for blank texts."""
-    return share(bare(text), f"[{MEANINGFUL}]")
+    n = _counted(text)
+    return F.coalesce(F.try_divide(n["meaningful"], n["rest"]), F.lit(0.0))
 
 
 def broken_share(text: Column) -> Column:
     """Share of characters that are of no script and no punctuation, and half of those in runs, 1 at most; 1 for blank texts."""
-    rest = bare(text)
-    odd = F.regexp_count(rest, F.lit(f"[^{MEANINGFUL}{PUNCTUATION}]"))
-    return F.coalesce(F.least(F.lit(1.0), F.try_divide(odd + 0.5 * repeated_characters(text), F.length(rest))), F.lit(1.0))
+    n = _counted(text)
+    return F.coalesce(F.least(F.lit(1.0), F.try_divide(n["odd"] + 0.5 * n["repeated"], n["rest"])), F.lit(1.0))
 
 
 def text_quality(text: Column) -> Column:
@@ -116,7 +165,7 @@ def quality_score(text: Column, confidence: Column | None = None) -> Column:
     score = F.greatest(F.lit(0.0), 100.0 - 70.0 * broken_share(text) - 30.0 * (1.0 - meaningful_share(text)) - short)
     if confidence is not None:
         score = F.coalesce(0.7 * score + 0.3 * 100.0 * confidence, score)
-    return F.when(F.length(bare(text)) > 0, score).otherwise(0.0)
+    return F.when(_counted(text)["rest"] > 0, score).otherwise(0.0)
 
 
 def garbage_score(text: Column) -> Column:
