@@ -134,10 +134,11 @@ def repeated_characters(text: Column) -> Column:
     return F.coalesce(_counted(text)["repeated"], F.lit(0))
 
 
-def meaningful_share(text: Column) -> Column:
-    """Share of characters of a script among those other than blanks; 0 for blank texts."""
+def meaningful_share(text: Column, kept: str = "") -> Column:
+    """Share of characters of a script among those other than blanks; 0 for blank texts (X6). ``kept``: a blank that counts as a character."""
     n = _counted(text)
-    return F.coalesce(F.try_divide(n["meaningful"], n["rest"]), F.lit(0.0))
+    rest = n["rest"] + (F.length(text) - F.length(F.replace(text, F.lit(kept), F.lit("")))) if kept else n["rest"]
+    return F.coalesce(F.try_divide(n["meaningful"], rest), F.lit(0.0))
 
 
 def broken_share(text: Column) -> Column:
@@ -320,6 +321,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (size > 0), dot(a, b) / size).otherwise(0.0)
 
 
+def sql_round(x: Column, digits: int = 6) -> Column:
+    """Halves of the product with a power of ten upwards, as DuckDB rounds doubles of 0 or more; round() takes those of the shortest decimal."""
+    y = x * 10.0**digits
+    below = F.floor(y).cast("double")
+    return F.when(F.isnan(x), x).otherwise((below + (y - below >= 0.5).cast("int")) / 10.0**digits)
+
+
 def js_round(x: Column, digits: int = 0) -> Column:
     """Halves upwards, as in JavaScript."""
     return F.floor(x * 10**digits + 0.5) / 10**digits
