@@ -159,12 +159,85 @@ def louvain(edges: DataFrame, graph: str, passes: int = 10) -> DataFrame:
     return edges.groupBy(graph).applyInPandas(run, f"{graph} {kinds[graph]}, node {kinds['src']}, community {kinds['src']}")
 
 
+#: Bytes of the sums that are kept for communities of several nodes; with more of them, links are added up anew at each visit.
+SUMS = 1 << 29
+
+
+def _settled_shared(sharing: relational.Sharing, of: np.ndarray, degree: np.ndarray, passes: int) -> np.ndarray | None:
+    """``_settled`` of items with bitmaps ``of`` of ``sharing``, in whole millionths; None if the sums would be too many.
+
+    A community of several nodes keeps the sum of its weights to each bitmap, so a visit looks up a number of each such
+    community, and only a move counts weights. Nodes that are alone are looked at where one of them can be best: their
+    links are 1 at most.
+    """
+    whole, n, m = float(degree.sum()) or 1.0, len(of), len(sharing.base)
+    home, size, alone = np.arange(n), np.ones(n, np.int64), np.ones(n, bool)
+    place = np.full(n, -1)  # a community's place among the sums
+    sums, total, label = np.zeros((4, m), np.int64), np.zeros(4), np.full(4, n)
+    free = list(range(3, -1, -1))
+    self_weight = np.where(sharing.size >= sharing.least, 1_000_000, 0)[of]
+    for _ in range(passes):
+        moved = False
+        for v in range(n):
+            d, own, at = degree[v], home[v], place[home[v]]
+            links = sums[:, of[v]]
+            rest = total
+            if at >= 0:
+                links, rest = links.copy(), total.copy()
+                links[at] -= self_weight[v]
+                rest[at] -= d
+            gain = np.where(links > 0, links - rest * d / whole, -np.inf)
+            stay = gain[at] if at >= 0 and links[at] > 0 else -rest[at] * d / whole if at >= 0 else 0.0
+            most = gain.max()
+            best = label[gain == most].min() if most > -np.inf else n
+            weight = None
+            if most <= 1e6 and alone.any():
+                weight = sharing.weights(of[v])
+                others = np.flatnonzero(alone)
+                near = weight[of[others]]
+                single = np.where((near > 0) & (others != v), near - degree[others] * d / whole, -np.inf)
+                i = single.argmax()
+                if single[i] > most or (single[i] == most > -np.inf and others[i] < best):
+                    most, best = single[i], others[i]
+            if stay >= most or best == own:
+                continue
+            moved = True
+            weight = sharing.weights(of[v]) if weight is None else weight
+            if at >= 0:
+                sums[at] -= weight
+                total[at] -= d
+                size[own] -= 1
+                if not size[own]:
+                    total[at], label[at], place[own] = 0.0, n, -1
+                    free.append(at)
+            alone[v] = False
+            to = place[best]
+            if to < 0:  # until now a node alone
+                if not free:
+                    if 2 * sums.nbytes > SUMS:
+                        return None
+                    free = list(range(2 * len(sums) - 1, len(sums) - 1, -1))
+                    sums, total, label = np.vstack([sums, np.zeros_like(sums)]), np.concatenate([total, np.zeros_like(total)]), np.concatenate([label, np.full_like(label, n)])
+                to = place[best] = free.pop()
+                alone[best] = False
+                sums[to], total[to], label[to], size[best] = sharing.weights(of[best]), degree[best], best, 1
+            sums[to] += weight
+            total[to] += d
+            size[best] += 1
+            home[v] = best
+        if not moved:
+            break
+    first = np.full(n, n)
+    np.minimum.at(first, home, np.arange(n))
+    return first[home]
+
+
 def louvain_shared(rows: DataFrame, session: str, item: str, least: int, passes: int = 10) -> DataFrame:
     """(node, community) as ``louvain`` gives them for the pairs of ``relational.co_occurrence`` weighing by their Jaccard similarity (K7).
 
-    No pairs are made: items are bitmaps of sessions, and a visited item's weights are counted from them. The visits are in order
-    by definition, so one task holds the bitmaps, a few words an item; its time is the square of the items. Of more than
-    ``relational.SESSIONS`` sessions the pairs are made.
+    No pairs are made: items are bitmaps of sessions, and weights are counted from different ones; the degrees in all tasks. The
+    visits are in order by definition, so one task holds the bitmaps, a few words an item, and SUMS at most; its time is the moves
+    times the different bitmaps. Of more than ``relational.SESSIONS`` sessions the pairs are made.
     """
     rows = rows.select(session, item).filter(F.col(session).isNotNull() & F.col(item).isNotNull()).distinct()
     sessions = [r[0] for r in rows.select(session).distinct().limit(relational.SESSIONS + 1).collect()]
@@ -172,24 +245,28 @@ def louvain_shared(rows: DataFrame, session: str, item: str, least: int, passes:
         pairs = relational.co_occurrence(rows, session, item, least)
         return louvain(pairs.select(F.lit(0).alias("_g"), F.col("a").alias("src"), F.col("b").alias("dst"), F.col("jaccard").alias("weight")), "_g").drop("_g")
     bits, words = relational.session_bits(rows, sessions, session, [item])
+    bits = relational._cut(bits)
+    names = [f"_w{w}" for w in range(words)]
+    met = bits.join(relational.shared_degrees(bits, words, least).select(*names, "_degree").hint("broadcast"), names)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(item)
-        n = table["_n"].to_numpy()
-        maps = [table[f"_w{w}"].to_numpy() for w in range(words)]
-
-        def near(v: int) -> tuple[np.ndarray, np.ndarray]:
-            both = sum(np.bitwise_count(m & m[v]).astype(np.int64) for m in maps)
-            both[v] = 0
-            at = np.flatnonzero(both >= least)
-            both = both[at]
-            return at, np.floor(both / (n[at] + n[v] - both) * 1e6 + 0.5) / 1e6
-
-        degree = np.array([near(v)[1].sum() for v in range(len(n))])
-        found = _settled(degree, near, passes)
+        items, degree = table[item], table["_degree"].to_numpy()
+        maps, of = np.unique(np.stack([table[c].to_numpy() for c in names], 1), axis=0, return_inverse=True)
+        of = of.ravel()
+        sharing = relational.Sharing([np.ascontiguousarray(m) for m in maps.T], least)
+        found = _settled_shared(sharing, of, degree, passes)
+        if found is None:
+
+            def near(v: int) -> tuple[np.ndarray, np.ndarray]:
+                weight = sharing.weights(of[v])[of]
+                weight[v] = 0
+                at = np.flatnonzero(weight)
+                return at, weight[at].astype(float)
+
+            found = _settled(degree.astype(float), near, passes)
         met = np.flatnonzero(degree > 0)
-        items = table[item]
         return pa.table({"node": items.take(pa.array(met)), "community": items.take(pa.array(found[met]))})
 
     kind = dict(rows.dtypes)[item]
-    return bits.groupBy().applyInArrow(run, f"node {kind}, community {kind}")
+    return met.groupBy().applyInArrow(run, f"node {kind}, community {kind}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import text_key
-from tessera.operators.graph import _cut
+from tessera.operators.graph import _cut, statistics
 
 
 def optional_filter(df: DataFrame, **wanted) -> DataFrame:
@@ -155,6 +156,75 @@ def session_bits(rows: DataFrame, sessions: list, session: str, keys: list[str])
     return placed.groupBy(*keys).agg(F.count("*").alias("_n"), *[word(w) for w in range(words)]), words
 
 
+class Sharing:
+    """Different bitmaps of sessions, and the Jaccard similarities of those that share ``least`` sessions, in whole millionths."""
+
+    def __init__(self, maps: list[np.ndarray], least: int):
+        small = len(maps) == 1 and maps[0].max(initial=0) < 1 << 32
+        self.maps, self.least = [m.astype(np.uint32 if small else np.uint64) for m in maps], least
+        size = sum(np.bitwise_count(m).astype(np.int32) for m in self.maps)
+        self.size, self.most = size, int(size.max(initial=0)) + 1
+        self.base, self.tables = size.astype(np.intp) * self.most, {}
+
+    def weights(self, i: int) -> np.ndarray:
+        """Of bitmap i to all; 0 for those that share less."""
+        n = int(self.size[i])
+        if n not in self.tables:
+            both, other = np.arange(self.most), np.arange(self.most)[:, None]
+            found = np.floor(both / np.maximum(n + other - both, 1) * 1e6 + 0.5)
+            self.tables[n] = np.where(both >= self.least, found, 0).astype(np.int32).ravel()
+        both = np.bitwise_count(self.maps[0] & self.maps[0][i])
+        for m in self.maps[1:]:
+            both = both.astype(np.int32) + np.bitwise_count(m & m[i])
+        return self.tables[n].take(self.base + both, mode="clip")  # none is outside, and this is quicker
+
+
+def shared_degrees(bits: DataFrame, words: int, least: int) -> DataFrame:
+    """(_w0, ..., _items, _links, _degree): each different bitmap of ``session_bits``, its items, and each such item's neighbours and their weights in millionths.
+
+    No pairs are made: bitmaps are dealt to tasks, which hold all of them, a few words each, and hand out a row per bitmap.
+    """
+    spark = bits.sparkSession
+    names = [f"_w{w}" for w in range(words)]
+    found = bits.groupBy(*names).agg(F.count("*").alias("_items")).toArrow()
+    maps, items = [found[c].to_numpy() for c in names], found["_items"].to_numpy()
+    shared = spark.sparkContext.broadcast((maps, items))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps, items = shared.value
+        sharing, share = Sharing(maps, least), items.astype(float)  # whole numbers below 2^53
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            links, degree = (np.zeros(len(at), np.int64) for _ in range(2))
+            for i, v in enumerate(at):
+                weight = sharing.weights(v)
+                own = weight[v]
+                links[i], degree[i] = share @ (weight > 0) - (own > 0), share @ weight - own
+            yield pa.record_batch([*[pa.array(m[at]) for m in maps], pa.array(items[at]), pa.array(links), pa.array(degree)], [*names, "_items", "_links", "_degree"])
+
+    tasks = min(max(1, len(items)), 4 * spark.sparkContext.defaultParallelism)
+    return spark.range(0, len(items), 1, tasks).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "_items", "_links", "_degree"]))
+
+
+def co_occurrence_statistics(df: DataFrame, session: str, item: str, least: int = 1) -> DataFrame:
+    """One row as ``graph.statistics`` has it of ``co_occurrence`` weighing by Jaccard similarity (A35): pairs are counted, not made.
+
+    Time is the square of the different bitmaps, in tasks that hold these alone. Of more than SESSIONS sessions the pairs are made.
+    """
+    rows = df.select(session, item).filter(F.col(session).isNotNull() & F.col(item).isNotNull()).distinct()
+    sessions = [r[0] for r in rows.select(session).distinct().limit(SESSIONS + 1).collect()]
+    if len(sessions) > SESSIONS:
+        return statistics(co_occurrence(rows, session, item, least).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("jaccard").alias("weight")))
+    bits, words = session_bits(rows, sessions, session, [item])
+    each = F.col("_items") * F.col("_links")
+    total = shared_degrees(bits, words, least).agg(
+        F.coalesce(F.sum(F.when(F.col("_links") > 0, F.col("_items"))), F.lit(0)).alias("nodes"),
+        F.coalesce(F.sum(each) / 2, F.lit(0)).cast("long").alias("edges"),
+        F.sum((F.col("_items") * F.col("_degree")).cast("decimal(38,0)")).cast("double").alias("_w"),
+    )
+    return total.select("nodes", "edges", F.round(2 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 6).alias("density"), F.round(F.try_divide(F.col("_w") / 2e6, "edges"), 6).alias("mean_weight"))
+
+
 def sharing_pairs(rows: DataFrame, session: str, item: str, least: int, group: list[str] | None = None) -> DataFrame:
     """(group, a, b, together, _n): pairs a < b of a group's items with ``least`` sessions in common, 1 or more, and their numbers of sessions added up.
 
