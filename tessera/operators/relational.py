@@ -157,12 +157,12 @@ def session_bits(rows: DataFrame, sessions: list, session: str, keys: list[str])
 
 
 class Sharing:
-    """Different bitmaps of sessions, and the Jaccard similarities of those that share ``least`` sessions, in whole millionths."""
+    """Different bitmaps of sessions, and the Jaccard similarities of those that share ``least`` sessions, in whole millionths; ``size``: their sessions, if one counts that has no bit."""
 
-    def __init__(self, maps: list[np.ndarray], least: int):
+    def __init__(self, maps: list[np.ndarray], least: int, size: np.ndarray | None = None):
         small = len(maps) == 1 and maps[0].max(initial=0) < 1 << 32
         self.maps, self.least = [m.astype(np.uint32 if small else np.uint64) for m in maps], least
-        size = sum(np.bitwise_count(m).astype(np.int32) for m in self.maps)
+        size = sum(np.bitwise_count(m).astype(np.int32) for m in self.maps) if size is None else size
         self.size, self.most = size, int(size.max(initial=0)) + 1
         self.base, self.tables = size.astype(np.intp) * self.most, {}
 
@@ -186,13 +186,13 @@ def shared_degrees(bits: DataFrame, words: int, least: int) -> DataFrame:
     """
     spark = bits.sparkSession
     names = [f"_w{w}" for w in range(words)]
-    found = bits.groupBy(*names).agg(F.count("*").alias("_items")).toArrow()
+    found = bits.groupBy("_n", *names).agg(F.count("*").alias("_items")).toArrow()
     maps, items = [found[c].to_numpy() for c in names], found["_items"].to_numpy()
-    shared = spark.sparkContext.broadcast((maps, items))
+    shared = spark.sparkContext.broadcast((maps, items, found["_n"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps, items = shared.value
-        sharing, share = Sharing(maps, least), items.astype(float)  # whole numbers below 2^53
+        maps, items, size = shared.value
+        sharing, share = Sharing(maps, least, size), items.astype(float)  # whole numbers below 2^53
         for batch in batches:
             at = batch.column(0).to_numpy()
             links, degree = (np.zeros(len(at), np.int64) for _ in range(2))
@@ -211,8 +211,8 @@ def co_occurrence_statistics(df: DataFrame, session: str, item: str, least: int
 
     Time is the square of the different bitmaps, in tasks that hold these alone. Of more than SESSIONS sessions the pairs are made.
     """
-    rows = df.select(session, item).filter(F.col(session).isNotNull() & F.col(item).isNotNull()).distinct()
-    sessions = [r[0] for r in rows.select(session).distinct().limit(SESSIONS + 1).collect()]
+    rows = df.select(session, item).filter(F.col(item).isNotNull()).distinct()
+    sessions = [r[0] for r in rows.filter(F.col(session).isNotNull()).select(session).distinct().limit(SESSIONS + 1).collect()]
     if len(sessions) > SESSIONS:
         return statistics(co_occurrence(rows, session, item, least).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("jaccard").alias("weight")))
     bits, words = session_bits(rows, sessions, session, [item])
@@ -222,7 +222,7 @@ def co_occurrence_statistics(df: DataFrame, session: str, item: str, least: int
         F.coalesce(F.sum(each) / 2, F.lit(0)).cast("long").alias("edges"),
         F.sum((F.col("_items") * F.col("_degree")).cast("decimal(38,0)")).cast("double").alias("_w"),
     )
-    return total.select("nodes", "edges", F.round(2 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 6).alias("density"), F.round(F.try_divide(F.col("_w") / 2e6, "edges"), 6).alias("mean_weight"))
+    return total.select("nodes", "edges", F.round(F.try_divide(2 * F.col("edges"), F.col("nodes") * (F.col("nodes") - 1)), 6).alias("density"), F.round(F.try_divide(F.col("_w") / 2e6, "edges"), 6).alias("mean_weight"))
 
 
 def sharing_pairs(rows: DataFrame, session: str, item: str, least: int, group: list[str] | None = None) -> DataFrame:

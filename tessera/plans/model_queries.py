@@ -164,7 +164,7 @@ QUERIES = {
     "centroid_classifier": _classified,
     "leader_clusters": lambda s, d: se.leaders(table(s, d, "embeddings"), "label", "vec_id", "embedding", 0.4),
     "document_terms": lambda s, d: se.related_terms(table(s, d, "documents"), "doc_id", "text", 5),
-    "graph_statistics": lambda s, d: g.statistics(_graph(s, d)),
+    "graph_statistics": lambda s, d: r.co_occurrence_statistics(topic_days(s, d).filter("domain = 'purchase'"), "year", "topic", least=2),
     "graph_degrees": lambda s, d: g.degrees(_graph(s, d)),
     "graph_pagerank": lambda s, d: g.pagerank(_tree(s, d)),
     "graph_reachable": lambda s, d: g.reachable(_tree(s, d), 4),
