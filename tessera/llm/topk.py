@@ -3,15 +3,16 @@
 Vectors are turned to integers floor(scale * x); the score is the integer inner product. With M the greatest
 norm, adding the component sqrt(M^2 - |x|^2) to candidates and 0 to queries makes |q - x|^2 = |q|^2 + M^2 - 2 q.x,
 so the largest products are the least distances. Candidates lie in blocks; each block's rows carry their
-distances to PIVOTS pivots, computed once. For a query, the greatest |d(q, p) - d(x, p)| over pivots p bounds its
-distance to x from below; candidates are evaluated in the order of these bounds, CHUNK at a time, until the
-bound of the next is beyond the k-th best distance found. Products are evaluated in integers, so scores are exact,
-and bounds have a margin for rounding; ties go to the smaller id.
-
-Queries are a stated set; they travel in blocks to the candidates' blocks and each pair of blocks is one row's work,
-QUERIES by CANDIDATES vectors at most. A query's k-th best score among the SAMPLE rows goes with it, so that every
-block starts with a bound and eliminates by it from the first candidate. Each gives its k best per query, and these are
-ranked per query. Pivots are chosen, each farthest from those before, from SAMPLE rows of least hashed id; they only
+distances to PIVOTS pivots, computed once, and lie in chunks of CHUNK rows with about the same nearest pivot. For a
+query, the greatest distance from d(q, p) to a chunk's least and greatest d(x, p) over pivots p bounds its distances
+to the chunk's rows from below. A query first meets the chunk of the least bound, and then those whose bound isn't
+beyond the k-th best distance found; queries of a block are multiplied with a chunk together, and with the whole
+block where few are eliminated. Components are whole numbers, so products and scores are exact, and bounds have a
+margin for rounding; ties go to the smaller id.
+
+Queries are a stated set; they travel in blocks of QUERIES to the candidates' blocks of CANDIDATES, which move once
+(to several tasks if there are few of them). A query's k-th best score among the SAMPLE rows goes with it, so that every
+block starts with a bound. Each gives its k best per query, and these are ranked per query. Pivots are chosen, each farthest from those before, from SAMPLE rows of least hashed id; they only
 affect speed.
 
 Vectors that are null, or hold null or non-finite components, take no part. Vectors of different lengths are
@@ -24,10 +25,9 @@ largest double.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +39,8 @@ SAMPLE = 1024
 CANDIDATES = 4096
 QUERIES = 256
 CHUNK = 64
+#: So many tasks at least, if there are as many blocks of queries.
+TASKS = 32
 
 
 def _packed(rows: DataFrame, per_block: int, n: int, shared, k: int = 0, first: int = 0) -> DataFrame:
@@ -50,14 +52,17 @@ def _packed(rows: DataFrame, per_block: int, n: int, shared, k: int = 0, first:
 
     def run(key, table):
         table = table.sort_by("id")
-        found = table.column("v").to_pylist()
-        width = max(map(len, found), default=0)
+        found = table.column("v").combine_chunks()
+        lengths, values = pc.list_value_length(found).to_numpy(), found.flatten().to_numpy()
+        width = int(lengths.max(initial=0))
         vectors = np.zeros((len(found), width))
-        for i, v in enumerate(found):
-            vectors[i, : len(v)] = v
+        vectors[np.arange(width) < lengths[:, None]] = values
         pivots, greatest, ids, sample = shared.value
         own = table.column("id").to_numpy().astype(np.int64)
         far = np.zeros((len(own), 0)) if k or first else _to_pivots(vectors, pivots, greatest)
+        if far.shape[1]:
+            order = np.lexsort((far.min(1), far.argmin(1)))
+            own, vectors, far = own[order], vectors[order], far[order]
         least = _floors(own, vectors, ids, sample, k) if k else np.zeros(0)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64())} | {c: pa.array([a.tobytes()], pa.binary()) for c, a in (("ids", own), ("vectors", vectors), ("distances", far), ("floors", least))})
 
@@ -102,41 +107,89 @@ def _whole(a: np.ndarray) -> np.ndarray:
     return np.array([[int(v) for v in row] for row in a.tolist()], object).reshape(a.shape)
 
 
-def search_block(q_ids, q, floors, ids, x, distances, pivots, greatest, k) -> tuple[list[tuple[int, int, int]], int]:
-    """(query, candidate, score): each query's k best of one block of candidates that reach its floor; and how many were evaluated."""
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """The places of each query's k best."""
+    order = np.lexsort((ids, -score, query))
+    query = query[order]
+    first = np.searchsorted(query, query)
+    return order[np.arange(len(order)) - first < k]
+
+
+def search_block(q_ids, q, floors, ids, x, distances, pivots, greatest, k) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Queries, candidates, scores: each query's k best of one block of candidates that reach its floor; and how many were evaluated."""
     width = max(q.shape[1], x.shape[1])
     q, x = _padded(q, width), _padded(x, width)
-    long_x, out, evaluated = None, [], 0
-    for i in range(len(q)):
-        exact = _fits(q[i : i + 1], x)
-        bound = np.zeros(len(x))
-        if exact and distances.shape[1]:
-            far = _to_pivots(q[i : i + 1], pivots, greatest, query=True)[0]
-            bound = np.abs(distances - far).max(1)
-        order = np.argsort(bound, kind="stable")
-        order = order[ids[order] != q_ids[i]]
-        if exact:
-            xs, own, floor = x, q[i], floors[i]
-            square = float((own * own).sum()) + greatest
+    fits = np.abs(q).max(1, initial=0) * np.abs(x).max(initial=0) * max(width, 1) < 2.0**53
+    out_q, out_c, out_s, evaluated = [], [], [], 0
+    if not fits.all():
+        long_x = _whole(x)
+        for i in np.flatnonzero(~fits):
+            others = np.flatnonzero(ids != q_ids[i])
+            s = long_x[others] @ _whole(q[i : i + 1])[0]
+            some = np.lexsort((ids[others], -s))[:k]
+            evaluated += len(others)
+            out_q.append(np.full(len(some), q_ids[i]))
+            out_c.append(ids[others[some]])
+            out_s.append(np.array([min(max(int(v), -(1 << 63)), (1 << 63) - 1) for v in s[some]], np.int64))
+    q_ids, q, floors = q_ids[fits], q[fits], floors[fits]
+    n = len(q)
+    if n and len(x):
+        begins = np.arange(0, len(x), CHUNK)
+        sizes = np.diff(np.append(begins, len(x)))
+        bound = np.zeros((n, len(begins)))
+        if distances.shape[1]:
+            low, high = np.minimum.reduceat(distances, begins), np.maximum.reduceat(distances, begins)
+            for p, far in enumerate(_to_pivots(q, pivots, greatest, query=True).T):
+                bound = np.maximum(bound, np.maximum(low[:, p] - far[:, None], far[:, None] - high[:, p]))
+        square = (q * q).sum(1) + greatest
+        least = floors.copy()
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]  # rows of queries, candidates, scores
+
+        def meet(rows: np.ndarray, at: slice) -> None:
+            nonlocal evaluated
+            own = ids[at]
+            s = q[rows] @ x[at].T
+            evaluated += s.size
+            for i in np.flatnonzero(np.isin(q_ids[rows], own)):
+                s[i, own == q_ids[rows[i]]] = -np.inf
+            if s.shape[1] > k:
+                open_ = np.flatnonzero(least[rows] == -np.inf)
+                least[rows[open_]] = np.partition(s[open_], s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+            i, j = np.nonzero((s >= least[rows, None]) & (s > -np.inf))
+            found.append((rows[i], j + (at.start or 0), s[i, j]))
+
+        def needed() -> np.ndarray:
+            """Of what can't be eliminated."""
+            with np.errstate(invalid="ignore"):
+                reach = np.sqrt(np.maximum(0.0, square - 2 * least)) * (1 + 1e-9) + 1e-6
+            return ~(bound > np.where((least > -np.inf) & np.isfinite(square), reach, np.inf)[:, None])
+
+        nearest = bound.argmin(1)
+        if distances.shape[1] and needed().mean() < 0.9:
+            for c in np.unique(nearest):
+                meet(np.flatnonzero(nearest == c), slice(begins[c], begins[c] + sizes[c]))
+            rows, places, s = (np.concatenate(v) for v in zip(*found))
+            kept = _best(rows, ids[places], s, k)
+            rows, s = rows[kept], s[kept]
+            last = np.flatnonzero(np.bincount(rows, minlength=n) == k)
+            lowest = np.full(n, np.inf)
+            np.minimum.at(lowest, rows, s)
+            least[last] = np.maximum(least[last], lowest[last])
+        some = needed()
+        if some.mean() > 0.5:
+            del found[1:]
+            meet(np.arange(n), slice(0, len(x)))
         else:
-            long_x = _whole(x) if long_x is None else long_x
-            xs, own, floor, square = long_x, _whole(q[i : i + 1])[0], -np.inf, np.inf
-        best_s, best_i = np.zeros(0, np.float64 if exact else object), np.zeros(0, np.int64)
-        at, chunk = 0, CHUNK
-        while at < len(order):
-            least = max(floor, best_s[-1]) if len(best_s) == k else floor
-            # of what is left, no distance is below the next bound
-            if least > -np.inf and np.isfinite(square) and bound[order[at]] > np.sqrt(max(0.0, square - 2 * float(least))) * (1 + 1e-9) + 1e-6:
-                break
-            some = order[at : at + chunk]
-            s = np.concatenate([best_s, xs[some] @ own])
-            c = np.concatenate([best_i, ids[some]])
-            keep = np.lexsort((c, -s))[:k]
-            best_s, best_i = s[keep], c[keep]
-            evaluated += len(some)
-            at, chunk = at + chunk, min(2 * chunk, 4096)
-        out += [(int(q_ids[i]), int(c), min(max(int(s), -(1 << 63)), (1 << 63) - 1)) for c, s in zip(best_i, best_s) if s >= floor]
-    return out, evaluated
+            if len(found) > 1:
+                some[np.arange(n), nearest] = False
+            for c in np.flatnonzero(some.any(0)):
+                meet(np.flatnonzero(some[:, c]), slice(begins[c], begins[c] + sizes[c]))
+        rows, places, s = (np.concatenate(v) for v in zip(*found))
+        kept = _best(rows, ids[places], s, k)
+        out_q.append(q_ids[rows[kept]])
+        out_c.append(ids[places[kept]])
+        out_s.append(s[kept].astype(np.int64))
+    return *(np.concatenate([np.zeros(0, np.int64), *v]) for v in (out_q, out_c, out_s)), evaluated
 
 
 def usable(vector: Column) -> Column:
@@ -185,24 +238,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec
         candidates = candidates.union(_packed(big, CANDIDATES, n_big, shared, first=blocks))
         blocks += max(1, -(-n_big // CANDIDATES))
     candidates = cut(candidates.drop("floors"))
-    asking = _packed(q, QUERIES, asked, shared, k).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "floors", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    slices = max(1, min(-(-asked // QUERIES), -(-TASKS // blocks)))
+    each = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    asking = _packed(q, QUERIES, asked, shared, k).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "floors", (F.col("block") % slices).alias("slice"), F.explode(each(blocks)).alias("block"))
+    asking = asking.repartition(min(4096, 2 * blocks * slices), "block", "slice")
+    candidates = candidates.withColumn("slice", F.explode(each(slices))).repartition(min(4096, 2 * blocks * slices), "block", "slice")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         p, g, _, _ = shared.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                mine, theirs, far = (np.frombuffer(row[c]).reshape(len(i), -1) for c, i in (("q_vectors", q_ids), ("vectors", ids), ("distances", ids)))
-                found, count = search_block(q_ids, mine, np.frombuffer(row["floors"]), ids, theirs, far, p, g, k)
+        out = [(np.zeros(0, np.int64),) * 3]
+        for block in right.to_pylist():
+            ids = np.frombuffer(block["ids"], np.int64)
+            theirs, far = (np.frombuffer(block[c]).reshape(len(ids), -1) for c in ("vectors", "distances"))
+            for row in left.to_pylist():
+                q_ids = np.frombuffer(row["q_ids"], np.int64)
+                *found, count = search_block(q_ids, np.frombuffer(row["q_vectors"]).reshape(len(q_ids), -1), np.frombuffer(row["floors"]), ids, theirs, far, p, g, k)
+                out.append(found)
                 if evaluated is not None:
-                    evaluated.add(count)
-                if found:
-                    a, b, s = zip(*found)
-                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.int64())], ["query_id", "vec_id", "score"])
-
-    met = asking.join(candidates, "block").select("q_ids", "q_vectors", "floors", "ids", "vectors", "distances")
-    met = met.repartition(max(1, min(4096, blocks * max(1, -(-asked // QUERIES)))))
-    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
+                    evaluated.add(int(count))
+        return pa.table({c: pa.array(np.concatenate(v)) for c, v in zip(("query_id", "vec_id", "score"), zip(*out))})
+
+    found = asking.groupBy("block", "slice").cogroup(candidates.groupBy("block", "slice")).applyInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")
