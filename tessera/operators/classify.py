@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import relational
+from tessera.operators.graph import _cut
 
 
 def recovered(scores: dict[str, Column], floor: float = 0.5) -> tuple[Column, Column]:
@@ -245,7 +246,7 @@ def louvain_shared(rows: DataFrame, session: str, item: str, least: int, passes:
         pairs = relational.co_occurrence(rows, session, item, least)
         return louvain(pairs.select(F.lit(0).alias("_g"), F.col("a").alias("src"), F.col("b").alias("dst"), F.col("jaccard").alias("weight")), "_g").drop("_g")
     bits, words = relational.session_bits(rows, sessions, session, [item])
-    bits = relational._cut(bits)
+    bits = _cut(bits)
     names = [f"_w{w}" for w in range(words)]
     met = bits.join(relational.shared_degrees(bits, words, least).select(*names, "_degree").hint("broadcast"), names)
 
